@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import chunking as ch
 from scriptorium.operators import filters as flt
+from scriptorium.operators import labelled
+from scriptorium.operators import ordering as od
+from scriptorium.operators import runs as runs_ops
 from scriptorium.functions import text as tx
+from scriptorium.functions.arrays import posexplode_rows
 from scriptorium.sources import documents as srcdocs
 from scriptorium.sources import standins as si
 
@@ -72,6 +76,205 @@ def q_count_documents(spark, sf):
     return srcdocs.count_documents(_docs(spark, sf))
 
 
+
+def _calls(spark, sf):
+    return _docs(spark, sf).where(F.col("source") == "calls")
+
+
+def q_scan_page(spark, sf):
+    return srcdocs.scan_page(_docs(spark, sf), limit=300, offset=100, order_by="doc_id")
+
+
+def q_corpus_union(spark, sf):
+    return srcdocs.corpus_union_by_source(_docs(spark, sf))
+
+
+def q_preview_sources(spark, sf):
+    return srcdocs.preview_sources(_docs(spark, sf), n=5).select("source", "doc_id", "row_no")
+
+
+def q_count_sequences(spark, sf):
+    return srcdocs.count_sequences(q_chunk_corpus_small(spark, sf))
+
+
+def q_filter_doc_type(spark, sf):
+    return flt.filter_doc_type(_docs(spark, sf).where(F.col("source") == "current")).select("doc_id", "doc_type")
+
+
+def q_filter_noisy_docs(spark, sf):
+    cur = flt.filter_doc_type(_docs(spark, sf).where(F.col("source") == "current"))
+    return flt.filter_noisy_docs(cur).select("doc_id")
+
+
+def q_filter_short_transcripts(spark, sf):
+    return flt.filter_short_transcripts(_calls(spark, sf)).select("doc_id")
+
+
+def q_clean_transcripts(spark, sf):
+    return flt.clean_transcripts(_calls(spark, sf)).select("doc_id", "text")
+
+
+def q_clean_reports(spark, sf):
+    return flt.clean_reports(_docs(spark, sf).where(F.col("source") == "reports")).select("doc_id", "text")
+
+
+def q_filter_numeric_sentences(spark, sf):
+    rep = _docs(spark, sf).where(F.col("source") == "reports") \
+        .select("doc_id", tx.split_sentences(tx.flatten_newlines(F.col("text"))).alias("sentences"))
+    kept = flt.filter_numeric_sentences(rep, "sentences")
+    return kept.select("doc_id", posexplode_rows("sentences").alias("idx", "sentence"))
+
+
+def q_filter_noisy_chunks(spark, sf):
+    raw = ch.pack_chunks(_docs(spark, sf), SMALL_WORDS, 2, 3)
+    return flt.filter_noisy_chunks(raw).select("doc_id", "chunk_id")
+
+
+def q_trim_sentences(spark, sf):
+    d = _docs(spark, sf).select("doc_id", tx.split_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").alias("n_sentences"),
+                    F.size(flt.trim_sentences(F.col("s"), 2, 3)).alias("n_kept"))
+
+
+def q_exclude_nulls(spark, sf):
+    return srcdocs.count_documents(flt.exclude_nulls(_docs(spark, sf)))
+
+
+def q_split_sentences(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("idx", "sentence"))
+
+
+def q_split_sentences_simple(spark, sf):
+    return _docs(spark, sf).select("doc_id",
+                                   F.posexplode(tx.split_sentences_simple(F.col("text"))).alias("idx", "sentence"))
+
+
+def q_word_count(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("n_words"))
+
+
+def q_digit_punct_fraction(spark, sf):
+    return _docs(spark, sf).select("doc_id", _r6(tx.digit_punct_fraction(F.col("text"))).alias("share"))
+
+
+def q_numeric_percentage(spark, sf):
+    return _docs(spark, sf).select("doc_id", _r6(tx.numeric_percentage(F.col("text"))).alias("pct"))
+
+
+def q_flatten_newlines(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.flatten_newlines(F.col("text")).alias("text"))
+
+
+def q_pack_chunks(spark, sf):
+    return ch.pack_chunks(_docs(spark, sf), SMALL_WORDS, 2, 3)
+
+
+def q_chunk_report(spark, sf):
+    r = ch.chunk_report(_docs(spark, sf), SMALL_PROFILES, SMALL_WORDS)
+    return r.withColumn("excluded_fraction", _r6(F.col("excluded_fraction"))) \
+        .withColumn("mean_share", _r6(F.col("mean_share")))
+
+
+def q_document_sequences(spark, sf):
+    return ch.document_sequences(si.labelled_in(spark, sf))
+
+
+# ---- ordering, windows, batches, splits
+SHUFFLE_SEED = 7
+EPOCH_LIMIT = 300
+BATCH_SIZE = 128
+
+
+def _shuffled(spark, sf):
+    return od.shuffle_sequences(q_chunk_corpus_small(spark, sf), SHUFFLE_SEED)
+
+
+def _retrieval(seqs):
+    return seqs.select("source").distinct().withColumn("limit", F.lit(EPOCH_LIMIT))
+
+
+def q_shuffle_sequences(spark, sf):
+    return _shuffled(spark, sf).select("source", "doc_id", "chunk_id", "row_no")
+
+
+def q_epoch_window(spark, sf):
+    seqs = _shuffled(spark, sf)
+    return od.epoch_window(seqs, _retrieval(seqs), epoch=2).select("source", "doc_id", "chunk_id", "row_no")
+
+
+def q_epoch_window_wrap(spark, sf):
+    seqs = _shuffled(spark, sf)
+    return od.epoch_window(seqs, _retrieval(seqs), epoch=3).select("source", "doc_id", "chunk_id", "row_no")
+
+
+def q_planned_steps(spark, sf):
+    return od.planned_steps(_retrieval(q_chunk_corpus_small(spark, sf)), BATCH_SIZE, 3)
+
+
+def q_batch_plan(spark, sf):
+    seqs = _shuffled(spark, sf)
+    ret = _retrieval(seqs)
+    win = od.epoch_window(seqs, ret, epoch=2)
+    spe = od.planned_steps(ret, BATCH_SIZE, 3).select("steps_per_epoch").scalar()
+    return od.batch_plan(win, BATCH_SIZE, seed=11, epoch=2, steps_per_epoch=spe) \
+        .select("source", "doc_id", "chunk_id", "position", "batch_id", "global_step")
+
+
+def _labelled(spark, sf):
+    return si.labelled_in(spark, sf, "quality")
+
+
+def q_labelled_documents(spark, sf):
+    return labelled.labelled_documents(_docs(spark, sf), si.table(spark, sf, "labels"), "quality") \
+        .select("doc_id", "label")
+
+
+def q_shuffle_labelled(spark, sf):
+    return od.shuffle_labelled(_labelled(spark, sf), 42).select("doc_id", "label", "row_no")
+
+
+def q_train_test_split(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    return od.train_test_split(sh, 0.8, ["row_no"]).select("doc_id", "split")
+
+
+def q_kfold(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    return od.kfold(sh, 5, ["row_no"]).select("doc_id", "row_no", "fold")
+
+
+def q_sample_with_replacement(spark, sf):
+    return od.sample_with_replacement(_labelled(spark, sf), 50, 5, ["doc_id"]).select("draw", "doc_id", "label")
+
+
+def q_select_rows(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    folds = od.kfold(sh, 5, ["row_no"])
+    return od.select_rows(sh, folds.where(F.col("fold") == 2)).select("doc_id", "row_no")
+
+
+def q_labelled_union(spark, sf):
+    lab = _labelled(spark, sf)
+    parts = si.standin_parts(lab)
+    return labelled.labelled_union(parts, seed=42).select("part", "row_no", "doc_id", "label")
+
+
+def q_label_counts(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    return labelled.label_counts(od.train_test_split(sh, 0.8, ["row_no"]), by=["split"])
+
+
+def q_label_counts_folds(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    return labelled.label_counts(od.kfold(sh, 5, ["row_no"]), by=["fold"])
+
+
+def q_next_run_id(spark, sf):
+    ev = si.table(spark, sf, "events")
+    runs = ev.select(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("run_name")).distinct()
+    types = ev.select(F.col("event_type").alias("model_type")).distinct()
+    return runs_ops.next_run_id(runs, types)
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
@@ -79,6 +282,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_source": q_scan_source,
         "scan_distinct": q_scan_distinct,
         "count_documents": q_count_documents,
+        "scan_page": q_scan_page,
+        "corpus_union": q_corpus_union,
+        "preview_sources": q_preview_sources,
+        "count_sequences": q_count_sequences,
+        "filter_doc_type": q_filter_doc_type,
+        "filter_noisy_docs": q_filter_noisy_docs,
+        "filter_short_transcripts": q_filter_short_transcripts,
+        "clean_transcripts": q_clean_transcripts,
+        "clean_reports": q_clean_reports,
+        "filter_numeric_sentences": q_filter_numeric_sentences,
+        "filter_noisy_chunks": q_filter_noisy_chunks,
+        "trim_sentences": q_trim_sentences,
+        "exclude_nulls": q_exclude_nulls,
+        "split_sentences": q_split_sentences,
+        "split_sentences_simple": q_split_sentences_simple,
+        "word_count": q_word_count,
+        "digit_punct_fraction": q_digit_punct_fraction,
+        "numeric_percentage": q_numeric_percentage,
+        "flatten_newlines": q_flatten_newlines,
+        "pack_chunks": q_pack_chunks,
+        "chunk_report": q_chunk_report,
+        "document_sequences": q_document_sequences,
+        "shuffle_sequences": q_shuffle_sequences,
+        "epoch_window": q_epoch_window,
+        "epoch_window_wrap": q_epoch_window_wrap,
+        "planned_steps": q_planned_steps,
+        "batch_plan": q_batch_plan,
+        "labelled_documents": q_labelled_documents,
+        "shuffle_labelled": q_shuffle_labelled,
+        "train_test_split": q_train_test_split,
+        "kfold": q_kfold,
+        "sample_with_replacement": q_sample_with_replacement,
+        "select_rows": q_select_rows,
+        "labelled_union": q_labelled_union,
+        "label_counts": q_label_counts,
+        "label_counts_folds": q_label_counts_folds,
+        "next_run_id": q_next_run_id,
     }
 
 
@@ -157,11 +397,11 @@ calls AS (
 cleaned AS (SELECT * FROM cur UNION ALL SELECT * FROM plain UNION ALL SELECT * FROM calls)"""
 
 
-def s_packed(input_cte: str, words: int, profiles=None) -> str:
+def s_packed(input_cte: str, words: int, profiles=None, a: str = "0", b: str = "0") -> str:
     """CTE list over ``input_cte(doc_id, source, text)`` -> ``chunks(source, doc_id,
     chunk_id, sequence)`` plus ``trimmed(ok)``; greedy packing by recursive CTE."""
-    a = s_profile(profiles, "trim_first") if profiles else "0"
-    b = s_profile(profiles, "trim_last") if profiles else "0"
+    if profiles:
+        a, b = s_profile(profiles, "trim_first"), s_profile(profiles, "trim_last")
     return f"""split AS (
   SELECT doc_id, source, {s_split('text')} AS s, {a} AS a, {b} AS b FROM {input_cte}),
 trimmed AS (
@@ -200,6 +440,160 @@ WHERE share <= {max_share}
   AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = scored.source AND bad.doc_id = scored.doc_id)"""
 
 
+
+def s_u(seed, *exprs) -> str:
+    """Hash uniform, identical to ``scriptorium.functions.random.hash_uniform``."""
+    parts = ", ".join([f"'{seed}'", *exprs])
+    return f"(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def s_small_corpus() -> str:
+    return s_chunk_corpus(SMALL_PROFILES, SMALL_WORDS)
+
+
+def s_shuffled() -> str:
+    return f"""seqs AS ({s_small_corpus()}),
+sh AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY {s_u(SHUFFLE_SEED, 'doc_id', 'chunk_id')},
+                                doc_id, chunk_id) - 1 AS row_no
+  FROM seqs)"""
+
+
+def s_window(epoch: int) -> str:
+    off = epoch * EPOCH_LIMIT
+    return f"""{s_shuffled()},
+tot AS (SELECT source, count(*) AS n_total FROM sh GROUP BY source),
+st AS (SELECT source, CASE WHEN {off} + {off} > n_total THEN 0 ELSE {off} END AS lo FROM tot),
+win AS (SELECT sh.* FROM sh JOIN st USING (source) WHERE row_no >= lo AND row_no < lo + {EPOCH_LIMIT})"""
+
+
+LAB = "lab AS (SELECT d.doc_id, d.text, CAST(l.quality AS INTEGER) AS label FROM documents d JOIN labels l USING (doc_id))"
+LAB_SH = f"""{LAB},
+lsh AS (SELECT *, row_number() OVER (ORDER BY {s_u(42, 'doc_id')}, doc_id) - 1 AS row_no FROM lab)"""
+
+
+def s_explode(list_expr: str, src: str, key: str = "doc_id", idx: str = "idx", val: str = "sentence") -> str:
+    return (f"SELECT {key}, CAST({idx} AS INTEGER) AS {idx}, {val} FROM (SELECT {key}, unnest(_l) AS {val}, "
+            f"unnest(range(0, len(_l))) AS {idx} FROM (SELECT {key}, {list_expr} AS _l FROM {src}))")
+
+
+def s_simple_split(t: str) -> str:
+    return f"string_split(regexp_replace({t}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))"
+
+
+def s_report() -> str:
+    return f"""WITH RECURSIVE {s_cleaned(SMALL_PROFILES)},
+{s_packed('cleaned', SMALL_WORDS, SMALL_PROFILES)},
+scored AS (
+  SELECT *, CASE WHEN length(sequence) > 0 THEN {s_share('sequence')}
+                 WHEN source = 'current' THEN 0.0 END AS share FROM chunks),
+excl AS (
+  SELECT source, doc_id FROM trimmed WHERE NOT ok
+  UNION
+  SELECT DISTINCT source, doc_id FROM scored WHERE share IS NULL),
+agg AS (
+  SELECT s.source, count(*) AS n_raw_chunks,
+         sum(CASE WHEN e.doc_id IS NULL THEN s.share ELSE 0 END) AS share_sum,
+         sum(CASE WHEN e.doc_id IS NULL AND s.share <= 0.15 THEN 1 ELSE 0 END) AS n_kept
+  FROM scored s LEFT JOIN excl e ON e.source = s.source AND e.doc_id = s.doc_id GROUP BY s.source),
+ex AS (SELECT source, count(*) AS n_excluded FROM excl GROUP BY source),
+tot AS (SELECT source, count(*) AS n_documents FROM docs_in GROUP BY source)
+SELECT tot.source, n_documents, coalesce(n_excluded, 0) AS n_excluded,
+       round(coalesce(n_excluded, 0) / n_documents, 6) AS excluded_fraction,
+       CAST(coalesce(n_raw_chunks, 0) AS BIGINT) AS n_raw_chunks,
+       round(share_sum / n_raw_chunks, 6) AS mean_share,
+       CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept_chunks
+FROM tot LEFT JOIN agg USING (source) LEFT JOIN ex USING (source)"""
+
+
+def _oracle_batch2() -> dict[str, str]:
+    d = f"WITH {DOCS_IN} "
+    exhibits = ", ".join(f"'{e}'" for e in tx.CURRENT_FILING_EXHIBITS)
+    rep_kept = (f"list_filter(list_transform({s_split('replace(text, chr(10), chr(32))')}, lambda y: trim(y)), "
+                f"lambda x: length(x) > 0 AND (length(x) - length(replace(x, '%', ''))) <= 5 "
+                f"AND {s_numpct('x')} <= 15)")
+    packed_23 = f"""WITH RECURSIVE {DOCS_IN}, {s_packed('docs_in', SMALL_WORDS, a='2', b='3')}"""
+    return {
+        "scan_page": d + "SELECT doc_id, source, doc_type, text FROM docs_in ORDER BY doc_id LIMIT 300 OFFSET 100",
+        "corpus_union": d + "SELECT doc_id, source, CASE WHEN source IN ('news', 'reports') "
+                            "THEN replace(text, chr(10), ' ') ELSE text END AS text FROM docs_in WHERE text IS NOT NULL",
+        "preview_sources": d + "SELECT source, doc_id, row_no FROM (SELECT source, doc_id, row_number() OVER "
+                               "(PARTITION BY source ORDER BY doc_id) AS row_no FROM docs_in) WHERE row_no <= 5",
+        "count_sequences": f"SELECT source, count(*) AS n_sequences FROM ({s_small_corpus()}) GROUP BY source",
+        "filter_doc_type": d + f"SELECT doc_id, doc_type FROM docs_in WHERE source = 'current' AND doc_type IN ({exhibits})",
+        "filter_noisy_docs": d + f"SELECT doc_id FROM docs_in WHERE source = 'current' AND doc_type IN ({exhibits}) "
+                                 f"AND {s_share('text', '0.0')} <= 0.30",
+        "filter_short_transcripts": d + "SELECT doc_id FROM docs_in WHERE source = 'calls' "
+                                        "AND len(string_split(text, chr(10))) >= 5",
+        "clean_transcripts": d + f"SELECT doc_id, {s_calls_clean('text')} AS text FROM docs_in "
+                                 "WHERE source = 'calls' AND len(string_split(text, chr(10))) >= 5",
+        "clean_reports": d + f"SELECT doc_id, {s_report_clean('text')} AS text FROM docs_in WHERE source = 'reports'",
+        "filter_numeric_sentences": d + ", rep AS (SELECT * FROM docs_in WHERE source = 'reports') "
+                                    + s_explode(rep_kept, "rep"),
+        "filter_noisy_chunks": packed_23 + f" SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id FROM chunks "
+                                           f"WHERE {s_share('sequence')} <= 0.15",
+        "trim_sentences": d + "SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, "
+                              "CAST(CASE WHEN 2 * 3 < len(s) THEN len(list_slice(s, 3, len(s) - 3)) END AS INTEGER) AS n_kept "
+                              f"FROM (SELECT doc_id, {s_split('text')} AS s FROM docs_in)",
+        "exclude_nulls": d + "SELECT source, count(*) AS n_documents FROM docs_in WHERE text IS NOT NULL GROUP BY source",
+        "split_sentences": d + s_explode(s_split("text"), "docs_in"),
+        "split_sentences_simple": d + s_explode(s_simple_split("text"), "docs_in"),
+        "word_count": d + f"SELECT doc_id, CAST({s_words('text')} AS INTEGER) AS n_words FROM docs_in",
+        "digit_punct_fraction": d + f"SELECT doc_id, round({s_share('text')}, 6) AS share FROM docs_in",
+        "numeric_percentage": d + f"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN {s_numpct('text')} END, 6) "
+                                  "AS pct FROM docs_in",
+        "flatten_newlines": d + "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM docs_in",
+        "pack_chunks": packed_23 + " SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, sequence FROM chunks",
+        "chunk_report": s_report(),
+        "document_sequences": f"WITH {LAB} " + s_explode(s_simple_split("text"), "lab", idx="seq_idx"),
+        "shuffle_sequences": f"WITH {s_shuffled()} SELECT source, doc_id, chunk_id, row_no FROM sh",
+        "epoch_window": f"WITH {s_window(2)} SELECT source, doc_id, chunk_id, row_no FROM win",
+        "epoch_window_wrap": f"WITH {s_window(3)} SELECT source, doc_id, chunk_id, row_no FROM win",
+        "planned_steps": f"""WITH seqs AS ({s_small_corpus()}),
+ret AS (SELECT DISTINCT source, {EPOCH_LIMIT} AS lim FROM seqs)
+SELECT CAST(ceil(sum(lim) / {BATCH_SIZE}) AS BIGINT) AS steps_per_epoch,
+       CAST(ceil(sum(lim) / {BATCH_SIZE}) AS BIGINT) * 3 AS total_steps FROM ret""",
+        "batch_plan": f"""WITH {s_window(2)},
+spe AS (SELECT CAST(ceil(count(DISTINCT source) * {EPOCH_LIMIT} / {BATCH_SIZE}) AS BIGINT) AS spe FROM seqs),
+pos AS (SELECT source, doc_id, chunk_id,
+               row_number() OVER (ORDER BY {s_u(11, "'2'", 'source', 'doc_id', 'chunk_id')}, source, doc_id, chunk_id) - 1
+               AS position FROM win)
+SELECT source, doc_id, chunk_id, position, CAST(position // {BATCH_SIZE} AS INTEGER) AS batch_id,
+       CAST(2 * (SELECT spe FROM spe) + position // {BATCH_SIZE} + 1 AS BIGINT) AS global_step FROM pos""",
+        "labelled_documents": f"WITH {LAB} SELECT doc_id, label FROM lab",
+        "shuffle_labelled": f"WITH {LAB_SH} SELECT doc_id, label, row_no FROM lsh",
+        "train_test_split": f"""WITH {LAB_SH}
+SELECT doc_id, CASE WHEN row_no < floor((SELECT count(*) FROM lab) * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM lsh""",
+        "kfold": f"WITH {LAB_SH} SELECT doc_id, row_no, CAST(ntile(5) OVER (ORDER BY row_no) - 1 AS INTEGER) AS fold FROM lsh",
+        "sample_with_replacement": f"""WITH {LAB},
+idx AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS _i FROM lab),
+draws AS (SELECT range AS draw, CAST(floor({s_u(5, 'range')} * (SELECT count(*) FROM lab)) AS BIGINT) AS _i
+          FROM range(50))
+SELECT draw, doc_id, label FROM draws JOIN idx USING (_i)""",
+        "select_rows": f"""WITH {LAB_SH},
+f AS (SELECT row_no, ntile(5) OVER (ORDER BY row_no) - 1 AS fold FROM lsh)
+SELECT doc_id, row_no FROM lsh WHERE row_no IN (SELECT row_no FROM f WHERE fold = 2)""",
+        "labelled_union": f"""WITH {LAB},
+p AS (SELECT *, CASE WHEN {s_u(3, 'doc_id')} < 0.8 THEN 'train' ELSE 'test' END AS part FROM lab)
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY {s_u(42, 'doc_id')}, doc_id) - 1 AS row_no, doc_id, label
+FROM p""",
+        "label_counts": f"""WITH {LAB_SH},
+s AS (SELECT label, CASE WHEN row_no < floor((SELECT count(*) FROM lab) * 0.8) THEN 'train' ELSE 'test' END AS split
+      FROM lsh)
+SELECT split, label, count(*) AS n FROM s GROUP BY split, label""",
+        "label_counts_folds": f"""WITH {LAB_SH},
+s AS (SELECT label, CAST(ntile(5) OVER (ORDER BY row_no) - 1 AS INTEGER) AS fold FROM lsh)
+SELECT fold, label, count(*) AS n FROM s GROUP BY fold, label""",
+        "next_run_id": """WITH runs AS (SELECT DISTINCT concat_ws('_', event_type, user_id) AS run_name FROM events),
+per AS (SELECT split_part(run_name, '_', 1) AS model_type,
+               max(TRY_CAST(split_part(run_name, '_', 2) AS INTEGER)) AS mx FROM runs GROUP BY 1),
+types AS (SELECT DISTINCT event_type AS model_type FROM events),
+x AS (SELECT t.model_type, CAST(CASE WHEN mx IS NULL THEN 0 ELSE mx + 1 END AS VARCHAR) AS v
+      FROM types t LEFT JOIN per USING (model_type))
+SELECT model_type, model_type || '_' || CASE WHEN length(v) < 2 THEN lpad(v, 2, '0') ELSE v END AS next_run FROM x""",
+    }
+
 def oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
@@ -208,4 +602,5 @@ def oracle_sql() -> dict[str, str]:
         "scan_distinct": f"WITH {DOCS_IN} SELECT min(doc_id) AS doc_id, text FROM docs_in "
                          "WHERE source = 'calls' GROUP BY text",
         "count_documents": f"WITH {DOCS_IN} SELECT source, count(*) AS n_documents FROM docs_in GROUP BY source",
+        **_oracle_batch2(),
     }

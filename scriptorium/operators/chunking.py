@@ -28,6 +28,7 @@ from ..functions.text import (
     split_sentences_simple,
     word_count,
 )
+from ..functions.arrays import posexplode_rows
 from .filters import clean_reports_text, strip_speaker_prefixes, trim_sentences
 from ..sources.documents import count_documents, scan_distinct
 
@@ -181,7 +182,7 @@ def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first:
     (split -> trim -> pack); documents failing the trim check give no rows."""
     staged = spread(docs).select("doc_id", trim_sentences(split_sentences(F.col(text)), first, last).alias("_s"))
     staged = with_packed_chunks(staged, "_s", chunk_words, "chunks")
-    return staged.select("doc_id", F.posexplode("chunks").alias("chunk_id", "sequence")) \
+    return staged.select("doc_id", posexplode_rows("chunks").alias("chunk_id", "sequence")) \
         .withColumn("chunk_id", F.col("chunk_id").cast("int"))
 
 

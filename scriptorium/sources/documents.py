@@ -86,4 +86,4 @@ def preview_sources(df: DataFrame, n: int = 5, order_by: str | list[str] = "doc_
     rows per source and a hot source never lands whole in one task."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     w = Window.partitionBy("source").orderBy(*order)
-    return df.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") <= n)
+    return df.withColumn("row_no", F.row_number().over(w).cast("long")).where(F.col("row_no") <= n)

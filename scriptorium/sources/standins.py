@@ -75,3 +75,12 @@ def run_metrics_in(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy"),
         F.col("event_type").alias("tag"),
     )
+
+
+def standin_parts(labelled: "DataFrame", seed: int = 3, train_share: float = 0.8) -> dict:
+    """A labelled set's given ``train``/``test`` parts (as a published dataset ships
+    them), assigned by a seeded hash of ``doc_id``."""
+    from ..functions.random import hash_uniform
+
+    u = hash_uniform(seed, F.col("doc_id"))
+    return {"train": labelled.where(u < train_share), "test": labelled.where(u >= train_share)}
