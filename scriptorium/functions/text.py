@@ -161,9 +161,17 @@ def pretokenize(c: Column) -> Column:
 # X10 normalisation: NFD -> lowercase -> strip -> remove combining marks.
 # Spark has no Unicode normalisation function, so this is the one Arrow UDF.
 # ---------------------------------------------------------------------------
-@lru_cache(maxsize=1)
+_MARKS: dict | None = None
+
+
 def _mark_table() -> dict:
-    return {cp: None for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) == "Mn"}
+    """Translation table deleting every combining mark (category Mn), built once
+    from the Unicode database. A plain global (not lru_cache) so UDF closures
+    that use it pickle by value."""
+    global _MARKS
+    if _MARKS is None:
+        _MARKS = {cp: None for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) == "Mn"}
+    return _MARKS
 
 
 def normalize_str(s: str | None) -> str | None:
