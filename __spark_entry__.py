@@ -18,7 +18,10 @@ from scriptorium.operators import chunking as ch
 from scriptorium.operators import filters as flt
 from scriptorium.operators import labelled
 from scriptorium.operators import ordering as od
+from scriptorium.operators import masking
 from scriptorium.operators import runs as runs_ops
+from scriptorium.operators import scores
+from scriptorium.functions.random import hash_uniform
 from scriptorium.functions import text as tx
 from scriptorium.functions.arrays import posexplode_rows
 from scriptorium.sources import documents as srcdocs
@@ -275,6 +278,156 @@ def q_next_run_id(spark, sf):
     types = ev.select(F.col("event_type").alias("model_type")).distinct()
     return runs_ops.next_run_id(runs, types)
 
+
+# ---- masking and token-level metrics (character-level stand-in ids, see standins.char_ids)
+MASK_LEN = 32
+MASK_SEED = 13
+
+
+def _char_encoded(spark, sf):
+    seqs = q_chunk_corpus_small(spark, sf)
+    return seqs.select("source", "doc_id", "chunk_id", si.row_key("source", "doc_id", "chunk_id").alias("row_key"),
+                       si.char_ids(F.col("sequence"), MASK_LEN).alias("input_ids"))
+
+
+def _joined(c):
+    return F.array_join(F.col(c), ",")
+
+
+def _masked(spark, sf, **kw):
+    return masking.mask_tokens(_char_encoded(spark, sf), seed=MASK_SEED, n_tokens=si.CHAR_VOCAB, **kw)
+
+
+def q_mask_tokens(spark, sf):
+    return _masked(spark, sf).select("source", "doc_id", "chunk_id", _joined("masked_ids").alias("masked"),
+                                     _joined("labels").alias("labels"))
+
+
+def q_mask_tokens_hard(spark, sf):
+    return _masked(spark, sf, hard=True, ignore_index=None).select(
+        "source", "doc_id", "chunk_id", _joined("masked_ids").alias("masked"), _joined("labels").alias("labels"))
+
+
+def _replaced(spark, sf):
+    return masking.replace_random(_char_encoded(spark, sf), seed=MASK_SEED, n_tokens=si.CHAR_VOCAB)
+
+
+def q_replace_random(spark, sf):
+    return _replaced(spark, sf).select("source", "doc_id", "chunk_id", _joined("corrupted_ids").alias("corrupted"),
+                                       _joined("replaced").alias("replaced"))
+
+
+def q_masking_audit(spark, sf):
+    return masking.masking_audit(_masked(spark, sf, with_decision=True))
+
+
+def q_mlm_accuracy(spark, sf):
+    m = _masked(spark, sf)
+    preds = F.transform("labels", lambda l, i: F.when(
+        hash_uniform(23, F.col("row_key"), i) < 0.3, l + 1).otherwise(l))
+    return scores.mlm_accuracy(m.withColumn("predictions", preds), by=["source"]) \
+        .withColumn("mlm_accuracy", _r6(F.col("mlm_accuracy")))
+
+
+def q_replaced_token_scores(spark, sf):
+    r = _replaced(spark, sf)
+    logits = F.transform("replaced", lambda y, i: F.round((hash_uniform(29, F.col("row_key"), i) - 0.5) * 4.0))
+    mask = F.transform("input_ids", lambda x: F.when(x != 0, F.lit(1)).otherwise(F.lit(0)))
+    out = scores.replaced_token_scores(r.withColumn("logits", logits).withColumn("attention_mask", mask),
+                                       by=["source"])
+    return out.select("source", *[_r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
+# ---- classification / regression scores (stand-in predictions flip labels by a seeded hash)
+def _predicted(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    sp = od.train_test_split(sh, 0.8, ["row_no"])
+    flip = hash_uniform(17, F.col("doc_id")) < 0.2
+    return sp.withColumn("prediction", F.when(flip, 1 - F.col("label")).otherwise(F.col("label")))
+
+
+def _r6_all(df, keep):
+    return df.select(*keep, *[_r6(F.col(c)).alias(c) for c in df.columns if c not in keep])
+
+
+def q_binary_scores(spark, sf):
+    return _r6_all(scores.binary_scores(_predicted(spark, sf), by=["split"]), ["split", "n"])
+
+
+def _emb_predicted(spark, sf):
+    e = si.table(spark, sf, "embeddings").select("vec_id", "label")
+    flip = hash_uniform(31, F.col("vec_id")) < 0.3
+    return e.withColumn("prediction", F.when(flip, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+def q_class_scores(spark, sf):
+    cs = scores.class_scores(_emb_predicted(spark, sf)).drop("tp", "actual")
+    return _r6_all(cs, ["label"])
+
+
+def q_multiclass_scores(spark, sf):
+    return _r6_all(scores.multiclass_scores(_emb_predicted(spark, sf)), [])
+
+
+def q_regression_scores(spark, sf):
+    d = si.table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("label"))
+    d = d.withColumn("prediction", F.col("label") + hash_uniform(37, F.col("doc_id")) - 0.5)
+    return _r6_all(scores.regression_scores(d), [])
+
+
+# ---- run analytics (events stand in for run metrics)
+def _metrics(spark, sf):
+    return si.run_metrics_in(spark, sf)
+
+
+def _batches(spark, sf):
+    m = _metrics(spark, sf)
+    return m.withColumn("batch_id", ((F.col("step") - 1) / 10).cast("long"))
+
+
+def q_eval_summary(spark, sf):
+    return _r6_all(scores.eval_summary(_batches(spark, sf)), ["run_id", "n_batches"])
+
+
+def q_run_summary(spark, sf):
+    return _r6_all(runs_ops.run_summary(_metrics(spark, sf)), ["run_id", "n_steps"])
+
+
+def _objectives(spark, sf):
+    return runs_ops.run_objective(runs_ops.run_summary(_metrics(spark, sf)), scores.eval_summary(_batches(spark, sf)))
+
+
+def q_run_objective(spark, sf):
+    return _r6_all(_objectives(spark, sf), ["run_id"])
+
+
+def q_best_trial(spark, sf):
+    t = _objectives(spark, sf).select(F.col("run_id").cast("long").alias("trial_id"), F.col("objective").alias("value"))
+    return _r6_all(runs_ops.best_trial(t, direction="minimize"), ["trial_id"])
+
+
+def q_early_stopping(spark, sf):
+    r = runs_ops.early_stopping(_metrics(spark, sf), "loss", patience=3, delta=0.0, mode="min")
+    return _r6_all(r, ["run_id", "best_step", "stop_step"])
+
+
+def q_early_stopping_max(spark, sf):
+    r = runs_ops.early_stopping(_metrics(spark, sf), "accuracy", patience=4, delta=0.02, mode="max")
+    return _r6_all(r, ["run_id", "best_step", "stop_step"])
+
+
+def q_selected_epoch_score(spark, sf):
+    m = _metrics(spark, sf).withColumn("score", F.col("accuracy"))
+    stops = runs_ops.early_stopping(m, "loss", patience=3, delta=0.0, mode="min")
+    return _r6_all(runs_ops.selected_epoch_score(m, stops), ["run_id", "selected_step"])
+
+
+def q_cv_mean(spark, sf):
+    p = _predicted(spark, sf).where(F.col("split") == "train").drop("split")
+    folds = od.kfold(p, 5, ["row_no"])
+    fs = scores.binary_scores(folds, by=["fold"]).select(F.lit(0).alias("trial_id"), "fold", F.col("f1").alias("score"))
+    return _r6_all(runs_ops.cv_mean(fs), ["trial_id", "n_folds"])
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
@@ -319,6 +472,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "label_counts": q_label_counts,
         "label_counts_folds": q_label_counts_folds,
         "next_run_id": q_next_run_id,
+        "mask_tokens": q_mask_tokens,
+        "mask_tokens_hard": q_mask_tokens_hard,
+        "replace_random": q_replace_random,
+        "masking_audit": q_masking_audit,
+        "mlm_accuracy": q_mlm_accuracy,
+        "replaced_token_scores": q_replaced_token_scores,
+        "binary_scores": q_binary_scores,
+        "class_scores": q_class_scores,
+        "multiclass_scores": q_multiclass_scores,
+        "regression_scores": q_regression_scores,
+        "eval_summary": q_eval_summary,
+        "run_summary": q_run_summary,
+        "run_objective": q_run_objective,
+        "best_trial": q_best_trial,
+        "early_stopping": q_early_stopping,
+        "early_stopping_max": q_early_stopping_max,
+        "selected_epoch_score": q_selected_epoch_score,
+        "cv_mean": q_cv_mean,
     }
 
 
@@ -594,6 +765,194 @@ x AS (SELECT t.model_type, CAST(CASE WHEN mx IS NULL THEN 0 ELSE mx + 1 END AS V
 SELECT model_type, model_type || '_' || CASE WHEN length(v) < 2 THEN lpad(v, 2, '0') ELSE v END AS next_run FROM x""",
     }
 
+
+def s_uh(h: str, word: int = 0) -> str:
+    return f"(('0x' || substr({h}, {1 + 8 * word}, 8))::UBIGINT / 4294967296.0)"
+
+
+def s_enc() -> str:
+    chars = "list_filter(string_split(sequence, ''), lambda c: c <> '')"
+    ids = f"list_transform({chars}, lambda c: (unicode(c) % 27) + 5)"
+    return f"""seqs AS ({s_small_corpus()}),
+enc AS (
+  SELECT source, doc_id, chunk_id, concat_ws(':', source, doc_id, chunk_id) AS k,
+         list_resize(list_concat([1], list_slice({ids}, 1, {MASK_LEN - 2}), [2]), {MASK_LEN}, 0) AS ids
+  FROM seqs),
+pos AS (SELECT source, doc_id, chunk_id, k, unnest(ids) AS x, unnest(range(0, len(ids))) AS i FROM enc),
+hp AS (SELECT *, CASE WHEN x NOT IN (0, 1, 2, 3) THEN md5(concat_ws(':', '{MASK_SEED}', k, i)) END AS h FROM pos)"""
+
+
+def s_soft() -> str:
+    return f"""{s_enc()},
+d1 AS (SELECT *, (h IS NOT NULL AND {s_uh('h', 0)} < 0.15) AS sel FROM hp),
+d2 AS (SELECT *, (sel AND {s_uh('h', 1)} < 0.8) AS rep FROM d1),
+d3 AS (SELECT *, (sel AND NOT rep AND {s_uh('h', 2)} < 0.5) AS rnd,
+              CAST(floor({s_uh('h', 3)} * 32) AS INTEGER) AS rid FROM d2),
+d4 AS (SELECT *, CASE WHEN rep THEN 4 WHEN rnd THEN rid ELSE x END AS m,
+              CASE WHEN sel THEN x ELSE -100 END AS l,
+              CASE WHEN rep THEN 1 WHEN rnd THEN 2 WHEN sel THEN 3 WHEN h IS NOT NULL THEN 0 ELSE -1 END AS d
+       FROM d3)"""
+
+
+def s_hard() -> str:
+    return f"""{s_enc()},
+d1 AS (SELECT *, (h IS NOT NULL AND {s_uh('h', 0)} < 0.15) AS sel FROM hp),
+d4 AS (SELECT *, CASE WHEN sel THEN 4 ELSE x END AS m, x AS l FROM d1)"""
+
+
+def s_replaced() -> str:
+    return f"""{s_hard()},
+r1 AS (SELECT *, CASE WHEN m = 4 THEN md5(concat_ws(':', '{MASK_SEED}', 'r', k, i)) END AS h2 FROM d4),
+r2 AS (SELECT *, CAST(floor({s_uh('h2', 0)} * 32) AS INTEGER) AS rid2 FROM r1),
+r3 AS (SELECT *, CASE WHEN h2 IS NOT NULL THEN rid2 ELSE x END AS c,
+              CASE WHEN h2 IS NOT NULL AND rid2 <> x THEN 1 ELSE 0 END AS y FROM r2)"""
+
+
+def s_agg_lists(src: str, cols: dict) -> str:
+    aggs = ", ".join(f"string_agg(CAST({e} AS VARCHAR), ',' ORDER BY i) AS {n}" for n, e in cols.items())
+    return f"SELECT source, doc_id, chunk_id, {aggs} FROM {src} GROUP BY source, doc_id, chunk_id"
+
+
+def s_bin_scores(src: str, by: str) -> str:
+    grp = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    return f"""sc AS (SELECT {grp}count(*) AS n, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy,
+       sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+       sum(CASE WHEN prediction = 1 THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS ap
+  FROM {src} {gb}),
+sc2 AS (SELECT *, CASE WHEN pp <> 0 THEN tp / pp ELSE 0.0 END AS precision,
+               CASE WHEN ap <> 0 THEN tp / ap ELSE 0.0 END AS recall FROM sc),
+sc3 AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
+               AS f1 FROM sc2)"""
+
+
+PREDICTED = f"""{LAB_SH},
+sp AS (SELECT *, CASE WHEN row_no < floor((SELECT count(*) FROM lab) * 0.8) THEN 'train' ELSE 'test' END AS split
+       FROM lsh),
+pr AS (SELECT *, CASE WHEN {s_u(17, 'doc_id')} < 0.2 THEN 1 - label ELSE label END AS prediction FROM sp)"""
+
+EMB = f"""e AS (SELECT vec_id, label, CASE WHEN {s_u(31, 'vec_id')} < 0.3 THEN (label + 1) % 10 ELSE label END
+                 AS prediction FROM embeddings),
+cls AS (SELECT label AS c FROM e UNION SELECT prediction FROM e),
+per AS (SELECT c, sum(CASE WHEN label = c THEN 1 ELSE 0 END) AS actual,
+               sum(CASE WHEN prediction = c THEN 1 ELSE 0 END) AS predicted,
+               sum(CASE WHEN label = c AND prediction = c THEN 1 ELSE 0 END) AS tp
+        FROM cls, e GROUP BY c),
+per2 AS (SELECT *, CASE WHEN predicted <> 0 THEN tp / predicted ELSE 0.0 END AS precision,
+                CASE WHEN actual <> 0 THEN tp / actual ELSE 0.0 END AS recall FROM per),
+per3 AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
+                AS f1 FROM per2)"""
+
+METRICS = """metrics AS (
+  SELECT CAST(user_id AS VARCHAR) AS run_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+         value AS loss, 1.0 / (1.0 + value) AS accuracy FROM events)"""
+
+SUMMARY = f"""{METRICS},
+mm AS (SELECT *, loss - lag(loss) OVER (PARTITION BY run_id ORDER BY step) AS delta,
+              CAST(row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS DOUBLE) AS x FROM metrics),
+summ AS (
+  SELECT run_id, arg_max(loss, step) AS final_loss, arg_max(accuracy, step) AS final_accuracy,
+         avg(loss) AS mean_loss, stddev_pop(loss) AS std_loss, avg(accuracy) AS mean_accuracy,
+         stddev_pop(accuracy) AS std_accuracy, avg(delta) AS mean_loss_delta, stddev_pop(delta) AS std_loss_delta,
+         regr_slope(loss, x) AS loss_trend_slope, count(*) AS n_steps
+  FROM mm GROUP BY run_id),
+bt AS (SELECT run_id, (step - 1) // 10 AS batch_id, avg(loss) AS l, avg(accuracy) AS a FROM metrics
+       GROUP BY run_id, batch_id),
+ev AS (SELECT run_id, avg(l) AS eval_loss, avg(a) AS eval_accuracy, count(*) AS n_batches FROM bt GROUP BY run_id),
+obj AS (
+  SELECT s.run_id,
+         1.0 * coalesce(final_loss, 0) + 0.0 * coalesce(final_accuracy, 0) + 0.5 * coalesce(std_loss, 0)
+         + 0.0 * coalesce(std_accuracy, 0) + 10.0 * coalesce(mean_loss_delta, 0) + 10.0 * coalesce(std_loss_delta, 0)
+         + 1.0 * coalesce(eval_loss, 0) + 10.0 * coalesce(eval_accuracy, 0) AS objective
+  FROM summ s JOIN ev USING (run_id))"""
+
+
+def s_early(metric: str, patience: int, delta: float, mode: str) -> str:
+    sign = "-" if mode == "min" else ""
+    d = delta if mode == "min" else -delta
+    return f"""es_m AS (SELECT run_id, step, CAST({metric} AS DOUBLE) AS v FROM metrics),
+es(run_id, step, best, best_step, best_value, counter, stop_step) AS (
+  SELECT run_id, step, {sign}v, CAST(step AS BIGINT), v, 0, CAST(NULL AS BIGINT) FROM es_m WHERE step = 1
+  UNION ALL
+  SELECT m.run_id, m.step,
+         CASE WHEN r.stop_step IS NOT NULL OR {sign}m.v < r.best + ({d}) THEN r.best ELSE {sign}m.v END,
+         CASE WHEN r.stop_step IS NOT NULL OR {sign}m.v < r.best + ({d}) THEN r.best_step ELSE m.step END,
+         CASE WHEN r.stop_step IS NOT NULL OR {sign}m.v < r.best + ({d}) THEN r.best_value ELSE m.v END,
+         CASE WHEN r.stop_step IS NOT NULL THEN r.counter
+              WHEN {sign}m.v < r.best + ({d}) THEN r.counter + 1 ELSE 0 END,
+         CASE WHEN r.stop_step IS NOT NULL THEN r.stop_step
+              WHEN {sign}m.v < r.best + ({d}) AND r.counter + 1 >= {patience} THEN m.step END
+  FROM es r JOIN es_m m ON m.run_id = r.run_id AND m.step = r.step + 1),
+stops AS (SELECT run_id, arg_max(best_step, step) AS best_step, arg_max(best_value, step) AS best_value,
+                 arg_max(stop_step, step) AS stop_step FROM es GROUP BY run_id)"""
+
+
+def _oracle_batch3() -> dict[str, str]:
+    r = "round"
+    return {
+        "mask_tokens": f"WITH {s_soft()} " + s_agg_lists("d4", {"masked": "m", "labels": "l"}),
+        "mask_tokens_hard": f"WITH {s_hard()} " + s_agg_lists("d4", {"masked": "m", "labels": "l"}),
+        "replace_random": f"WITH {s_replaced()} " + s_agg_lists("r3", {"corrupted": "c", "replaced": "y"}),
+        "masking_audit": f"""WITH {s_soft()}
+SELECT source, count(*) AS n_maskable, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_selected,
+       round(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) / count(*), 6) AS share_selected,
+       round(sum(CASE WHEN d = 1 THEN 1 ELSE 0 END) / sum(CASE WHEN d > 0 THEN 1 ELSE 0 END), 6) AS share_masked,
+       round(sum(CASE WHEN d = 2 THEN 1 ELSE 0 END) / sum(CASE WHEN d > 0 THEN 1 ELSE 0 END), 6) AS share_random,
+       round(sum(CASE WHEN d = 3 THEN 1 ELSE 0 END) / sum(CASE WHEN d > 0 THEN 1 ELSE 0 END), 6) AS share_kept
+FROM d4 WHERE d >= 0 GROUP BY source""",
+        "mlm_accuracy": f"""WITH {s_soft()},
+pp AS (SELECT *, CASE WHEN {s_uh("md5(concat_ws(':', '23', k, i))")} < 0.3 THEN l + 1 ELSE l END AS p FROM d4)
+SELECT source, round(avg(CASE WHEN p = l THEN 1.0 ELSE 0.0 END), 6) AS mlm_accuracy, count(*) AS n_masked
+FROM pp WHERE m = 4 GROUP BY source""",
+        "replaced_token_scores": f"""WITH {s_replaced()},
+g AS (SELECT *, round(({s_uh("md5(concat_ws(':', '29', k, i))")} - 0.5) * 4.0) AS lg FROM r3 WHERE x <> 0),
+g2 AS (SELECT *, (sign(lg) + 1.0) * 0.5 AS prd FROM g),
+g3 AS (SELECT *, CAST(trunc(prd) AS INTEGER) AS pl FROM g2),
+agg AS (SELECT source, avg(CASE WHEN prd = y THEN 1.0 ELSE 0.0 END) AS accuracy,
+               sum(CASE WHEN pl = 1 AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pl = 1 THEN 1 ELSE 0 END) AS pp,
+               sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS ap FROM g3 GROUP BY source)
+SELECT source, round(accuracy, 6) AS accuracy, round(CASE WHEN pp <> 0 THEN tp / pp ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN ap <> 0 THEN tp / ap ELSE 0.0 END, 6) AS recall FROM agg""",
+        "binary_scores": f"""WITH {PREDICTED}, {s_bin_scores('pr', 'split')}
+SELECT split, n, {r}(accuracy, 6) AS accuracy, {r}(precision, 6) AS precision, {r}(recall, 6) AS recall,
+       {r}(f1, 6) AS f1 FROM sc3""",
+        "class_scores": f"""WITH {EMB}
+SELECT c AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM per3""",
+        "multiclass_scores": f"""WITH {EMB}
+SELECT round(sum(tp) / sum(actual), 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM per3""",
+        "regression_scores": f"""WITH d AS (SELECT doc_id, n_chars / 1000.0 AS label FROM documents),
+p AS (SELECT *, label + {s_u(37, 'doc_id')} - 0.5 AS prediction FROM d)
+SELECT round(avg(abs(prediction - label)), 6) AS mae, round(avg((prediction - label) * (prediction - label)), 6) AS mse,
+       round(CASE WHEN var_pop(label) > 0 THEN 1 - avg((prediction - label) * (prediction - label)) / var_pop(label)
+             ELSE 0.0 END, 6) AS r2 FROM p""",
+        "eval_summary": f"""WITH {SUMMARY}
+SELECT run_id, n_batches, round(eval_loss, 6) AS eval_loss, round(eval_accuracy, 6) AS eval_accuracy FROM ev""",
+        "run_summary": f"""WITH {SUMMARY}
+SELECT run_id, n_steps, round(final_loss, 6) AS final_loss, round(final_accuracy, 6) AS final_accuracy,
+       round(mean_loss, 6) AS mean_loss, round(std_loss, 6) AS std_loss, round(mean_accuracy, 6) AS mean_accuracy,
+       round(std_accuracy, 6) AS std_accuracy, round(mean_loss_delta, 6) AS mean_loss_delta,
+       round(std_loss_delta, 6) AS std_loss_delta, round(loss_trend_slope, 6) AS loss_trend_slope FROM summ""",
+        "run_objective": f"WITH {SUMMARY} SELECT run_id, round(objective, 6) AS objective FROM obj",
+        "best_trial": f"""WITH {SUMMARY}
+SELECT CAST(run_id AS BIGINT) AS trial_id, round(objective, 6) AS value FROM obj
+ORDER BY objective, CAST(run_id AS BIGINT) LIMIT 1""",
+        "early_stopping": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')}
+SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
+        "early_stopping_max": f"""WITH RECURSIVE {METRICS}, {s_early('accuracy', 4, 0.02, 'max')}
+SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
+        "selected_epoch_score": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')},
+last AS (SELECT run_id, max(step) AS last_step, arg_max(loss, step) AS last_loss FROM metrics GROUP BY run_id),
+pick AS (SELECT s.run_id, CASE WHEN stop_step IS NOT NULL OR best_value < last_loss THEN best_step ELSE last_step END
+                AS selected_step FROM stops s JOIN last USING (run_id))
+SELECT p.run_id, p.selected_step, round(m.accuracy, 6) AS score
+FROM pick p JOIN metrics m ON m.run_id = p.run_id AND m.step = p.selected_step""",
+        "cv_mean": f"""WITH {PREDICTED},
+tr AS (SELECT *, ntile(5) OVER (ORDER BY row_no) - 1 AS fold FROM pr WHERE split = 'train'),
+{s_bin_scores('tr', 'fold')}
+SELECT 0 AS trial_id, round(avg(f1), 6) AS cv_score, count(*) AS n_folds FROM sc3""",
+    }
+
 def oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
@@ -603,4 +962,5 @@ def oracle_sql() -> dict[str, str]:
                          "WHERE source = 'calls' GROUP BY text",
         "count_documents": f"WITH {DOCS_IN} SELECT source, count(*) AS n_documents FROM docs_in GROUP BY source",
         **_oracle_batch2(),
+        **_oracle_batch3(),
     }

@@ -70,7 +70,7 @@ def run_metrics_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(
         F.col("user_id").cast("string").alias("run_id"),
-        F.row_number().over(w).alias("step"),
+        F.row_number().over(w).cast("long").alias("step"),
         F.col("value").alias("loss"),
         (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy"),
         F.col("event_type").alias("tag"),
@@ -84,3 +84,23 @@ def standin_parts(labelled: "DataFrame", seed: int = 3, train_share: float = 0.8
 
     u = hash_uniform(seed, F.col("doc_id"))
     return {"train": labelled.where(u < train_share), "test": labelled.where(u >= train_share)}
+
+
+# The character-level stand-in vocabulary used to give the masking
+# and token-metric operators oracle-checkable id arrays (27 buckets after the 5 specials).
+CHAR_BUCKETS = 27
+CHAR_VOCAB = CHAR_BUCKETS + 5
+
+
+def char_ids(text, max_length: int):
+    """Stand-in encoder: code point of each character -> ``code % 27 + 5``,
+    wrapped as ``[seq] ids [/seq]``, truncated and padded to ``max_length``."""
+    from ..functions.arrays import pad_truncate
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    ids = F.transform(chars, lambda c: (F.ascii(c) % CHAR_BUCKETS) + 5)
+    return pad_truncate(ids, max_length)
+
+
+def row_key(*cols):
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
