@@ -19,6 +19,8 @@ from scriptorium.operators import filters as flt
 from scriptorium.operators import labelled
 from scriptorium.operators import ordering as od
 from scriptorium.operators import masking
+from scriptorium.operators import models
+from scriptorium.operators import vocab
 from scriptorium.operators import runs as runs_ops
 from scriptorium.operators import scores
 from scriptorium.functions.random import hash_uniform
@@ -428,6 +430,116 @@ def q_cv_mean(spark, sf):
     fs = scores.binary_scores(folds, by=["fold"]).select(F.lit(0).alias("trial_id"), "fold", F.col("f1").alias("score"))
     return _r6_all(runs_ops.cv_mean(fs), ["trial_id", "n_folds"])
 
+
+# ---- vocabulary, encoding
+VOCAB_SIZE = 1000
+ENCODE_LEN = 64
+DOC_SEQS = 4
+DOC_SEQ_LEN = 16
+
+
+def q_normalize_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+
+
+def q_pretokenize(spark, sf):
+    return _docs(spark, sf).select(
+        "doc_id", posexplode_rows(tx.pretokenize(tx.normalize_text(F.col("text")))).alias("idx", "token"))
+
+
+def q_word_frequencies(spark, sf):
+    return vocab.word_frequencies(_docs(spark, sf))
+
+
+def _vocab(spark, sf):
+    return vocab.learn_vocabulary(vocab.word_frequencies(_docs(spark, sf)), VOCAB_SIZE, min_frequency=5,
+                                  merges_per_round=64)
+
+
+def q_learn_vocabulary(spark, sf):
+    return _vocab(spark, sf)
+
+
+def q_encode_words(spark, sf):
+    return vocab.encode_words(vocab.word_frequencies(_docs(spark, sf)), _vocab(spark, sf)) \
+        .select("word", "freq", _joined("ids").alias("ids"))
+
+
+def q_vocab_lookup(spark, sf):
+    return vocab.vocab_lookup(vocab.word_frequencies(_docs(spark, sf)), _vocab(spark, sf))
+
+
+def q_encode_sequences(spark, sf):
+    enc = vocab.encode_sequences(q_chunk_corpus_small(spark, sf), _vocab(spark, sf), ENCODE_LEN)
+    return enc.select("source", "doc_id", "chunk_id", _joined("input_ids").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_tokens"))
+
+
+def q_pad_truncate(spark, sf):
+    seqs = q_chunk_corpus_small(spark, sf)
+    return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), 16), ",").alias("ids"))
+
+
+def q_pad_documents(spark, sf):
+    sents = ch.document_sequences(si.labelled_in(spark, sf))
+    enc = sents.select("doc_id", "seq_idx", si.char_ids(F.col("sentence"), DOC_SEQ_LEN).alias("input_ids"))
+    enc = enc.withColumn("attention_mask", F.transform("input_ids", lambda x: F.when(x != 0, 1).otherwise(0)))
+    padded = labelled.pad_documents(enc, DOC_SEQS, DOC_SEQ_LEN)
+    rows = lambda c: F.array_join(F.transform(c, lambda a: F.array_join(a, ",")), "|")
+    return padded.select("doc_id", rows(F.col("input_ids")).alias("input_ids"),
+                         _joined("sequence_mask").alias("sequence_mask"))
+
+
+# ---- Spark ML probes and attention
+POOL_SEQS = 6
+EMB_DIM = 64
+
+
+def _seq_vectors(spark, sf):
+    e = si.table(spark, sf, "embeddings")
+    return e.select((F.col("vec_id") / 8).cast("long").alias("doc_id"), (F.col("vec_id") % 8).cast("int").alias("seq_idx"),
+                    "embedding")
+
+
+def q_attention_pool(spark, sf):
+    p = models.attention_pool(_seq_vectors(spark, sf), POOL_SEQS, EMB_DIM)
+    return p.select("doc_id", F.col("n_sequences").cast("long").alias("n_sequences"),
+                    F.round(F.aggregate("doc_vector", F.lit(0.0), lambda a, b: a + b), 5).alias("vec_sum"),
+                    F.round(F.sqrt(F.aggregate("doc_vector", F.lit(0.0), lambda a, b: a + b * b)), 5).alias("vec_norm"))
+
+
+def q_rank_sentences(spark, sf):
+    p = models.attention_pool(_seq_vectors(spark, sf), POOL_SEQS, EMB_DIM)
+    sents = ch.document_sequences(si.table(spark, sf, "documents"))
+    r = models.rank_sentences(p, sents)
+    return r.select("doc_id", "rank", "seq_idx", "sentence", F.round("weight", 5).alias("weight"))
+
+
+def q_linear_separability(spark, sf):
+    return models.linear_separability(si.table(spark, sf, "embeddings"))
+
+
+def q_svm_separability(spark, sf):
+    return models.svm_separability(si.table(spark, sf, "embeddings"))
+
+
+def _cv_parts(spark, sf):
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    sp = od.train_test_split(sh, 0.8, ["row_no"])
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
+def q_cv_search(spark, sf):
+    train, _ = _cv_parts(spark, sf)
+    return models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
+
+
+def q_final_evaluation(spark, sf):
+    train, test = _cv_parts(spark, sf)
+    res = models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
+    best = runs_ops.best_trial(res, value="cv_score", direction="maximize").first().asDict()
+    return models.final_evaluation(train.drop("split"), test.drop("split"), best)
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
@@ -490,6 +602,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "early_stopping_max": q_early_stopping_max,
         "selected_epoch_score": q_selected_epoch_score,
         "cv_mean": q_cv_mean,
+        "normalize_text": q_normalize_text,
+        "pretokenize": q_pretokenize,
+        "word_frequencies": q_word_frequencies,
+        "learn_vocabulary": q_learn_vocabulary,
+        "encode_words": q_encode_words,
+        "vocab_lookup": q_vocab_lookup,
+        "encode_sequences": q_encode_sequences,
+        "pad_truncate": q_pad_truncate,
+        "pad_documents": q_pad_documents,
+        "attention_pool": q_attention_pool,
+        "rank_sentences": q_rank_sentences,
+        "linear_separability": q_linear_separability,
+        "svm_separability": q_svm_separability,
+        "cv_search": q_cv_search,
+        "final_evaluation": q_final_evaluation,
     }
 
 
@@ -953,6 +1080,61 @@ tr AS (SELECT *, ntile(5) OVER (ORDER BY row_no) - 1 AS fold FROM pr WHERE split
 SELECT 0 AS trial_id, round(avg(f1), 6) AS cv_score, count(*) AS n_folds FROM sc3""",
     }
 
+
+PRETOKEN_RE2 = r"\p{Nd}|[\pL\p{Pc}]+|[^\pL\p{Nd}\p{Pc}\s]+"
+
+
+def s_norm(t: str) -> str:
+    return f"strip_accents(lower(trim({t}, chr(32) || chr(10))))"
+
+
+def s_charids(x: str, length: int) -> str:
+    chars = f"list_filter(string_split({x}, ''), lambda c: c <> '')"
+    ids = f"list_transform({chars}, lambda c: (unicode(c) % 27) + 5)"
+    return f"list_resize(list_concat([1], list_slice({ids}, 1, {length - 2}), [2]), {length}, 0)"
+
+
+def _oracle_batch4() -> dict[str, str]:
+    zeros = ",".join(["0"] * DOC_SEQ_LEN)
+    pool = f"""v AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+       WHERE vec_id % 8 < {POOL_SEQS}),
+n AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id),
+q AS (SELECT n.doc_id, t.q FROM n CROSS JOIN range({POOL_SEQS}) t(q)),
+qv AS (SELECT q.doc_id, q.q, v.x AS qx FROM q LEFT JOIN v ON v.doc_id = q.doc_id AND v.k = q.q),
+sc AS (SELECT qv.doc_id, qv.q, v.k, v.x, coalesce(list_inner_product(qv.qx, v.x), 0.0) / sqrt({EMB_DIM}) AS s
+       FROM qv JOIN v ON v.doc_id = qv.doc_id),
+w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, q)) AS e FROM sc),
+w2 AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, q) AS a FROM w),
+kw AS (SELECT doc_id, k, sum(a) AS weight, any_value(x) AS x FROM w2 GROUP BY doc_id, k)"""
+    return {
+        "normalize_text": f"SELECT doc_id, {s_norm('text')} AS text FROM documents",
+        "pretokenize": "WITH d AS (SELECT doc_id, " + s_norm("text") + " AS t FROM documents) "
+                       + s_explode(f"regexp_extract_all(t, '{PRETOKEN_RE2}')", "d", val="token"),
+        "word_frequencies": f"""SELECT word, count(*) AS freq FROM (
+  SELECT unnest(regexp_extract_all({s_norm('text')}, '{PRETOKEN_RE2}')) AS word FROM documents) GROUP BY word""",
+        "pad_truncate": f"""WITH seqs AS ({s_small_corpus()})
+SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', 16)}, ',') AS ids FROM seqs""",
+        "pad_documents": f"""WITH {LAB},
+s AS ({s_explode(s_simple_split('text'), 'lab', idx='seq_idx')}),
+e AS (SELECT doc_id, seq_idx, {s_charids('sentence', DOC_SEQ_LEN)} AS ids FROM s WHERE seq_idx < {DOC_SEQS}),
+g AS (SELECT doc_id, list(array_to_string(ids, ',') ORDER BY seq_idx) AS l, count(*) AS n FROM e GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_concat(l, list_resize([]::VARCHAR[], {DOC_SEQS} - n, '{zeros}')), '|')
+       AS input_ids,
+       array_to_string(list_concat(list_resize([]::INTEGER[], n, 1), list_resize([]::INTEGER[], {DOC_SEQS} - n, 0)),
+                       ',') AS sequence_mask FROM g""",
+        "attention_pool": f"""WITH {pool},
+kd AS (SELECT doc_id, k, weight, unnest(x) AS xv, unnest(range(0, len(x))) AS d FROM kw),
+dv AS (SELECT doc_id, d, sum(weight * xv) / {POOL_SEQS} AS val FROM kd GROUP BY doc_id, d)
+SELECT dv.doc_id, n.n AS n_sequences, round(sum(val), 5) AS vec_sum, round(sqrt(sum(val * val)), 5) AS vec_norm
+FROM dv JOIN n USING (doc_id) GROUP BY dv.doc_id, n.n""",
+        "rank_sentences": f"""WITH {pool},
+rk AS (SELECT doc_id, CAST(k AS INTEGER) AS seq_idx, weight,
+              row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, k) AS rank FROM kw),
+st AS ({s_explode(s_simple_split('text'), 'documents', idx='seq_idx')})
+SELECT rk.doc_id, rk.rank, rk.seq_idx, st.sentence, round(rk.weight, 5) AS weight
+FROM rk JOIN st ON st.doc_id = rk.doc_id AND st.seq_idx = rk.seq_idx""",
+    }
+
 def oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
@@ -963,4 +1145,5 @@ def oracle_sql() -> dict[str, str]:
         "count_documents": f"WITH {DOCS_IN} SELECT source, count(*) AS n_documents FROM docs_in GROUP BY source",
         **_oracle_batch2(),
         **_oracle_batch3(),
+        **_oracle_batch4(),
     }

@@ -32,3 +32,25 @@ def labelled_union(parts: dict[str, DataFrame], seed: int = 42, key: str = "doc_
 def label_counts(df: DataFrame, by: list[str] | tuple = (), label: str = "label") -> DataFrame:
     """A4: sorted distinct labels with counts, per ``by`` group (split, fold ...)."""
     return df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n")).orderBy(*by, label)
+
+
+def pad_documents(seqs: DataFrame, max_sequences: int, length: int, doc: str = "doc_id", idx: str = "seq_idx",
+                  keep: tuple = ()) -> DataFrame:
+    """Per document, the first ``max_sequences`` encoded sequences (in
+    ``seq_idx`` order) as ``ARRAY<ARRAY<INT>>`` ids and masks, padded with zero rows
+    to exactly ``max_sequences``; ``sequence_mask`` is 1 for real rows.
+
+    Rows past ``max_sequences`` are dropped before the group-by, so each group
+    holds at most ``max_sequences`` rows however long the document is."""
+    kept = seqs.where(F.col(idx) < max_sequences)
+    g = kept.groupBy(doc, *keep).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(idx).alias("i"), F.col("input_ids").alias("ids"), F.col("attention_mask").alias("m"))))
+        .alias("_s"))
+    n = F.size("_s")
+    pad_rows = F.array_repeat(F.array_repeat(F.lit(0), length), F.lit(max_sequences) - n)
+    return g.select(
+        doc, *keep,
+        F.concat(F.transform("_s", lambda e: e["ids"]), pad_rows).alias("input_ids"),
+        F.concat(F.transform("_s", lambda e: e["m"]), pad_rows).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_sequences) - n)).alias("sequence_mask"),
+    )
