@@ -540,6 +540,59 @@ def q_final_evaluation(spark, sf):
     best = runs_ops.best_trial(res, value="cv_score", direction="maximize").first().asDict()
     return models.final_evaluation(train.drop("split"), test.drop("split"), best)
 
+
+# ---- Structured Streaming (ST1, ST2) and the chunk sink
+def _scratch(spark, name):
+    import uuid
+
+    from scriptorium.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_stream_chunk(spark, sf):
+    from scriptorium.streaming.chunk_stream import start_chunk_stream
+
+    raw = si.table(spark, sf, "documents")
+    inbox, out, ck = _scratch(spark, "inbox"), _scratch(spark, "stream-chunks"), _scratch(spark, "stream-chunks-ckpt")
+    # Documents arrive as successive files (doc-id ranges covering the whole table).
+    last = raw.agg(F.max("doc_id")).first()[0] or 0
+    width = max(1, -(-(last + 1) // 4))
+    for lo in range(0, last + 1, width):
+        raw.where((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + width)).write.mode("append").parquet(inbox)
+    q = start_chunk_stream(spark, inbox, raw.schema, out, ck, prepare=si.documents_in_from,
+                           profiles=SMALL_PROFILES, chunk_words=SMALL_WORDS, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("source", "doc_id", "chunk_id", "sequence")
+
+
+def q_stream_early_stopping(spark, sf):
+    from scriptorium.streaming.early_stop_stream import stream_early_stopping
+
+    src, out, ck = _scratch(spark, "metrics"), _scratch(spark, "stops"), _scratch(spark, "stops-ckpt")
+    m = _metrics(spark, sf).select("run_id", "step", "loss")
+    # Metrics arrive over time in step order: write successive step ranges as
+    # successive files, so each micro-batch continues every run's history.
+    last = m.agg(F.max("step")).first()[0] or 0
+    width = max(1, -(-last // 4))
+    for lo in range(1, last + 1, width):
+        m.where((F.col("step") >= lo) & (F.col("step") < lo + width)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream_early_stopping(stream, "loss", patience=3, delta=0.0, mode="min").writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.groupBy("run_id").agg(F.max_by(F.struct("best_step", "best_value", "stop_step"), "last_step").alias("r")) \
+        .select("run_id", "r.best_step", F.round("r.best_value", 6).alias("best_value"), "r.stop_step")
+
+
+def q_write_chunks(spark, sf):
+    from scriptorium.sources.sinks import write_chunks
+
+    path = _scratch(spark, "chunks")
+    write_chunks(q_chunk_corpus_small(spark, sf), path)
+    return spark.read.parquet(path).select("source", "doc_id", "chunk_id", "sequence")
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
@@ -617,6 +670,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "svm_separability": q_svm_separability,
         "cv_search": q_cv_search,
         "final_evaluation": q_final_evaluation,
+        "stream_chunk": q_stream_chunk,
+        "stream_early_stopping": q_stream_early_stopping,
+        "write_chunks": q_write_chunks,
     }
 
 
@@ -1135,6 +1191,14 @@ SELECT rk.doc_id, rk.rank, rk.seq_idx, st.sentence, round(rk.weight, 5) AS weigh
 FROM rk JOIN st ON st.doc_id = rk.doc_id AND st.seq_idx = rk.seq_idx""",
     }
 
+def s_chunk_corpus_stream() -> str:
+    """ST1 oracle: the small-profile chunk job without the transcript dedupe."""
+    sql = s_chunk_corpus(SMALL_PROFILES, SMALL_WORDS)
+    return sql.replace("calls_d AS (SELECT min(doc_id) AS doc_id, source, text FROM docs_in WHERE source = 'calls' "
+                       "GROUP BY source, text)",
+                       "calls_d AS (SELECT doc_id, source, text FROM docs_in WHERE source = 'calls')")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
@@ -1146,4 +1210,9 @@ def oracle_sql() -> dict[str, str]:
         **_oracle_batch2(),
         **_oracle_batch3(),
         **_oracle_batch4(),
+        # The streams and the sink give the batch answers, so they share the batch oracles.
+        "stream_chunk": s_chunk_corpus_stream(),
+        "stream_early_stopping": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')}
+SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
+        "write_chunks": s_small_corpus(),
     }

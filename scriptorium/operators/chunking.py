@@ -104,6 +104,8 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     Large inputs already scan as many partitions and are left alone (no shuffle
     of the text); a small input read as one row group is hash-partitioned on the
     document key, which is deterministic on retry and balanced for unique keys."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
@@ -125,7 +127,7 @@ def _profile_col(profiles: dict[str, ChunkProfile], attr: str, cast: str) -> Col
 
 def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                     max_doc_share: float = DEFAULT_MAX_DOC_SHARE,
-                    exhibits=CURRENT_FILING_EXHIBITS) -> DataFrame:
+                    exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool = True) -> DataFrame:
     """Per-source fetch + clean (S1-S2, F1-F4, X7-X9) -> ``source, doc_id, text``.
 
     Rows removed by a source filter (F1, F2, F3, distinct) are not documents of the
@@ -147,7 +149,8 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
     if "calls" not in profiles:
         return rest
-    calls = scan_distinct(docs.where(src == "calls"))
+    calls = docs.where(src == "calls")
+    calls = scan_distinct(calls) if distinct_calls else calls
     lines = F.split(text, "\n", -1)
     calls = calls.where(text.isNull() | (F.size(lines) >= 5)).select(
         "source", "doc_id", F.array_join(strip_speaker_prefixes(lines), " ").alias("text"))
@@ -155,14 +158,16 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
 
 def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
-                    chunk_words: int = DEFAULT_CHUNK_WORDS, clean: bool = True) -> DataFrame:
+                    chunk_words: int = DEFAULT_CHUNK_WORDS, clean: bool = True,
+                    distinct_calls: bool = True) -> DataFrame:
     """Document-level chunk result: ``source, doc_id, chunks, shares, excluded``.
 
     ``chunks`` is NULL when the document failed (NULL text, too few sentences);
     ``excluded`` is also true when an empty chunk has no score (Q2)."""
     profiles = profiles or DEFAULT_PROFILES
     docs = spread(docs)
-    base = clean_documents(docs, profiles) if clean else docs.select("source", "doc_id", "text")
+    base = clean_documents(docs, profiles, distinct_calls=distinct_calls) if clean \
+        else docs.select("source", "doc_id", "text")
     first = _profile_col(profiles, "trim_first", "int")
     last = _profile_col(profiles, "trim_last", "int")
     empty_share = _profile_col(profiles, "empty_share", "double")
@@ -188,12 +193,12 @@ def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first:
 
 def chunk_corpus(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                  chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE,
-                 clean: bool = True) -> DataFrame:
+                 clean: bool = True, distinct_calls: bool = True) -> DataFrame:
     """T2 (flagship): ``source, doc_id, chunk_id, sequence`` for every kept chunk.
 
     ``chunk_id`` is the chunk's position in its document before the quality
     filter, so the keys are stable lineage (deviation D1)."""
-    doc = chunk_documents(docs, profiles, chunk_words, clean)
+    doc = chunk_documents(docs, profiles, chunk_words, clean, distinct_calls)
     # Exclusion is folded into the generator input instead of a Filter: a Filter on
     # a derived column would be pushed below the projections and re-run the whole
     # text pipeline inside its predicate.

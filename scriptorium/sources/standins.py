@@ -28,7 +28,11 @@ def source_of(raw_source: str = "source") -> F.Column:
 
 def documents_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> ``doc_id, source, doc_type, text``."""
-    docs = table(spark, sf_dir, "documents")
+    return documents_in_from(table(spark, sf_dir, "documents"))
+
+
+def documents_in_from(docs: DataFrame) -> DataFrame:
+    """The same mapping on any (batch or streaming) frame of the ``documents`` schema."""
     exhibit = F.element_at(F.array(*[F.lit(e) for e in STANDIN_EXHIBITS]),
                            (F.col("doc_id") % len(STANDIN_EXHIBITS)).cast("int") + 1)
     src = source_of()
