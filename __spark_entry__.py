@@ -305,6 +305,11 @@ def q_mask_tokens(spark, sf):
                                      _joined("labels").alias("labels"))
 
 
+def q_mask_tokens_arrow(spark, sf):
+    m = masking.mask_tokens_arrow(_char_encoded(spark, sf), seed=MASK_SEED, n_tokens=si.CHAR_VOCAB)
+    return m.select("source", "doc_id", "chunk_id", _joined("masked_ids").alias("masked"), _joined("labels").alias("labels"))
+
+
 def q_mask_tokens_hard(spark, sf):
     return _masked(spark, sf, hard=True, ignore_index=None).select(
         "source", "doc_id", "chunk_id", _joined("masked_ids").alias("masked"), _joined("labels").alias("labels"))
@@ -638,6 +643,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "label_counts_folds": q_label_counts_folds,
         "next_run_id": q_next_run_id,
         "mask_tokens": q_mask_tokens,
+        "mask_tokens_arrow": q_mask_tokens_arrow,
         "mask_tokens_hard": q_mask_tokens_hard,
         "replace_random": q_replace_random,
         "masking_audit": q_masking_audit,
