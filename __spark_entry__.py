@@ -345,6 +345,32 @@ def q_replaced_token_scores(spark, sf):
     return out.select("source", *[_r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
+def _generator_scores(masked):
+    """Stand-in generator output: a logit per masked position and vocabulary id."""
+    at = F.filter(F.transform("masked_ids", lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda e: e["x"] == 4)
+    pos = masked.select("row_key", F.explode(at).alias("e")).select("row_key", "e.pos")
+    cand = pos.select("row_key", "pos", F.explode(F.sequence(F.lit(0), F.lit(si.CHAR_VOCAB - 1))).alias("token_id"))
+    return cand.withColumn("logit", hash_uniform(41, F.col("row_key"), F.col("pos"), F.col("token_id")) * 4.0 - 2.0)
+
+
+def _sampled(spark, sf, mode):
+    m = _masked(spark, sf)
+    r = masking.replace_sampled(m, _generator_scores(m), mode=mode, seed=43)
+    return r.select("source", "doc_id", "chunk_id", _joined("disc_ids").alias("disc"), _joined("disc_labels").alias("labels"))
+
+
+def q_replace_sampled(spark, sf):
+    return _sampled(spark, sf, "aggressive")
+
+
+def q_replace_sampled_gumbel(spark, sf):
+    return _sampled(spark, sf, "gumbel_softmax")
+
+
+def q_replace_sampled_multinomial(spark, sf):
+    return _sampled(spark, sf, "multinomial")
+
+
 # ---- classification / regression scores (stand-in predictions flip labels by a seeded hash)
 def _predicted(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
@@ -647,6 +673,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mask_tokens_hard": q_mask_tokens_hard,
         "replace_random": q_replace_random,
         "masking_audit": q_masking_audit,
+        "replace_sampled": q_replace_sampled,
+        "replace_sampled_gumbel": q_replace_sampled_gumbel,
+        "replace_sampled_multinomial": q_replace_sampled_multinomial,
         "mlm_accuracy": q_mlm_accuracy,
         "replaced_token_scores": q_replaced_token_scores,
         "binary_scores": q_binary_scores,
@@ -1197,6 +1226,27 @@ SELECT rk.doc_id, rk.rank, rk.seq_idx, st.sentence, round(rk.weight, 5) AS weigh
 FROM rk JOIN st ON st.doc_id = rk.doc_id AND st.seq_idx = rk.seq_idx""",
     }
 
+def s_sampled(mode: str) -> str:
+    u_gen = s_uh("md5(concat_ws(':', '41', k, i, t.tok))")
+    cand = f"""{s_soft()},
+mp AS (SELECT source, doc_id, chunk_id, k, i FROM d4 WHERE m = 4),
+cand AS (SELECT mp.*, t.tok, {u_gen} * 4.0 - 2.0 AS logit FROM mp CROSS JOIN range({si.CHAR_VOCAB}) t(tok))"""
+    grp = "source, doc_id, chunk_id, i"
+    if mode == "multinomial":
+        u_pos = s_uh("md5(concat_ws(':', '43', k, i))")
+        draw = f"""e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY {grp})) AS e FROM cand),
+c AS (SELECT *, sum(e) OVER (PARTITION BY {grp} ORDER BY tok ROWS UNBOUNDED PRECEDING) AS c,
+             sum(e) OVER (PARTITION BY {grp}) AS tt, {u_pos} AS u FROM e),
+dr AS (SELECT {grp}, coalesce(min(CASE WHEN c >= u * tt THEN tok END), max(tok)) AS s FROM c GROUP BY {grp})"""
+    else:
+        u_g = s_uh("md5(concat_ws(':', '43', k, i, tok))")
+        score = "logit" if mode == "aggressive" else f"logit - ln(-ln({u_g} + {0.5 / 4294967296.0}))"
+        draw = f"dr AS (SELECT {grp}, first(tok ORDER BY {score} DESC, tok) AS s FROM cand GROUP BY {grp})"
+    return f"""WITH {cand},
+{draw},
+z AS (SELECT d4.*, dr.s FROM d4 LEFT JOIN dr USING (source, doc_id, chunk_id, i))
+{s_agg_lists('z', {'disc': 'coalesce(s, m)', 'labels': 'CASE WHEN s IS NOT NULL AND s <> x THEN 1 ELSE 0 END'})}"""
+
 def s_chunk_corpus_stream() -> str:
     """ST1 oracle: the small-profile chunk job without the transcript dedupe."""
     sql = s_chunk_corpus(SMALL_PROFILES, SMALL_WORDS)
@@ -1221,4 +1271,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_early_stopping": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')}
 SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
         "write_chunks": s_small_corpus(),
+        "replace_sampled": s_sampled("aggressive"),
+        "replace_sampled_gumbel": s_sampled("gumbel_softmax"),
+        "replace_sampled_multinomial": s_sampled("multinomial"),
     }
