@@ -51,11 +51,15 @@ def stream_early_stopping(stream: DataFrame, metric: str = "loss", patience: int
             st = dict(best=b, best_step=bs, best_value=bv, counter=c, stop_step=ss, last_step=ls)
         else:
             st = dict(best=None, best_step=None, best_value=None, counter=0, stop_step=None, last_step=None)
-        rows = pd.concat(list(pdfs)).sort_values("step")
+        parts = [p for p in pdfs if len(p)]
+        rows = pd.concat(parts).sort_values("step") if parts else pd.DataFrame({"step": [], metric: []})
         st = _fold(rows, st, metric, patience, delta, mode)
         state.update((st["best"], st["best_step"], st["best_value"], st["counter"], st["stop_step"], st["last_step"]))
-        yield pd.DataFrame({"run_id": [key[0]], "best_step": [st["best_step"]], "best_value": [st["best_value"]],
-                            "stop_step": [st["stop_step"]], "last_step": [st["last_step"]]})
+        yield pd.DataFrame({"run_id": pd.array([key[0]], dtype="string"),
+                            "best_step": pd.array([st["best_step"]], dtype="Int64"),
+                            "best_value": pd.array([st["best_value"]], dtype="Float64"),
+                            "stop_step": pd.array([st["stop_step"]], dtype="Int64"),
+                            "last_step": pd.array([st["last_step"]], dtype="Int64")})
 
     return (stream.select(run, "step", metric).groupBy(run)
             .applyInPandasWithState(update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
