@@ -136,8 +136,10 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
     docs = docs.select("doc_id", "source", "doc_type", "text").where(F.col("source").isin(list(profiles)))
     src, text = F.col("source"), F.col("text")
 
-    # Every source but transcripts: one projection, no shuffle.
-    rest = docs.where(src != "calls").where(
+    # Every source but transcripts: one projection (spread over the cores when the
+    # scan is smaller than the cluster; transcripts are redistributed by their
+    # distinct aggregation instead).
+    rest = spread(docs.where(src != "calls")).where(
         (src != "current")
         | (F.col("doc_type").isin(list(exhibits))
            & (text.isNull() | (digit_punct_fraction(text, empty=0.0) <= max_doc_share)))
@@ -165,9 +167,8 @@ def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
     ``chunks`` is NULL when the document failed (NULL text, too few sentences);
     ``excluded`` is also true when an empty chunk has no score (Q2)."""
     profiles = profiles or DEFAULT_PROFILES
-    docs = spread(docs)
     base = clean_documents(docs, profiles, distinct_calls=distinct_calls) if clean \
-        else docs.select("source", "doc_id", "text")
+        else spread(docs).select("source", "doc_id", "text")
     first = _profile_col(profiles, "trim_first", "int")
     last = _profile_col(profiles, "trim_last", "int")
     empty_share = _profile_col(profiles, "empty_share", "double")
