@@ -624,6 +624,26 @@ def q_write_chunks(spark, sf):
     write_chunks(q_chunk_corpus_small(spark, sf), path)
     return spark.read.parquet(path).select("source", "doc_id", "chunk_id", "sequence")
 
+
+# ---- composed plans (corpus build, one epoch of the pretraining feed)
+def q_build_corpus(spark, sf):
+    from scriptorium.plans.corpus import build_corpus
+
+    paths = build_corpus(spark, _docs(spark, sf), _scratch(spark, "corpus"), SMALL_PROFILES, SMALL_WORDS, seed=SHUFFLE_SEED)
+    return spark.read.parquet(paths.shuffled).select("source", "doc_id", "chunk_id", "row_no")
+
+
+def q_epoch_feed(spark, sf):
+    from scriptorium.plans.corpus import build_corpus
+    from scriptorium.plans.pretraining import epoch_feed
+
+    paths = build_corpus(spark, _docs(spark, sf), _scratch(spark, "corpus"), SMALL_PROFILES, SMALL_WORDS, seed=SHUFFLE_SEED)
+    seqs = spark.read.parquet(paths.shuffled)
+    feed = epoch_feed(seqs, _retrieval(seqs), _vocab(spark, sf), epoch=1, batch_size=BATCH_SIZE,
+                      max_length=ENCODE_LEN, seed=5, n_epochs=3)
+    return feed.select("source", "doc_id", "chunk_id", "epoch", "batch_id", "global_step",
+                       _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
@@ -708,6 +728,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_chunk": q_stream_chunk,
         "stream_early_stopping": q_stream_early_stopping,
         "write_chunks": q_write_chunks,
+        "build_corpus": q_build_corpus,
+        "epoch_feed": q_epoch_feed,
     }
 
 
@@ -1271,6 +1293,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_early_stopping": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')}
 SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
         "write_chunks": s_small_corpus(),
+        "build_corpus": f"WITH {s_shuffled()} SELECT source, doc_id, chunk_id, row_no FROM sh",
         "replace_sampled": s_sampled("aggressive"),
         "replace_sampled_gumbel": s_sampled("gumbel_softmax"),
         "replace_sampled_multinomial": s_sampled("multinomial"),

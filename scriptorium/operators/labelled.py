@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import index_rows
+from .ordering import _num_blocks, index_rows, uniform_block
 from ..functions.random import hash_uniform
 
 
@@ -26,7 +26,9 @@ def labelled_union(parts: dict[str, DataFrame], seed: int = 42, key: str = "doc_
     for name, df in parts.items():
         d = df.withColumn("part", F.lit(name))
         out = d if out is None else out.unionByName(d)
-    return index_rows(out.withColumn("_u", hash_uniform(seed, F.col(key))), ["_u", key], by=["part"]).drop("_u")
+    nb = _num_blocks(out, None)
+    return index_rows(out.withColumn("_u", hash_uniform(seed, F.col(key))), ["_u", key], by=["part"],
+                      block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
 
 
 def label_counts(df: DataFrame, by: list[str] | tuple = (), label: str = "label") -> DataFrame:

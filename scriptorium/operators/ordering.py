@@ -5,13 +5,15 @@ Row numbering at scale
 ----------------------
 ``row_number()`` over a window partitioned by ``source`` sends each source to a
 single task; with one source holding a third of 74 M chunks that task sorts
-tens of GB alone. ``index_rows`` instead range-partitions on the full sort key
-(the sampler splits a hot source over many tasks), numbers rows inside each
-partition with ``monotonically_increasing_id`` and adds per-(partition, group)
-offsets computed from a tiny count table (at most #partitions + #groups rows,
-joined back with AQE choosing broadcast from its measured size). The sort key
-must be a total order (callers append unique ids) so a recomputed partition
-gets identical numbers after an executor loss.
+tens of GB alone. ``index_rows`` numbers rows in two levels computed from data
+values only: a *block* key that is monotone in the leading order column
+(``floor(u * B)`` for hash-uniform orders, min/max scaling otherwise) splits
+every group into ~B balanced blocks; ``row_number()`` runs per (group, block);
+each block's offset comes from a count table of #groups x B rows (AQE
+broadcasts it by measured size). Nothing depends on physical partition ids, so
+recomputation after an executor loss -- or two plan branches that read the
+input separately -- give identical numbers. The order must be a total order
+(callers append unique ids).
 """
 
 from __future__ import annotations
@@ -22,24 +24,40 @@ from pyspark.sql import functions as F
 from ..functions.random import hash_uniform
 
 
+def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
+    if num_blocks:
+        return int(num_blocks)
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def uniform_block(u: Column, num_blocks: int) -> Column:
+    """Block key for orders led by a uniform in [0, 1)."""
+    return F.least(F.floor(u * num_blocks), F.lit(num_blocks - 1)).cast("int")
+
+
 def index_rows(df: DataFrame, order: list, by: list[str] | tuple = (), out: str = "row_no",
-               start: int = 0, num_partitions: int | None = None) -> DataFrame:
+               start: int = 0, block: Column | None = None, num_blocks: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based (or ``start``-based) position of each row in ``order``
-    within its ``by`` group. ``order`` must make rows unique within a group."""
+    within its ``by`` group. ``order`` must make rows unique within a group;
+    ``block`` (optional) must be non-decreasing along ``order``."""
     by = list(by)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    keys = [F.col(b) for b in by] + order_cols
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_pid") \
+    nb = _num_blocks(df, num_blocks)
+    if block is None:
+        first = order_cols[0].cast("double")
+        lo = df.agg(F.min(first)).scalar()
+        hi = df.agg(F.max(first)).scalar()
+        width = F.greatest(hi - lo, F.lit(1e-300))
+        block = F.least(F.floor((first - lo) / width * nb), F.lit(nb - 1)).cast("int")
+    b = df.withColumn("_blk", block)
+    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_blk").orderBy(*order_cols)) - 1)
+    counts = b.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_blk") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (tagged.join(offsets.select("_pid", *by, "_off", "_m0"), ["_pid", *by])
-            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + F.lit(start)).cast("long"))
-            .drop("_pid", "_mid", "_off", "_m0"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return (ranked.join(offsets, [*by, "_blk"])
+            .withColumn(out, (F.col("_off") + F.col("_r") + F.lit(start)).cast("long"))
+            .drop("_blk", "_r", "_off"))
 
 
 def shuffle_sequences(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "chunk_id"),
@@ -48,13 +66,17 @@ def shuffle_sequences(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "c
     position within its source (the reference's ``ORDER BY RANDOM()`` into a new
     table). Write the result sorted by (source, row_no) so later epoch windows
     are range predicates that skip row groups."""
-    u = hash_uniform(seed, *[F.col(k) for k in key]).alias("_u")
-    return index_rows(seqs.withColumn("_u", u), ["_u", *key], by=[by]).drop("_u")
+    u = hash_uniform(seed, *[F.col(k) for k in key])
+    nb = _num_blocks(seqs, None)
+    return index_rows(seqs.withColumn("_u", u), ["_u", *key], by=[by],
+                      block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
 
 
 def shuffle_labelled(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Seeded shuffle of a labelled set; ``row_no`` = new position."""
-    return index_rows(df.withColumn("_u", hash_uniform(seed, F.col(key))), ["_u", key]).drop("_u")
+    nb = _num_blocks(df, None)
+    return index_rows(df.withColumn("_u", hash_uniform(seed, F.col(key))), ["_u", key],
+                      block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
 
 
 def source_totals(seqs: DataFrame, by: str = "source") -> DataFrame:
@@ -98,7 +120,9 @@ def batch_plan(window: DataFrame, batch_size: int, seed: int, epoch: int,
     consecutive batches of ``batch_size`` (the last may be partial).
     ``global_step`` = epoch * steps_per_epoch + batch_id + 1."""
     u = hash_uniform(seed, epoch, *[F.col(k) for k in key])
-    pos = index_rows(window.withColumn("_u", u), ["_u", *key], out="_pos").drop("_u")
+    nb = _num_blocks(window, None)
+    pos = index_rows(window.withColumn("_u", u), ["_u", *key], out="_pos",
+                     block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
     out = pos.withColumn("epoch", F.lit(epoch)).withColumn("batch_id", (F.col("_pos") / batch_size).cast("int"))
     spe = steps_per_epoch if isinstance(steps_per_epoch, Column) else F.lit(steps_per_epoch or 0)
     step = (F.lit(epoch) * spe + F.col("batch_id") + 1).cast("long")

@@ -14,7 +14,7 @@ def test_hash_uniform_golden(spark):
 
 def test_index_rows_matches_row_number(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id"), hash_uniform(1, F.col("id")).alias("u"))
-    got = od.index_rows(df, ["u", "id"], by=["g"], num_partitions=7)
+    got = od.index_rows(df, ["u", "id"], by=["g"], num_blocks=7)
     w = Window.partitionBy("g").orderBy("u", "id")
     exp = df.withColumn("row_no", F.row_number().over(w) - 1)
     a = sorted((r.id, r.row_no) for r in got.select("id", "row_no").collect())
