@@ -98,7 +98,7 @@ def with_packed_chunks(df: DataFrame, sentences: str, max_words: int | Column, o
     return staged.withColumn(out, packed).drop("_bounds")
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def spread(df: DataFrame, key: str | Column | None = "doc_id") -> DataFrame:
     """Give CPU-heavy text work at least one partition per core.
 
     Large inputs already scan as many partitions and are left alone (no shuffle
@@ -109,6 +109,8 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
+        if key is None or (isinstance(key, str) and key not in df.columns):
+            key = F.xxhash64(*[F.col(c) for c in df.columns])
         return df.repartition(cores * 2, key)
     return df
 
