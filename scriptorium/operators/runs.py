@@ -93,10 +93,15 @@ def early_stopping(metrics: DataFrame, metric: str = "loss", patience: int = 5,
     improvement; the run stops at the first step where ``counter >= patience``.
     Returns ``run_id, best_step, best_value, stop_step`` (NULL = never stopped).
 
-    The scan is sequential, so each run's evaluation series (one value per
-    evaluation, bounded by the training schedule) is folded by one native
-    ``aggregate`` over its step-ordered array."""
+    With ``delta = 0`` an improvement is exactly ``score >= running max`` of the
+    earlier scores, so the result comes from running-frame windows (sorted per
+    run, spill-capable, no arrays). With ``delta != 0`` the best value can move by
+    less than the running max (and down, in ``max`` mode), so each run's
+    evaluation series (one value per evaluation, bounded by the training
+    schedule) is folded by one native ``aggregate`` over its step-ordered array."""
     sign = -1.0 if mode == "min" else 1.0
+    if float(delta) == 0.0:
+        return _early_stopping_windows(metrics, metric, patience, sign, run, step)
     d = float(delta) if mode == "min" else -float(delta)
     series = metrics.groupBy(run).agg(
         F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(metric).cast("double").alias("v"))))
@@ -123,6 +128,31 @@ def early_stopping(metrics: DataFrame, metric: str = "loss", patience: int = 5,
                       F.col("r.stop_step").alias("stop_step"))
 
 
+def _early_stopping_windows(metrics: DataFrame, metric: str, patience: int, sign: float, run: str,
+                            step: str) -> DataFrame:
+    """W7 for ``delta = 0``: improvement iff the score reaches the running max of
+    the earlier scores; counter = evaluations since the last improvement; the
+    stop is the first step with ``counter >= patience``; the best step is the
+    last improvement before it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(run).orderBy(step)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    score = F.lit(sign) * F.col(metric).cast("double")
+    d = metrics.select(run, step, F.col(metric).cast("double").alias("_v"), score.alias("_s"),
+                       F.row_number().over(w).alias("_i"))
+    d = d.withColumn("_imp", F.max("_s").over(before).isNull() | (F.col("_s") >= F.max("_s").over(before)))
+    d = d.withColumn("_cnt", F.col("_i") - F.max(F.when(F.col("_imp"), F.col("_i"))).over(upto))
+    d = d.withColumn("_stop", F.min(F.when(F.col("_cnt") >= patience, F.col(step))).over(upto))
+    cand = F.col("_imp") & F.col("_stop").isNull()
+    return d.groupBy(run).agg(
+        F.max(F.when(cand, F.col(step))).cast("long").alias("best_step"),
+        F.max_by(F.when(cand, F.col("_v")), F.when(cand, F.col(step))).alias("best_value"),
+        F.min(F.when(F.col("_cnt") >= patience, F.col(step))).cast("long").alias("stop_step"),
+    )
+
+
 def selected_epoch_score(metrics: DataFrame, stops: DataFrame, run: str = "run_id", step: str = "step",
                          loss: str = "loss", score: str = "score") -> DataFrame:
     """The score reported after training (early stopping on the validation
