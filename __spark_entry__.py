@@ -119,6 +119,10 @@ def q_clean_transcripts(spark, sf):
     return flt.clean_transcripts(_calls(spark, sf)).select("doc_id", "text")
 
 
+def q_clean_transcripts_conversations(spark, sf):
+    return flt.clean_transcripts(si.transcripts_from_conversations(spark, sf)).select("doc_id", "text")
+
+
 def q_clean_reports(spark, sf):
     return flt.clean_reports(_docs(spark, sf).where(F.col("source") == "reports")).select("doc_id", "text")
 
@@ -659,6 +663,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_noisy_docs": q_filter_noisy_docs,
         "filter_short_transcripts": q_filter_short_transcripts,
         "clean_transcripts": q_clean_transcripts,
+        "clean_transcripts_conversations": q_clean_transcripts_conversations,
         "clean_reports": q_clean_reports,
         "filter_numeric_sentences": q_filter_numeric_sentences,
         "filter_noisy_chunks": q_filter_noisy_chunks,
@@ -939,6 +944,10 @@ def _oracle_batch2() -> dict[str, str]:
         "clean_transcripts": d + f"SELECT doc_id, {s_calls_clean('text')} AS text FROM docs_in "
                                  "WHERE source = 'calls' AND len(string_split(text, chr(10))) >= 5",
         "clean_reports": d + f"SELECT doc_id, {s_report_clean('text')} AS text FROM docs_in WHERE source = 'reports'",
+        "clean_transcripts_conversations": f"""WITH t AS (
+  SELECT conv_id AS doc_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id)
+SELECT doc_id, {s_calls_clean('text')} AS text FROM t WHERE len(string_split(text, chr(10))) >= 5""",
         "filter_numeric_sentences": d + ", rep AS (SELECT * FROM docs_in WHERE source = 'reports') "
                                     + s_explode(rep_kept, "rep"),
         "filter_noisy_chunks": packed_23 + f" SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id FROM chunks "
