@@ -60,6 +60,13 @@ def trial_table(spark: SparkSession, space=DEFAULT_SPACE, n_trials: int = 4, see
 # ---------------------------------------------------------------------------
 # M1 / M2: cross-validated random search and final evaluation
 # ---------------------------------------------------------------------------
+def term_frequencies(df: DataFrame, num_features: int = 1 << 12) -> DataFrame:
+    """Stateless featurisation (tokenise + hashed term counts) -> ``_tf``; applied
+    once before cross-validation since it learns nothing from the data."""
+    tok = RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"(?U)\W+").transform(df)
+    return HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(tok).drop("_tok")
+
+
 def text_features(num_features: int = 1 << 12) -> list:
     """Pipeline stages turning ``text`` into TF-IDF ``features``."""
     return [RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"(?U)\W+"),
@@ -88,6 +95,10 @@ def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
     from .ordering import kfold
 
     folded = kfold(train, k, [order]).withColumn("label_d", F.col("label").cast("double"))
+    # The k x trials fits all read this frame: persist it (spills to disk) so the
+    # folds, shuffles and tokenisation run once; IDF stays inside the fitted
+    # pipeline so every fold learns it from its own training rows only.
+    folded = term_frequencies(folded).select("fold", "label_d", "_tf").persist()
     rows = trials.orderBy("trial_id").collect()
     names = [c for c in trials.columns if c != "trial_id"]
     lr = LogisticRegression(featuresCol="features", labelCol="label_d")
@@ -98,10 +109,13 @@ def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
             v = r[n]
             pm[lr.getParam(n)] = int(v) if n == "maxIter" else (bool(v) if n == "fitIntercept" else float(v))
         maps.append(pm)
-    pipe = Pipeline(stages=[*text_features(), lr])
+    pipe = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), lr])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=_f1_evaluator(num_classes),
                         foldCol="fold", parallelism=parallelism, seed=seed)
-    model = cv.fit(folded)
+    try:
+        model = cv.fit(folded)
+    finally:
+        folded.unpersist()
     spark = train.sparkSession
     scores = spark.createDataFrame([(int(r["trial_id"]), float(m)) for r, m in zip(rows, model.avgMetrics)],
                                    "trial_id long, cv_score double")
@@ -110,18 +124,25 @@ def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
 
 def final_evaluation(train: DataFrame, test: DataFrame, best: dict) -> DataFrame:
     """M2: refit on the whole train part with the best parameters, score the train
-    and test parts (A5) -> one row per part."""
+    and test parts (A5) -> one row per part. The featurised parts are persisted
+    for the fit and the scoring and released before returning the two rows."""
     lr = LogisticRegression(featuresCol="features", labelCol="label_d")
     for n, v in best.items():
         if n == "trial_id" or not lr.hasParam(n):
             continue
         lr = lr.setParams(**{n: int(v) if n == "maxIter" else (bool(v) if n == "fitIntercept" else float(v))})
-    pipe = Pipeline(stages=[*text_features(), lr])
+    pipe = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), lr])
     tr = train.withColumn("label_d", F.col("label").cast("double")).withColumn("split", F.lit("train"))
     te = test.withColumn("label_d", F.col("label").cast("double")).withColumn("split", F.lit("test"))
-    model = pipe.fit(tr)
-    pred = model.transform(tr.unionByName(te)).withColumn("prediction", F.col("prediction").cast("int"))
-    return binary_scores(pred, by=["split"])
+    both = term_frequencies(tr.unionByName(te)).select("split", "label_d", "label", "_tf").persist()
+    try:
+        model = pipe.fit(both.where(F.col("split") == "train"))
+        pred = model.transform(both).withColumn("prediction", F.col("prediction").cast("int"))
+        scores = binary_scores(pred, by=["split"])
+        rows = scores.collect()  # one row per part
+    finally:
+        both.unpersist()
+    return train.sparkSession.createDataFrame(rows, scores.schema)
 
 
 # ---------------------------------------------------------------------------
