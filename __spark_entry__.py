@@ -29,6 +29,13 @@ from scriptorium.functions.arrays import posexplode_rows
 from scriptorium.sources import documents as srcdocs
 from scriptorium.sources import standins as si
 
+try:  # the training-data operators and their pipeline are an optional part
+    import scriptorium.llm.registry as training_data
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not (missing.name or "").startswith("scriptorium.llm"):
+        raise
+    training_data = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 # Settings used by the registered queries (reference defaults unless noted).
@@ -648,7 +655,7 @@ def q_epoch_feed(spark, sf):
     return feed.select("source", "doc_id", "chunk_id", "epoch", "batch_id", "global_step",
                        _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chunk_corpus": q_chunk_corpus,
         "chunk_corpus_small": q_chunk_corpus_small,
@@ -752,6 +759,10 @@ DOCS_IN = """docs_in AS (
 DP_CLASS = r"[^0-9\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (training_data.queries() if training_data else {})
+
+
 def s_share(x: str, empty: str | None = None) -> str:
     tail = f" ELSE {empty}" if empty is not None else ""
     return (f"(CASE WHEN length({x}) > 0 THEN length(regexp_replace({x}, '{DP_CLASS}', '', 'g'))::DOUBLE"
@@ -1286,7 +1297,7 @@ def s_chunk_corpus_stream() -> str:
                        "calls_d AS (SELECT doc_id, source, text FROM docs_in WHERE source = 'calls')")
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
         "chunk_corpus_small": s_chunk_corpus(SMALL_PROFILES, SMALL_WORDS),
@@ -1307,3 +1318,7 @@ SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM sto
         "replace_sampled_gumbel": s_sampled("gumbel_softmax"),
         "replace_sampled_multinomial": s_sampled("multinomial"),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _own_oracle_sql() | (training_data.oracle_sql() if training_data else {})
