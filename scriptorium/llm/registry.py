@@ -5,11 +5,13 @@ from __future__ import annotations
 import corpus_pipeline
 from scriptorium.llm.fingerprint import op7_fingerprint
 from scriptorium.llm.secret_scan import op8_secret_scan
+from scriptorium.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
     return {
+        "op4_toxicity": op4_toxicity,
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
         "pipeline": corpus_pipeline.run,
