@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from scriptorium.llm.fingerprint import op7_fingerprint
+from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.secret_scan import op8_secret_scan
 from scriptorium.llm.toxicity import op4_toxicity
 
@@ -11,6 +12,7 @@ from scriptorium.llm.toxicity import op4_toxicity
 def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
     return {
+        "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
