@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from scriptorium.llm.fingerprint import op7_fingerprint
+from scriptorium.llm.near_dedup import op5_near_dedup
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.secret_scan import op8_secret_scan
 from scriptorium.llm.toxicity import op4_toxicity
@@ -14,6 +15,7 @@ def queries() -> dict:
     return {
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_near_dedup": op5_near_dedup,
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
         "pipeline": corpus_pipeline.run,
