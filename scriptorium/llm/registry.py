@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from scriptorium.llm.fingerprint import op7_fingerprint
+from scriptorium.llm.html_text import op9_html_extraction
 from scriptorium.llm.near_dedup import op5_near_dedup
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.secret_scan import op8_secret_scan
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op5_near_dedup": op5_near_dedup,
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
+        "op9_html_extraction": op9_html_extraction,
         "pipeline": corpus_pipeline.run,
     }
 
