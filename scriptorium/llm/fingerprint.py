@@ -18,6 +18,8 @@ from scriptorium.llm.common import keep, table, whole_text
 
 SPACE = r"[\x20\x09-\x0D]+"
 SAMPLES = 32
+# Stands for a missing id inside the joins; no document may bear it.
+NO_ID = -(2**63)
 
 
 def _uniform(bits: Column, low: int, width: int) -> Column:
@@ -97,43 +99,44 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     edited_sig. A null text reads as empty. Repeated rows are one row with their number; of different texts under one id the smallest one is the "next document"
     of the row before. A row without an id has no next document: nothing replaces what is taken off.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"))
-    # One shuffle of the texts; every later step on (doc_id, h) stays inside its partitions.
-    rows = rows.repartition(F.col("doc_id")).groupBy("doc_id", F.xxhash64("t").alias("h")).agg(
+    # ``key`` is never null, so the joins below add no filter and share one shuffle of the texts; every
+    # step on (key, h) stays inside its partitions.
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), whole_text(text).alias("t"))
+    rows = rows.repartition(F.col("key")).groupBy("key", F.xxhash64("t").alias("h")).agg(
         F.max("t").alias("t"), F.count(F.lit(1)).alias("copies"))
     sized = docs.select(F.col(doc_id).cast("long").alias("id"), F.floor(F.char_length(whole_text(text)) / 4).cast("int").alias("q"))
     need = sized.groupBy("id").agg(F.max("q").alias("q")).where("q > 0")
     order = next_ids(docs, doc_id)
-    wanted = order.join(need, "id").select(F.col("id").alias("before"), F.col("next_id").alias("doc_id"), "q")
-    heads = (rows.join(wanted, "doc_id").select("before", "t", F.expr("left(t, q)").alias("head"))
-             .groupBy(F.col("before").alias("doc_id")).agg(F.min("head").alias("head")))
+    wanted = order.join(need, "id").select(F.col("id").alias("before"), F.coalesce("next_id", F.lit(NO_ID)).alias("key"), "q")
+    heads = (rows.join(wanted, "key").select(F.coalesce("before", F.lit(NO_ID)).alias("before"), F.expr("left(t, q)").alias("head"))
+             .groupBy(F.col("before").alias("key")).agg(F.min("head").alias("head")))
 
-    joined = rows.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("t").cast("long"))
+    joined = rows.join(heads, "key", "left").withColumn("n_chars", F.char_length("t").cast("long"))
     cut = joined.select(
-        "doc_id", "h", "copies", "n_chars", "t",
+        "key", "h", "copies", "n_chars", "t",
         F.expr("left(t, cast(n_chars - floor(n_chars / 4) as int))").alias("kept"),
         F.expr("coalesce(left(head, cast(floor(n_chars / 4) as int)), '')").alias("tail"))
     whole = cut.select(
-        "doc_id", "h", "copies", "n_chars", "t", F.concat("kept", "tail").alias("e"),
+        "key", "h", "copies", "n_chars", "t", F.concat("kept", "tail").alias("e"),
         # Words up to the last space before the cut are the same on both sides and counted once.
         F.char_length(F.regexp_extract("kept", r"(?s)^(.*[\x20\x09-\x0D])", 1)).alias("both"))
     parts = whole.select(
-        "doc_id", "h", "copies", "n_chars", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"),
+        "key", "h", "copies", "n_chars", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"),
         F.split(F.expr("left(t, both)"), SPACE).alias("w2"),
         F.split(F.expr("substring(t, both + 1)"), SPACE).alias("w0"),
         F.split(F.expr("substring(e, both + 1)"), SPACE).alias("w1"))
     words = parts.select(
-        "doc_id", "h", F.size("w2").alias("a"), (F.size("w2") + F.size("w0")).alias("b"),
+        "key", "h", F.size("w2").alias("a"), (F.size("w2") + F.size("w0")).alias("b"),
         F.posexplode(F.concat("w2", "w0", "w1")).alias("pos", "word")).where("word <> ''")
-    terms = words.groupBy("doc_id", "h", F.xxhash64("word").alias("term")).agg(
+    terms = words.groupBy("key", "h", F.xxhash64("word").alias("term")).agg(
         F.sum(F.when(F.col("pos") < F.col("b"), 1).otherwise(0)).alias("c0"),
         F.sum(F.when((F.col("pos") < F.col("a")) | (F.col("pos") >= F.col("b")), 1).otherwise(0)).alias("c1"))
-    sigs = weighted_samples(terms, ["doc_id", "h"], "term", ["c0", "c1"], samples)
+    sigs = weighted_samples(terms, ["key", "h"], "term", ["c0", "c1"], samples)
 
-    info = parts.select("doc_id", "h", "copies", "n_chars", "edited_sha256")
-    return info.join(sigs, info.doc_id.eqNullSafe(sigs.doc_id) & (info.h == sigs.h), "left").select(
-        info.doc_id, info.h, "copies", "n_chars", "edited_sha256", F.col("sig_0").alias("sig"),
-        F.col("sig_1").alias("edited_sig"))
+    info = parts.select("key", "h", "copies", "n_chars", "edited_sha256")
+    return info.join(sigs, ["key", "h"], "left").select(
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "h", "copies", "n_chars", "edited_sha256",
+        F.col("sig_0").alias("sig"), F.col("sig_1").alias("edited_sig"))
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
