@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from scriptorium.llm.ann import op1_ann
 from scriptorium.llm.fingerprint import op7_fingerprint
 from scriptorium.llm.html_text import op9_html_extraction
 from scriptorium.llm.near_dedup import op5_near_dedup
@@ -14,6 +15,7 @@ from scriptorium.llm.toxicity import op4_toxicity
 def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
     return {
+        "op1_ann": op1_ann,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
