@@ -9,6 +9,7 @@ from scriptorium.llm.html_text import op9_html_extraction
 from scriptorium.llm.near_dedup import op5_near_dedup
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.secret_scan import op8_secret_scan
+from scriptorium.llm.suffix_dedup import op10_suffix_dedup
 from scriptorium.llm.toxicity import op4_toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
         "op9_html_extraction": op9_html_extraction,
+        "op10_suffix_dedup": op10_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
