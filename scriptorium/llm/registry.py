@@ -8,6 +8,7 @@ from scriptorium.llm.fingerprint import op7_fingerprint
 from scriptorium.llm.html_text import op9_html_extraction
 from scriptorium.llm.near_dedup import op5_near_dedup
 from scriptorium.llm.packing import op3_packing
+from scriptorium.llm.piece_sampling import op2_piece_sampling
 from scriptorium.llm.secret_scan import op8_secret_scan
 from scriptorium.llm.suffix_dedup import op10_suffix_dedup
 from scriptorium.llm.toxicity import op4_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict:
     """Name -> callable (spark, sf_dir) -> DataFrame."""
     return {
         "op1_ann": op1_ann,
+        "op2_piece_sampling": op2_piece_sampling,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
