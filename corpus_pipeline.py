@@ -1,32 +1,74 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next stage's documents.
+Parquet and read again as the next stage's documents. All but the last return the
+columns of their input.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.llm.common import table
+from scriptorium.llm.near_dedup import near_duplicates
+from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.secret_scan import redact_secrets
+from scriptorium.llm.suffix_dedup import remove_repeats, text_key
+from scriptorium.llm.toxicity import labelled_rows, score_toxicity, train_toxicity
 from scriptorium.session import ensure_checkpoint_dir
 
 
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``n_chars`` follows the changed text where there is such a column."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that operator 4 scores below one half."""
+    model = train_toxicity(labelled_rows(spark, docs, sf_dir))
+    return score_toxicity(docs, model, score="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component that operator 5 finds the document with the smallest id (rows without an id stay)."""
+    others = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes that operator 10 removes (null texts stay null)."""
+    kept = remove_repeats(docs).select(F.col("text").alias("__key"), "n_removed", "kept_text")
+    joined = docs.withColumn("__key", text_key()).join(kept, "__key")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _sized(joined.withColumn("text", text), docs.columns)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the spans found by operator 8 are replaced by a mark."""
-    return redact_secrets(docs)
+    """Every document; the spans that operator 8 finds are replaced by a mark."""
+    return _sized(redact_secrets(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of operator 3 with their token ids, one row per piece."""
+    return pack_documents(docs)
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
     ("secret scans", secret_stage),
+    ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each written to the shared checkpoint folder and read again."""
-    import uuid
-
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
@@ -36,6 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# The toxicity stage scores texts by compressed lengths and the packing stage reads tokenizer ids;
-# neither can be written in SQL, so the stages are tested against brute force instead.
+# Compressed lengths (toxicity) and tokenizer ids (packing) cannot be written in SQL, so the stages
+# are tested against brute force instead.
 ORACLE_SQL = None

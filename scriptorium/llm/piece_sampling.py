@@ -145,7 +145,8 @@ class PieceLattice:
         ids, last, bases = np.array(self.ids, np.int32), np.array(self.last, np.int64), np.array(self.bases, np.int64)
         text_of = np.repeat(np.arange(len(texts)), per_text)
         nth = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        noise = mix(row_keys.view(np.uint64)[text_of] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 3)
+        salt = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        noise = mix(row_keys.view(np.uint64)[text_of] + salt + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 3)
         active, node, stop = np.arange(len(unit)), last[unit], bases[unit]
         steps = []
         while len(active):

@@ -170,7 +170,7 @@ def _split_repeats(segs: DataFrame, length: int) -> DataFrame:
 
 
 def _remove(texts: DataFrame, length: int) -> DataFrame:
-    """text, n_bytes, n_removed, n_spans, kept (binary) from (text, t, copies, starts)."""
+    """text, n_bytes, n_removed, n_spans, kept (binary), kept_text from (text, t, copies, starts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -189,11 +189,12 @@ def _remove(texts: DataFrame, length: int) -> DataFrame:
                 covered = np.cumsum(change)[:n] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8)])) == 1)
                 out.append((text, n, int(covered.sum()), len(edges), np.frombuffer(raw, np.uint8)[~covered].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                names=["text", "n_bytes", "n_removed", "n_spans", "kept"])
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            columns.append(pa.array([o[4].decode("utf-8", "ignore") for o in out], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
-    return texts.select("text", "t", "copies", "starts").mapInArrow(run, "text bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return texts.select("text", "t", "copies", "starts").mapInArrow(
+        run, "text bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_text string")
 
 
 def text_key(column: str = "text"):
@@ -202,12 +203,12 @@ def text_key(column: str = "text"):
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per distinct text of ``docs``: text (its ``text_key``), n_bytes, n_removed, n_spans, kept (bytes).
+    """One row per distinct text of ``docs``: text (its ``text_key``), n_bytes, n_removed, n_spans, kept (bytes),
+    kept_text (the kept bytes as text, without the parts of characters that a cut leaves).
 
     Texts are UTF-8 bytes (null: empty). Removed is every byte that a string of ``length`` bytes covers which
     starts anywhere else too, in the same or another row, overlaps included; all strings are judged on the
-    input. A text that two rows hold is removed whole when it has ``length`` bytes; shorter texts stay. What is
-    kept may begin or end inside a character.
+    input. A text that two rows hold is removed whole when it has ``length`` bytes; shorter texts stay.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     # The only shuffle of whole texts; the three uses below share it.

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import crc_fold, table, whole_text
+from scriptorium.llm.common import crc_fold, keep, table, whole_text
 
 # Bounds of what is fitted on: labelled rows per class, stems and windows sent to the driver.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 MAX_STEMS = 20_000
 MAX_WINDOWS = 40_000
 STEM_CHARS = 5
@@ -132,7 +132,7 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
     At most about ``sample_rows`` rows of each class are used (a fold of the text's hash; equal texts go
     together). Without rows of both classes every score is the share of toxic rows (0.5 without any).
     """
-    rows = labelled.select(whole_text(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    rows = keep(labelled.select(whole_text(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)"))
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
@@ -140,7 +140,7 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
         return ToxicityModel(HEAD, HEAD, window_words, (float(np.log(share / (1 - share))), *[0.0] * FEATURES))
     folds = F.pmod(F.xxhash64("t"), F.lit(1 << 20))
     part = F.when(F.col("y") == 1, min(1.0, sample_rows / n1)).otherwise(min(1.0, sample_rows / n0))
-    sample = rows.where(folds < part * (1 << 20)).withColumn("half", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(2)))
+    sample = rows.where(folds < part * (1 << 20))
 
     words = sample.select(F.xxhash64("t").alias("id"), "y", F.explode(F.array_distinct(F.split(F.lower("t"), NO_WORD))).alias("w")).where("w <> ''")
     stems = words.select("id", "y", F.substring("w", 1, STEM_CHARS).alias("stem")).distinct()
@@ -185,17 +185,23 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
     return df.withColumn(score, scored(whole_text(text)))
 
 
-def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text, toxic) of the labelled documents that may be learned from (crc32 fold of five, not 0)."""
-    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.where(crc_fold("doc_id", 5) != 0).join(labels, "doc_id").select("text", "toxic")
+def labelled_rows(spark: SparkSession, docs: DataFrame, sf_dir: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, toxic) of labelled documents that may be learned from (crc32 fold of five, not 0).
+
+    At most ``sample_rows`` ids of each class, by a hash of the id, go to the texts as a broadcast of
+    that bound, so no text is shuffled.
+    """
+    labels = (table(spark, sf_dir, "labels", "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (crc_fold("doc_id", 5) != 0))
+              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    some = [labels.where(F.col("toxic") == y).orderBy(*order).limit(sample_rows) for y in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("text", "toxic")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learned from the labelled rows outside the held-out fold."""
-    model = train_toxicity(labelled_rows(spark, sf_dir))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = train_toxicity(labelled_rows(spark, docs, sf_dir))
     return score_toxicity(docs, model, score="score").select(
         "doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
