@@ -6,6 +6,7 @@ import corpus_pipeline
 from scriptorium.llm.ann import op1_ann
 from scriptorium.llm.fingerprint import op7_fingerprint
 from scriptorium.llm.html_text import op9_html_extraction
+from scriptorium.llm.maxent_lm import op6_maxent_lm
 from scriptorium.llm.near_dedup import op5_near_dedup
 from scriptorium.llm.packing import op3_packing
 from scriptorium.llm.piece_sampling import op2_piece_sampling
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
+        "op6_maxent_lm": op6_maxent_lm,
         "op7_fingerprint": op7_fingerprint,
         "op8_secret_scan": op8_secret_scan,
         "op9_html_extraction": op9_html_extraction,
