@@ -47,7 +47,7 @@ _PLACES = frozenset("article main section nav header footer aside form div body"
 _PARTS = frozenset("ul ol li table td blockquote figure dl".split())
 # Scores of tags whose place no labelled page shows.
 _TAG_PRIOR = {"p": -0.1, "br": -0.05, "h1": -0.2, "h2": -0.2, "h3": -0.2, "b": -0.05, "i": -0.05, "em": -0.05, "strong": -0.05,
-              "span": -0.1, "a": -1.0, "li": -1.0, "td": -0.7, "tr": -0.5, "div": -0.7, "input": -3.0, "option": -2.0}
+              "span": -0.1, "a": -1.0, "li": -0.4, "ul": -0.4, "ol": -0.4, "td": -0.7, "tr": -0.5, "div": -0.7, "input": -3.0, "option": -2.0}
 
 
 def _other(name: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
@@ -176,6 +176,8 @@ def learn_weights(pages: DataFrame, column: str = "html", max_places: int = MAX_
 
 
 def _score(token: tuple, weights: dict[str, float]) -> float:
+    if token[4]:  # left out in any case: a small price for going on past it
+        return -0.2 if token[0] else -0.25 * len(token[2].split())
     if token[0]:
         name = token[2]
         known = weights.get(f"<{name}@{token[1]}")
@@ -186,8 +188,6 @@ def _score(token: tuple, weights: dict[str, float]) -> float:
     if not words:
         return 0.0
     known = weights.get(token[1])
-    if token[4]:
-        return -abs(known or 2.0) * words
     return words * (1.0 if known is None else max(min(known, 3.0), -3.0))
 
 

@@ -9,7 +9,8 @@ the class's mass, with one unknown word in every class. Classes are the end toke
 words one by one, and groups of words that occur in the same documents.
 
 Every task makes gradient updates (AdaGrad on batches of BATCH tokens) over its part of the training
-texts; the weights are then averaged, each feature by how often a task met it. Counts, classes and
+texts; the weights are then averaged, each feature by how often a task met it; without weights the classes have their
+shares of all training tokens. Counts, classes and
 updates cover all training texts; only the seed words of the groups come from a bounded sample.
 
 As classes need no counts, the text's log probability falls into a part that depends on order, summed
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ SINGLE, GROUPS = 31, 16
 CLASSES = 1 + SINGLE + GROUPS
 FEATURE_BITS, BUCKET_BITS = 15, 20
 N_FEATURES = 6
-BATCH, RATE = 4096, 0.15
+BATCH, RATE = 2048, 0.15
 TOP_WORDS = 1 << 18
 END = 0x1F3D5B79A2C4E688
 ROWS_A_BLOCK = 256
@@ -93,8 +95,9 @@ def features(h: np.ndarray, doc: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+def log_softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes; without any weight they are those of ``prior``."""
+    z = weights[rows[:, 0]] + prior
     for i in range(1, rows.shape[1]):
         z += weights[rows[:, i]]
     z -= z.max(1, keepdims=True)
@@ -102,9 +105,9 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def update(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
+def update(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray) -> None:
     """One gradient step on a batch."""
-    grad = np.exp(log_softmax(weights, rows))
+    grad = np.exp(log_softmax(weights, rows, prior))
     grad[np.arange(len(cls)), cls] -= 1
     for i in range(rows.shape[1]):
         order = np.argsort(rows[:, i], kind="stable")
@@ -203,21 +206,19 @@ def _learn_classes(counts: DataFrame) -> WordClasses:
     return WordClasses(single[order], 1 + np.arange(len(single))[order], group)
 
 
-def _train(train: DataFrame, classes: WordClasses) -> np.ndarray:
+def _train(train: DataFrame, arrays: Broadcast, prior: np.ndarray) -> np.ndarray:
     """Weights (2^FEATURE_BITS, CLASSES) after one pass of gradient updates in every task, averaged."""
-    arrays = (classes.single, classes.single_class, classes.group)
-    shared = train.sparkSession.sparkContext.broadcast(arrays)  # about a megabyte, whatever the input
     n_rows = 1 << FEATURE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((n_rows, CLASSES), np.float32)
         squares, met = np.zeros_like(weights), np.zeros(n_rows, np.int64)
-        word_classes = WordClasses(*shared.value)
+        word_classes = WordClasses(*arrays.value)
         for _, _, _, h, doc in _texts(batches, 0):
             cls = word_classes.of(h)
             rows = features(h, doc, cls)
             for at in range(0, len(h), BATCH):
-                update(weights, squares, met, rows[at : at + BATCH], cls[at : at + BATCH])
+                update(weights, squares, met, rows[at : at + BATCH], cls[at : at + BATCH], prior)
         for b in range(0, n_rows, ROWS_A_BLOCK):
             part = slice(b, b + ROWS_A_BLOCK)
             if met[part].any():
@@ -257,16 +258,11 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     seeds, group = _group_seeds(train.where(some < min(1.0, SEED_DOCS / max(1, n_train)) * (1 << 20)))
     counts = keep(_count_words(train, seeds, group))
     classes = _learn_classes(counts)
-    weights = _train(train, classes)
     spark = docs.sparkSession
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP_WORDS).select("h", "c").toPandas()
-    top_h = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(top_h)
-    top_h, top_c = top_h[order], top["c"].to_numpy(np.int64)[order]
 
     def mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        word_classes = WordClasses(*shared.value[0])
+        word_classes = WordClasses(*arrays.value)
         for batch in batches:
             h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cls = word_classes.of(h.view(np.uint64))
@@ -274,18 +270,25 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
             v += np.bincount(cls, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
 
-    # All of a size that the parameters fix: classes, weights and TOP_WORDS counts.
-    shared = spark.sparkContext.broadcast(((classes.single, classes.single_class, classes.group), weights, top_h, top_c))
+    arrays = spark.sparkContext.broadcast((classes.single, classes.single_class, classes.group))  # about a megabyte, whatever the input
     sums = counts.select("h", "c").mapInArrow(mass, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
         class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
     total, distinct = int(class_n.sum()), int(class_v.sum())
     log_mass = np.log10(class_n + 0.5 * (class_v + 1))
+    prior = np.log(class_n + 0.5 * (class_v + 1)).astype(np.float32)
+    weights = _train(train, arrays, prior)
+    top = counts.orderBy(F.desc("c"), "h").limit(TOP_WORDS).select("h", "c").toPandas()
+    top_h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(top_h)
+    top_h, top_c = top_h[order], top["c"].to_numpy(np.int64)[order]
+    # All of a size that the parameters fix: weights and TOP_WORDS counts.
+    shared = spark.sparkContext.broadcast((weights, top_h, top_c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, weights, top_h, top_c = shared.value
-        word_classes = WordClasses(*arrays)
+        weights, top_h, top_c = shared.value
+        word_classes = WordClasses(*arrays.value)
         for batch, lo, hi, h, doc in _texts(batches, 1):
             n = hi - lo
             cls = word_classes.of(h)
@@ -293,7 +296,7 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
             ordered = np.empty(len(h))
             for at in range(0, len(h), BATCH):
                 part = slice(at, at + BATCH)
-                z = log_softmax(weights, rows[part])
+                z = log_softmax(weights, rows[part], prior)
                 ordered[part] = z[np.arange(len(z)), cls[part]]
             ordered = ordered / np.log(10) - log_mass[cls]
             if len(top_h):
