@@ -98,22 +98,23 @@ def page_tokens(page: str) -> list[tuple]:
         if not name:
             continue
         if m["close"]:
+            inside = dropped > 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     state(stack[k][1])
                     del stack[k:]
                     break
-            out.append((True, place, "/" + name, name not in _INLINE, dropped > 0, marked > 0))
+            out.append((True, place, "/" + name, name not in _INLINE, inside, marked > 0))
             continue
-        out.append((True, place, name, name not in _INLINE, dropped > 0, marked > 0))
+        other, word = _other(name, m["attrs"], marked > 0)
+        if name == "header" and marked:
+            other = False
+        out.append((True, place, name, name not in _INLINE, dropped > 0 or other, marked > 0))
         if name in _RAW:
             at = _RAW[name].search(page, at).end()
             continue
         if name in _VOID or m["attrs"].endswith("/") and name not in _PLACES:
             continue
-        other, word = _other(name, m["attrs"], marked > 0)
-        if name == "header" and marked:
-            other = False
         stack.append((name, (dropped, marked, place)))
         dropped += other
         if name in _MARKED and not other:
