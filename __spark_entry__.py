@@ -77,7 +77,7 @@ def q_chunk_corpus_small(spark, sf):
 
 
 def q_scan_source(spark, sf):
-    return srcdocs.scan_source(_docs(spark, sf), "annual").select("doc_id", "source", "text")
+    return srcdocs.scan_source(_docs(spark, sf)).select("doc_id", "source", "text")
 
 
 def q_scan_distinct(spark, sf):
@@ -293,7 +293,7 @@ def q_next_run_id(spark, sf):
 
 
 # ---- masking and token-level metrics (character-level stand-in ids, see standins.char_ids)
-MASK_LEN = 32
+MASK_LEN = 256
 MASK_SEED = 13
 
 
@@ -475,9 +475,9 @@ def q_cv_mean(spark, sf):
 
 # ---- vocabulary, encoding
 VOCAB_SIZE = 1000
-ENCODE_LEN = 64
-DOC_SEQS = 4
-DOC_SEQ_LEN = 16
+ENCODE_LEN = 256
+DOC_SEQS = 20
+DOC_SEQ_LEN = 256
 
 
 def q_normalize_text(spark, sf):
@@ -519,7 +519,7 @@ def q_encode_sequences(spark, sf):
 
 def q_pad_truncate(spark, sf):
     seqs = q_chunk_corpus_small(spark, sf)
-    return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), 16), ",").alias("ids"))
+    return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), MASK_LEN), ",").alias("ids"))
 
 
 def q_pad_documents(spark, sf):
@@ -533,7 +533,7 @@ def q_pad_documents(spark, sf):
 
 
 # ---- Spark ML probes and attention
-POOL_SEQS = 6
+POOL_SEQS = 8
 EMB_DIM = 64
 
 
@@ -551,8 +551,12 @@ def q_attention_pool(spark, sf):
 
 
 def q_rank_sentences(spark, sf):
-    p = models.attention_pool(_seq_vectors(spark, sf), POOL_SEQS, EMB_DIM)
     sents = ch.document_sequences(si.table(spark, sf, "documents"))
+    # Every document's first POOL_SEQS sentences get a vector of the table, by position modulo its size.
+    vecs = si.table(spark, sf, "embeddings")
+    spot = sents.where(F.col("seq_idx") < POOL_SEQS).select(
+        "doc_id", "seq_idx", ((F.col("doc_id") * POOL_SEQS + F.col("seq_idx")) % vecs.agg(F.count(F.lit(1))).scalar()).alias("vec_id"))
+    p = models.attention_pool(spot.join(vecs, "vec_id").select("doc_id", "seq_idx", "embedding"), POOL_SEQS, EMB_DIM)
     r = models.rank_sentences(p, sents)
     return r.select("doc_id", "rank", "seq_idx", "sentence", F.round("weight", 5).alias("weight"))
 
@@ -871,7 +875,7 @@ WHERE share <= {max_share}
 def s_u(seed, *exprs) -> str:
     """Hash uniform, identical to ``scriptorium.functions.random.hash_uniform``."""
     parts = ", ".join([f"'{seed}'", *exprs])
-    return f"(('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5(concat_ws(':', {parts})), 1, 13))::UBIGINT / 4503599627370496.0)"
 
 
 def s_small_corpus() -> str:
@@ -1229,8 +1233,12 @@ def s_charids(x: str, length: int) -> str:
 
 def _oracle_batch4() -> dict[str, str]:
     zeros = ",".join(["0"] * DOC_SEQ_LEN)
-    pool = f"""v AS (SELECT vec_id // 8 AS doc_id, vec_id % 8 AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-       WHERE vec_id % 8 < {POOL_SEQS}),
+    vectors = f"""SELECT vec_id // 8 AS doc_id, vec_id % 8 AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+       WHERE vec_id % 8 < {POOL_SEQS}"""
+    ranked = f"""SELECT st.doc_id, st.seq_idx AS k, CAST(e.embedding AS DOUBLE[]) AS x FROM st
+       JOIN embeddings e ON e.vec_id = (st.doc_id * {POOL_SEQS} + st.seq_idx) % (SELECT count(*) FROM embeddings)
+       WHERE st.seq_idx < {POOL_SEQS}"""
+    pool = f"""v AS ({vectors}),
 n AS (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id),
 q AS (SELECT n.doc_id, t.q FROM n CROSS JOIN range({POOL_SEQS}) t(q)),
 qv AS (SELECT q.doc_id, q.q, v.x AS qx FROM q LEFT JOIN v ON v.doc_id = q.doc_id AND v.k = q.q),
@@ -1246,7 +1254,7 @@ kw AS (SELECT doc_id, k, sum(a) AS weight, any_value(x) AS x FROM w2 GROUP BY do
         "word_frequencies": f"""SELECT word, count(*) AS freq FROM (
   SELECT unnest(regexp_extract_all({s_norm('text')}, '{PRETOKEN_RE2}')) AS word FROM documents) GROUP BY word""",
         "pad_truncate": f"""WITH seqs AS ({s_small_corpus()})
-SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', 16)}, ',') AS ids FROM seqs""",
+SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', MASK_LEN)}, ',') AS ids FROM seqs""",
         "pad_documents": f"""WITH {LAB},
 s AS ({s_explode(s_simple_split('text'), 'lab', idx='seq_idx')}),
 e AS (SELECT doc_id, seq_idx, {s_charids('sentence', DOC_SEQ_LEN)} AS ids FROM s WHERE seq_idx < {DOC_SEQS}),
@@ -1260,29 +1268,29 @@ kd AS (SELECT doc_id, k, weight, unnest(x) AS xv, unnest(range(0, len(x))) AS d
 dv AS (SELECT doc_id, d, sum(weight * xv) / {POOL_SEQS} AS val FROM kd GROUP BY doc_id, d)
 SELECT dv.doc_id, n.n AS n_sequences, round(sum(val), 5) AS vec_sum, round(sqrt(sum(val * val)), 5) AS vec_norm
 FROM dv JOIN n USING (doc_id) GROUP BY dv.doc_id, n.n""",
-        "rank_sentences": f"""WITH {pool},
+        "rank_sentences": f"""WITH st AS ({s_explode(s_simple_split('text'), 'documents', idx='seq_idx')}),
+{pool.replace(vectors, ranked)},
 rk AS (SELECT doc_id, CAST(k AS INTEGER) AS seq_idx, weight,
-              row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, k) AS rank FROM kw),
-st AS ({s_explode(s_simple_split('text'), 'documents', idx='seq_idx')})
+              row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, k) AS rank FROM kw)
 SELECT rk.doc_id, rk.rank, rk.seq_idx, st.sentence, round(rk.weight, 5) AS weight
 FROM rk JOIN st ON st.doc_id = rk.doc_id AND st.seq_idx = rk.seq_idx""",
     }
 
 def s_sampled(mode: str) -> str:
-    u_gen = s_uh("md5(concat_ws(':', '41', k, i, t.tok))")
+    u_gen = s_u(41, "k", "i", "t.tok")
     cand = f"""{s_soft()},
 mp AS (SELECT source, doc_id, chunk_id, k, i FROM d4 WHERE m = 4),
 cand AS (SELECT mp.*, t.tok, {u_gen} * 4.0 - 2.0 AS logit FROM mp CROSS JOIN range({si.CHAR_VOCAB}) t(tok))"""
     grp = "source, doc_id, chunk_id, i"
     if mode == "multinomial":
-        u_pos = s_uh("md5(concat_ws(':', '43', k, i))")
+        u_pos = s_u(43, "k", "i")
         draw = f"""e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY {grp})) AS e FROM cand),
 c AS (SELECT *, sum(e) OVER (PARTITION BY {grp} ORDER BY tok ROWS UNBOUNDED PRECEDING) AS c,
              sum(e) OVER (PARTITION BY {grp}) AS tt, {u_pos} AS u FROM e),
 dr AS (SELECT {grp}, coalesce(min(CASE WHEN c >= u * tt THEN tok END), max(tok)) AS s FROM c GROUP BY {grp})"""
     else:
-        u_g = s_uh("md5(concat_ws(':', '43', k, i, tok))")
-        score = "logit" if mode == "aggressive" else f"logit - ln(-ln({u_g} + {0.5 / 4294967296.0}))"
+        u_g = s_u(43, "k", "i", "tok")
+        score = "logit" if mode == "aggressive" else f"logit - ln(-ln({u_g} + {0.5 / 4503599627370496.0}))"
         draw = f"dr AS (SELECT {grp}, first(tok ORDER BY {score} DESC, tok) AS s FROM cand GROUP BY {grp})"
     return f"""WITH {cand},
 {draw},
@@ -1301,7 +1309,7 @@ def _own_oracle_sql() -> dict[str, str]:
     return {
         "chunk_corpus": s_chunk_corpus(ch.DEFAULT_PROFILES, CHUNK_WORDS),
         "chunk_corpus_small": s_chunk_corpus(SMALL_PROFILES, SMALL_WORDS),
-        "scan_source": f"WITH {DOCS_IN} SELECT doc_id, source, text FROM docs_in WHERE source = 'annual'",
+        "scan_source": f"WITH {DOCS_IN} SELECT doc_id, source, text FROM docs_in",
         "scan_distinct": f"WITH {DOCS_IN} SELECT min(doc_id) AS doc_id, text FROM docs_in "
                          "WHERE source = 'calls' GROUP BY text",
         "count_documents": f"WITH {DOCS_IN} SELECT source, count(*) AS n_documents FROM docs_in GROUP BY source",

@@ -33,19 +33,6 @@ def pad_truncate(ids: Column, max_length: int, first_id: int = 1, last_id: int =
     return F.concat(seq, F.array_repeat(F.lit(pad_id), F.lit(max_length) - F.size(seq)))
 
 
-def attention_mask(ids: Column, max_length: int, content_len: Column) -> Column:
-    """1 for the template + content positions, 0 for padding."""
-    n = F.least(content_len, F.lit(max_length - 2)) + 2
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
-
-
-def zeros(n: int | Column) -> Column:
-    return F.array_repeat(F.lit(0), n if isinstance(n, Column) else F.lit(n))
-
-
-MASKABLE_EXCLUDED = (0, 1, 2, 3)  # X16: all special ids minus the mask id (4)
-
-
 def never_masked(special_ids=(0, 1, 2, 3, 4), mask_id: int = 4) -> Column:
-    """The set of ids never selected for masking = specials minus the mask id."""
+    """The ids never selected for masking = specials minus the mask id."""
     return F.array_except(F.array(*[F.lit(i) for i in special_ids]), F.array(F.lit(mask_id)))

@@ -2,9 +2,9 @@
 
 ``rand(seed)`` depends on partitioning, so shuffles, splits and masking here use
 a hash of (seed, keys...) instead. The md5 form is reproducible in DuckDB
-(``('0x' || substr(md5(..), 1, 8))::UBIGINT / 2^32``), which makes every random
-operator oracle-checkable. ``md5_words`` yields four independent uniforms from
-one hash (32 hex digits = 4 x 8).
+(``('0x' || substr(md5(..), 1, 13))::UBIGINT / 2^52``), which makes every random
+operator oracle-checkable. ``hash_uniform`` has 52 bits, enough to number every row of
+a table of 10^12; masking draws four 32-bit uniforms per position from one hash.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def _key(seed, *parts) -> Column:
@@ -26,15 +27,5 @@ def hex_uniform(hexdigest: Column, word: int = 0) -> Column:
 
 
 def hash_uniform(seed, *parts) -> Column:
-    """u = first 8 hex digits of md5('seed:part1:part2...') / 2^32, in [0, 1)."""
-    return hex_uniform(F.md5(_key(seed, *parts)), 0)
-
-
-def md5_of(seed, *parts) -> Column:
-    return F.md5(_key(seed, *parts))
-
-
-def fast_uniform(seed, *parts) -> Column:
-    """Non-oracle option: xxhash64-based uniform (cheaper than md5)."""
-    h = F.xxhash64(F.lit(seed), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return (F.shiftrightunsigned(h, 11).cast("double")) / float(2 ** 53)
+    """u = first 13 hex digits of md5('seed:part1:part2...') / 2^52, in [0, 1)."""
+    return F.conv(F.substring(F.md5(_key(seed, *parts)), 1, 13), 16, 10).cast("double") / TWO_52

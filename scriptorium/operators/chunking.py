@@ -98,21 +98,12 @@ def with_packed_chunks(df: DataFrame, sentences: str, max_words: int | Column, o
     return staged.withColumn(out, packed).drop("_bounds")
 
 
-def spread(df: DataFrame, key: str | Column | None = "doc_id") -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    Large inputs already scan as many partitions and are left alone (no shuffle
-    of the text); a small input read as one row group is hash-partitioned on the
-    document key, which is deterministic on retry and balanced for unique keys."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        if key is None or (isinstance(key, str) and key not in df.columns):
-            key = F.xxhash64(*[F.col(c) for c in df.columns])
-        return df.repartition(cores * 2, key)
-    return df
+def spread(df: DataFrame, partitions: int | None, key: str = "doc_id") -> DataFrame:
+    """Deal the rows into ``partitions`` by ``key`` when the caller asks for it.
+
+    With None the scan's own partitions stay (``spark.sql.files.maxPartitionBytes``
+    and friends set their size) and no text is shuffled."""
+    return df if partitions is None else df.repartition(partitions, key)
 
 
 # ---------------------------------------------------------------------------
@@ -124,25 +115,31 @@ def _profile_col(profiles: dict[str, ChunkProfile], attr: str, cast: str) -> Col
         v = getattr(p, attr)
         lit = F.lit(v).cast(cast)
         expr = F.when(F.col("source") == name, lit) if expr is None else expr.when(F.col("source") == name, lit)
-    return expr
+    return expr.otherwise(F.lit(getattr(OTHER_SOURCE, attr)).cast(cast))
+
+
+# Sources without a profile of their own: whole documents, no trimming.
+OTHER_SOURCE = ChunkProfile(None, None, None)
 
 
 def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                     max_doc_share: float = DEFAULT_MAX_DOC_SHARE,
-                    exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool = True) -> DataFrame:
+                    exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool = True,
+                    partitions: int | None = None) -> DataFrame:
     """Per-source fetch + clean (S1-S2, F1-F4, X7-X9) -> ``source, doc_id, text``.
 
+    Documents of a source without a profile are kept as they are (``OTHER_SOURCE``).
+
     Rows removed by a source filter (F1, F2, F3, distinct) are not documents of the
     job; NULL texts stay and are counted as excluded later (F8)."""
     profiles = profiles or DEFAULT_PROFILES
-    docs = docs.select("doc_id", "source", "doc_type", "text").where(F.col("source").isin(list(profiles)))
+    docs = docs.select("doc_id", "source", "doc_type", "text")
     src, text = F.col("source"), F.col("text")
 
-    # Every source but transcripts: one projection (spread over the cores when the
-    # scan is smaller than the cluster; transcripts are redistributed by their
-    # distinct aggregation instead).
-    rest = spread(docs.where(src != "calls")).where(
-        (src != "current")
+    # Every source but transcripts: one projection (transcripts are redistributed by
+    # their distinct aggregation).
+    rest = spread(docs.where(~src.eqNullSafe("calls")), partitions).where(
+        ~src.eqNullSafe("current")
         | (F.col("doc_type").isin(list(exhibits))
            & (text.isNull() | (digit_punct_fraction(text, empty=0.0) <= max_doc_share)))
     )
@@ -150,9 +147,6 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
                .when(src == "reports", clean_reports_text(text))
                .otherwise(text))
     rest = rest.select("source", "doc_id", cleaned.alias("text"))
-
-    if "calls" not in profiles:
-        return rest
     calls = docs.where(src == "calls")
     calls = scan_distinct(calls) if distinct_calls else calls
     lines = F.split(text, "\n", -1)
@@ -163,14 +157,14 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
 def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                     chunk_words: int = DEFAULT_CHUNK_WORDS, clean: bool = True,
-                    distinct_calls: bool = True) -> DataFrame:
+                    distinct_calls: bool = True, partitions: int | None = None) -> DataFrame:
     """Document-level chunk result: ``source, doc_id, chunks, shares, excluded``.
 
     ``chunks`` is NULL when the document failed (NULL text, too few sentences);
     ``excluded`` is also true when an empty chunk has no score (Q2)."""
     profiles = profiles or DEFAULT_PROFILES
-    base = clean_documents(docs, profiles, distinct_calls=distinct_calls) if clean \
-        else spread(docs).select("source", "doc_id", "text")
+    base = clean_documents(docs, profiles, distinct_calls=distinct_calls, partitions=partitions) if clean \
+        else spread(docs, partitions).select("source", "doc_id", "text")
     first = _profile_col(profiles, "trim_first", "int")
     last = _profile_col(profiles, "trim_last", "int")
     empty_share = _profile_col(profiles, "empty_share", "double")
@@ -185,10 +179,10 @@ def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
 
 def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first: int | None = None,
-                last: int | None = None, text: str = "text") -> DataFrame:
+                last: int | None = None, text: str = "text", partitions: int | None = None) -> DataFrame:
     """T1 as a table function: ``doc_id, chunk_id, sequence`` for every raw chunk
     (split -> trim -> pack); documents failing the trim check give no rows."""
-    staged = spread(docs).select("doc_id", trim_sentences(split_sentences(F.col(text)), first, last).alias("_s"))
+    staged = spread(docs, partitions).select("doc_id", trim_sentences(split_sentences(F.col(text)), first, last).alias("_s"))
     staged = with_packed_chunks(staged, "_s", chunk_words, "chunks")
     return staged.select("doc_id", posexplode_rows("chunks").alias("chunk_id", "sequence")) \
         .withColumn("chunk_id", F.col("chunk_id").cast("int"))
@@ -196,12 +190,12 @@ def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first:
 
 def chunk_corpus(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                  chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE,
-                 clean: bool = True, distinct_calls: bool = True) -> DataFrame:
+                 clean: bool = True, distinct_calls: bool = True, partitions: int | None = None) -> DataFrame:
     """T2 (flagship): ``source, doc_id, chunk_id, sequence`` for every kept chunk.
 
     ``chunk_id`` is the chunk's position in its document before the quality
     filter, so the keys are stable lineage (deviation D1)."""
-    doc = chunk_documents(docs, profiles, chunk_words, clean, distinct_calls)
+    doc = chunk_documents(docs, profiles, chunk_words, clean, distinct_calls, partitions)
     # Exclusion is folded into the generator input instead of a Filter: a Filter on
     # a derived column would be pushed below the projections and re-run the whole
     # text pipeline inside its predicate.
@@ -235,7 +229,7 @@ def chunk_report(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = Non
         F.sum("share_sum").alias("share_sum"),
         F.sum("n_kept").alias("n_kept_chunks"),
     )
-    totals = count_documents(docs.where(F.col("source").isin(list(profiles))))
+    totals = count_documents(docs)
     return (totals.join(agg, "source", "left")
             .select("source", "n_documents",
                     F.coalesce("n_excluded", F.lit(0)).alias("n_excluded"),

@@ -13,15 +13,15 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import hash_uniform
-from .scores import binary_scores
+from .scores import binary_scores, multiclass_scores, regression_scores
 
 
 # ---------------------------------------------------------------------------
@@ -60,48 +60,55 @@ def trial_table(spark: SparkSession, space=DEFAULT_SPACE, n_trials: int = 4, see
 # ---------------------------------------------------------------------------
 # M1 / M2: cross-validated random search and final evaluation
 # ---------------------------------------------------------------------------
-def term_frequencies(df: DataFrame, num_features: int = 1 << 12) -> DataFrame:
+def term_frequencies(df: DataFrame, num_features: int = 1 << 18) -> DataFrame:
     """Stateless featurisation (tokenise + hashed term counts) -> ``_tf``; applied
     once before cross-validation since it learns nothing from the data."""
     tok = RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"(?U)\W+").transform(df)
     return HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(tok).drop("_tok")
 
 
-def text_features(num_features: int = 1 << 12) -> list:
-    """Pipeline stages turning ``text`` into TF-IDF ``features``."""
-    return [RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"(?U)\W+"),
-            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="features")]
+class MacroF1(Evaluator):
+    """Unweighted mean of the classes' F1 (A6), for Spark ML's model selection."""
 
+    def __init__(self, label: str = "label_d", prediction: str = "prediction"):
+        super().__init__()
+        self.label, self.prediction = label, prediction
 
-def _lr_with(params: dict) -> LogisticRegression:
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d")
-    return lr.setParams(**{k: (int(v) if k == "maxIter" else v) for k, v in params.items()})
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pairs = dataset.select(F.col(self.label).alias("label"), F.col(self.prediction).alias("prediction"))
+        return float(multiclass_scores(pairs).first()["macro_f1"] or 0.0)
 
+    def isLargerBetter(self) -> bool:
+        return True
 
-def _f1_evaluator(num_classes: int) -> MulticlassClassificationEvaluator:
-    """Binary: F1 of the positive class; multiclass: macro-style F1."""
+
+def _evaluator(num_classes: int):
+    """Binary: F1 of the positive class; multiclass: macro F1; 0 classes (regression): R^2."""
+    if num_classes == 0:
+        return RegressionEvaluator(labelCol="label_d", metricName="r2")
     if num_classes == 2:
         return MulticlassClassificationEvaluator(labelCol="label_d", metricName="fMeasureByLabel", metricLabel=1.0)
-    return MulticlassClassificationEvaluator(labelCol="label_d", metricName="f1")
+    return MacroF1()
 
 
 def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int = 2, order: str = "row_no",
-              parallelism: int = 4, seed: int = 0) -> DataFrame:
+              parallelism: int = 4, seed: int = 0, estimator=None, num_features: int = 1 << 18) -> DataFrame:
     """M1: every trial's parameters are scored by k-fold cross-validation with
     contiguous folds in ``order`` (W4) -> ``trial_id, cv_score`` plus the
     parameters. Folds and trials train in parallel (``parallelism``). The trial
-    list (bounded by ``n_trials``) is the only thing collected."""
+    list (bounded by ``n_trials``) is the only thing collected. ``num_classes`` picks
+    the score (2: F1 of class 1, more: macro F1, 0: R^2 of a regressor); ``estimator``
+    is any Spark ML one on ``features`` and ``label_d`` whose parameters the trials name."""
     from .ordering import kfold
 
     folded = kfold(train, k, [order]).withColumn("label_d", F.col("label").cast("double"))
     # The k x trials fits all read this frame: persist it (spills to disk) so the
     # folds, shuffles and tokenisation run once; IDF stays inside the fitted
     # pipeline so every fold learns it from its own training rows only.
-    folded = term_frequencies(folded).select("fold", "label_d", "_tf").persist()
+    folded = term_frequencies(folded, num_features).select("fold", "label_d", "_tf").persist()
     rows = trials.orderBy("trial_id").collect()
     names = [c for c in trials.columns if c != "trial_id"]
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d")
+    lr = estimator if estimator is not None else LogisticRegression(featuresCol="features", labelCol="label_d")
     maps = []
     for r in rows:
         pm = {}
@@ -110,7 +117,7 @@ def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
             pm[lr.getParam(n)] = int(v) if n == "maxIter" else (bool(v) if n == "fitIntercept" else float(v))
         maps.append(pm)
     pipe = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), lr])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=_f1_evaluator(num_classes),
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=_evaluator(num_classes),
                         foldCol="fold", parallelism=parallelism, seed=seed)
     try:
         model = cv.fit(folded)
@@ -122,11 +129,13 @@ def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
     return trials.join(scores, "trial_id")
 
 
-def final_evaluation(train: DataFrame, test: DataFrame, best: dict) -> DataFrame:
+def final_evaluation(train: DataFrame, test: DataFrame, best: dict, num_classes: int = 2, estimator=None,
+                     num_features: int = 1 << 18) -> DataFrame:
     """M2: refit on the whole train part with the best parameters, score the train
-    and test parts (A5) -> one row per part. The featurised parts are persisted
-    for the fit and the scoring and released before returning the two rows."""
-    lr = LogisticRegression(featuresCol="features", labelCol="label_d")
+    and test parts (A5; A6 for more classes, A7 for 0 = regression) -> one row per part.
+    The featurised parts are persisted for the fit and the scoring and released before
+    returning the two rows."""
+    lr = estimator if estimator is not None else LogisticRegression(featuresCol="features", labelCol="label_d")
     for n, v in best.items():
         if n == "trial_id" or not lr.hasParam(n):
             continue
@@ -134,11 +143,15 @@ def final_evaluation(train: DataFrame, test: DataFrame, best: dict) -> DataFrame
     pipe = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), lr])
     tr = train.withColumn("label_d", F.col("label").cast("double")).withColumn("split", F.lit("train"))
     te = test.withColumn("label_d", F.col("label").cast("double")).withColumn("split", F.lit("test"))
-    both = term_frequencies(tr.unionByName(te)).select("split", "label_d", "label", "_tf").persist()
+    both = term_frequencies(tr.unionByName(te), num_features).select("split", "label_d", "label", "_tf").persist()
     try:
         model = pipe.fit(both.where(F.col("split") == "train"))
-        pred = model.transform(both).withColumn("prediction", F.col("prediction").cast("int"))
-        scores = binary_scores(pred, by=["split"])
+        pred = model.transform(both)
+        if num_classes == 0:
+            scores = regression_scores(pred, by=["split"])
+        else:
+            pred = pred.withColumn("prediction", F.col("prediction").cast("int"))
+            scores = binary_scores(pred, by=["split"]) if num_classes == 2 else multiclass_scores(pred, by=["split"])
         rows = scores.collect()  # one row per part
     finally:
         both.unpersist()

@@ -39,16 +39,13 @@ def index_rows(df: DataFrame, order: list, by: list[str] | tuple = (), out: str
                start: int = 0, block: Column | None = None, num_blocks: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based (or ``start``-based) position of each row in ``order``
     within its ``by`` group. ``order`` must make rows unique within a group;
-    ``block`` (optional) must be non-decreasing along ``order``."""
+    ``block`` (optional) must be non-decreasing along ``order``; without it the blocks
+    are cut at values of a bounded sample of the leading column, which may be of any
+    orderable type, hold nulls (first when ascending) and outliers, and be descending."""
     by = list(by)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    nb = _num_blocks(df, num_blocks)
     if block is None:
-        first = order_cols[0].cast("double")
-        lo = df.agg(F.min(first)).scalar()
-        hi = df.agg(F.max(first)).scalar()
-        width = F.greatest(hi - lo, F.lit(1e-300))
-        block = F.least(F.floor((first - lo) / width * nb), F.lit(nb - 1)).cast("int")
+        block = _sampled_block(df, order_cols[0], _num_blocks(df, num_blocks))
     b = df.withColumn("_blk", block)
     ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_blk").orderBy(*order_cols)) - 1)
     counts = b.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,6 +57,29 @@ def index_rows(df: DataFrame, order: list, by: list[str] | tuple = (), out: str
             .drop("_blk", "_r", "_off"))
 
 
+def _sampled_block(df: DataFrame, key: Column, num_blocks: int) -> Column:
+    """Block number of a row: how many of the sampled bounds lie at or before its key.
+
+    One pass counts, one brings about 20 keys per block (fewer than 32 * num_blocks) to the driver."""
+    text = str(key)
+    descending = " DESC" in text
+    plain = F.col(text.split("'")[1].split(" ")[0].strip("`")) if descending else key
+    keys = df.select(plain.alias("k"))
+    n = keys.count()
+    share = min(1.0, 20.0 * num_blocks / max(1, n))
+    picked = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = [r["k"] for r in keys.where(F.col("k").isNotNull() & picked).distinct().limit(32 * num_blocks).collect()]
+    sample = sorted(x for x in sample if x == x)
+    bounds = sample[:: max(1, len(sample) // num_blocks)]
+    if not bounds:
+        return F.lit(0)
+    kind = keys.schema["k"].dataType
+    cuts = F.array(*[F.lit(x).cast(kind) for x in bounds])
+    at = F.coalesce(F.size(F.filter(cuts, lambda c: c <= plain)), F.lit(0))
+    number = F.when(plain.isNull(), F.lit(-1)).otherwise(at)
+    return -number if descending else number
+
+
 def shuffle_sequences(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "chunk_id"),
                       by: str = "source") -> DataFrame:
     """Seeded shuffle of each chunk table; ``row_no`` is the new 0-based row
@@ -85,25 +105,34 @@ def source_totals(seqs: DataFrame, by: str = "source") -> DataFrame:
 
 
 def epoch_window(seqs: DataFrame, retrieval: DataFrame, epoch: int, wrap: str = "reference",
-                 by: str = "source") -> DataFrame:
+                 by: str = "source", totals: DataFrame | None = None) -> DataFrame:
     """W1 + J5: rows ``[offset, offset + limit)`` of each source for ``epoch``.
 
     ``retrieval`` has ``source, limit``. offset = epoch * limit; with
     ``wrap="reference"`` the offset falls back to 0 once ``2 * offset > n_total``
-    (quirk Q4); ``wrap="full"`` wraps only when the window would pass the end.
-    The per-source settings table has one row per source, so the join is a
-    broadcast of a bounded table; the filter on the stored ``row_no`` is a range
-    predicate (no re-sort per epoch, cost independent of the offset)."""
-    settings = retrieval.join(source_totals(seqs, by), by)
-    off = F.lit(epoch) * F.col("limit")
-    if wrap == "reference":
-        off = F.when(off + off > F.col("n_total"), F.lit(0)).otherwise(off)
-    else:
-        off = F.when(off + F.col("limit") > F.col("n_total"), F.lit(0)).otherwise(off)
-    settings = settings.select(by, off.alias("_lo"), (off + F.col("limit")).alias("_hi"))
-    return (seqs.join(F.broadcast(settings), by)
-            .where((F.col("row_no") >= F.col("_lo")) & (F.col("row_no") < F.col("_hi")))
-            .drop("_lo", "_hi"))
+    (quirk Q4); ``wrap="full"`` goes through all rows and then on from the start, so
+    a window may hold the last rows and the first ones.
+
+    Limits and totals (one row per source; ``totals`` is ``source_totals`` kept from
+    the write, else it is counted here) come to the driver, and the window becomes
+    literal ranges: on a stored table the source reaches the partition filters and the
+    row numbers the row-group statistics, so an epoch reads its own rows only."""
+    rows = retrieval.join(source_totals(seqs, by) if totals is None else totals, by).select(by, "limit", "n_total").collect()
+    wanted = F.lit(False)
+    for r in sorted(rows, key=lambda r: str(r[by])):
+        limit, n = int(r["limit"]), int(r["n_total"])
+        lo = epoch * limit
+        if wrap == "reference":
+            ranges = [(0 if 2 * lo > n else lo, (0 if 2 * lo > n else lo) + limit)]
+        elif limit >= n:
+            ranges = [(0, n)]
+        else:
+            lo %= n
+            ranges = [(lo, min(n, lo + limit)), (0, max(0, lo + limit - n))]
+        for a, b in ranges:
+            if a < b:
+                wanted = wanted | ((F.col(by) == r[by]) & (F.col("row_no") >= F.lit(a)) & (F.col("row_no") < F.lit(b)))
+    return seqs.where(wanted)
 
 
 def planned_steps(retrieval: DataFrame, batch_size: int, n_epochs: int) -> DataFrame:
@@ -115,7 +144,7 @@ def planned_steps(retrieval: DataFrame, batch_size: int, n_epochs: int) -> DataF
 
 
 def batch_plan(window: DataFrame, batch_size: int, seed: int, epoch: int,
-               steps_per_epoch: int | None = None, key: tuple = ("source", "doc_id", "chunk_id")) -> DataFrame:
+               steps_per_epoch: int | Column, key: tuple = ("source", "doc_id", "chunk_id")) -> DataFrame:
     """W2 + R2: mix an epoch's rows across sources (seeded), number them, and cut
     consecutive batches of ``batch_size`` (the last may be partial).
     ``global_step`` = epoch * steps_per_epoch + batch_id + 1."""
@@ -124,7 +153,7 @@ def batch_plan(window: DataFrame, batch_size: int, seed: int, epoch: int,
     pos = index_rows(window.withColumn("_u", u), ["_u", *key], out="_pos",
                      block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
     out = pos.withColumn("epoch", F.lit(epoch)).withColumn("batch_id", (F.col("_pos") / batch_size).cast("int"))
-    spe = steps_per_epoch if isinstance(steps_per_epoch, Column) else F.lit(steps_per_epoch or 0)
+    spe = steps_per_epoch if isinstance(steps_per_epoch, Column) else F.lit(int(steps_per_epoch))
     step = (F.lit(epoch) * spe + F.col("batch_id") + 1).cast("long")
     return out.withColumn("global_step", step).withColumnRenamed("_pos", "position")
 

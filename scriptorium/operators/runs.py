@@ -114,7 +114,8 @@ def early_stopping(metrics: DataFrame, metric: str = "loss", patience: int = 5,
         score = F.lit(sign) * e["v"]
         stopped = acc["stop_step"].isNotNull()
         first = acc["best"].isNull()
-        worse = score < acc["best"] + F.lit(d)
+        # a comparison with NaN is false, here as in Python (Spark orders NaN above all)
+        worse = (score < acc["best"] + F.lit(d)) & ~F.isnan(score) & ~F.isnan(acc["best"])
         improve = F.struct(score.alias("best"), e["s"].cast("long").alias("best_step"), e["v"].alias("best_value"),
                            F.lit(0).alias("counter"), acc["stop_step"].alias("stop_step"))
         cnt = acc["counter"] + 1
@@ -137,11 +138,15 @@ def _early_stopping_windows(metrics: DataFrame, metric: str, patience: int, sign
     from pyspark.sql import Window
 
     w = Window.partitionBy(run).orderBy(step)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     score = F.lit(sign) * F.col(metric).cast("double")
     d = metrics.select(run, step, F.col(metric).cast("double").alias("_v"), score.alias("_s"),
                        F.row_number().over(w).alias("_i"))
+    # A NaN score counts as an improvement and so does whatever follows it: the running
+    # maximum starts anew after each NaN.
+    nans = F.sum(F.isnan("_s").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_part", F.coalesce(nans, F.lit(0)))
+    before = Window.partitionBy(run, "_part").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_imp", F.max("_s").over(before).isNull() | (F.col("_s") >= F.max("_s").over(before)))
     d = d.withColumn("_cnt", F.col("_i") - F.max(F.when(F.col("_imp"), F.col("_i"))).over(upto))
     d = d.withColumn("_stop", F.min(F.when(F.col("_cnt") >= patience, F.col(step))).over(upto))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """Create (or reuse) a session with the settings this library is designed for.
 
     AQE is on so skewed chunk/document groups are split at runtime and small
-    lookup sides are broadcast only after their real size has been measured.
+    lookup sides are broadcast only after their real size has been measured. Master
+    and shuffle partitions are left to the launcher unless given.
     """
-    master = master or os.environ.get("SPARK_MASTER", "local[8]")
-    if shuffle_partitions is None:
-        shuffle_partitions = 8
     b = (
-        SparkSession.builder.master(master).appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -30,6 +28,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
+    master = master or os.environ.get("SPARK_MASTER")
+    if master:
+        b = b.master(master)
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -42,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the setting must point to shared storage; it is only read here.
     Only when it is unset *and* the master is local (tests, bench) is a fresh
-    scratch folder created under the system temp dir.
+    scratch folder created, under ``$SCRIPTORIUM_SCRATCH`` where that is set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,9 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage on a cluster")
-    path = tempfile.mkdtemp(prefix="scriptorium-ckpt-")
+    path = tempfile.mkdtemp(prefix="scriptorium-ckpt-", dir=os.environ.get("SCRIPTORIUM_SCRATCH"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 

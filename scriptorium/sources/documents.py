@@ -26,11 +26,13 @@ def scan_source(docs: DataFrame, source: str | None = None) -> DataFrame:
 def scan_distinct(docs: DataFrame) -> DataFrame:
     """Distinct texts; the survivor of a duplicate group is its smallest ``doc_id``.
 
-    ``groupBy`` keeps a map-side partial aggregate (min), so duplicates collapse
-    before the shuffle; a hot text is one row per partition after the partial."""
-    return (docs.groupBy("source", "text")
-            .agg(F.min("doc_id").alias("doc_id"), F.min("doc_type").alias("doc_type"))
-            .select("doc_id", "source", "doc_type", "text"))
+    Grouped by a 256-bit digest, so no sort or shuffle key is a whole text; every
+    column is the survivor's own. Duplicates collapse in the map-side partial
+    aggregate: a hot text is one row per partition before the shuffle."""
+    row = F.struct("doc_id", "doc_type", "text")
+    return (docs.groupBy("source", F.sha2(F.col("text").cast("binary"), 256).alias("_digest"))
+            .agg(F.min_by(row, "doc_id").alias("_row"))
+            .select("_row.doc_id", "source", "_row.doc_type", "_row.text"))
 
 
 def scan_page(docs: DataFrame, limit: int | None = None, offset: int | None = None,

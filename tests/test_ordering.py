@@ -9,7 +9,7 @@ from scriptorium.operators import ordering as od
 
 def test_hash_uniform_golden(spark):
     u = spark.range(1).select(hash_uniform(7, F.lit(1), F.lit(3)).alias("u")).first().u
-    assert abs(u - 4151147957 / 4294967296.0) < 1e-15
+    assert abs(u - 0xf76d7db57a7ea / 4503599627370496.0) < 1e-15
 
 
 def test_index_rows_matches_row_number(spark):
@@ -31,6 +31,38 @@ def test_epoch_window_fixture(spark):
     assert sorted(r.row_no for r in od.epoch_window(seqs, ret, 2, wrap="full").collect()) == list(range(600, 900))
 
 
+def test_epoch_window_goes_through_all_rows_before_it_starts_again(spark):
+    seqs = spark.range(1000).select(F.lit("s").alias("source"), F.col("id").alias("row_no"))
+    ret = spark.createDataFrame([("s", 300)], "source string, limit long")
+    rows = sorted(r.row_no for r in od.epoch_window(seqs, ret, 3, wrap="full").collect())
+    assert rows == list(range(0, 200)) + list(range(900, 1000))
+    many = spark.createDataFrame([("s", 5000)], "source string, limit long")
+    assert od.epoch_window(seqs, many, 2, wrap="full").count() == 1000
+
+
+def test_epoch_window_reads_its_own_rows_only(spark, tmp_path):
+    seqs = spark.range(1000).select(F.when(F.col("id") < 500, "a").otherwise("b").alias("source"), (F.col("id") % 500).alias("row_no"))
+    seqs.write.partitionBy("source").parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    ret = spark.createDataFrame([("a", 100)], "source string, limit long")
+    win = od.epoch_window(stored, ret, 1, totals=od.source_totals(stored))
+    plan = win._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_no,100)" in plan and "PartitionFilters: [" in plan and "source" in plan.split("PartitionFilters: [")[1][:60]
+    assert sorted(r.row_no for r in win.collect()) == list(range(100, 200))
+
+
+def test_index_rows_with_nulls_strings_outliers_and_descending_keys(spark):
+    rows = [(None, 0), (5, 1), (10**15, 2)] + [(i, 10 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, id long").withColumn("s", F.concat(F.lit("x"), F.col("k").cast("string")))
+    for order in (["k", "id"], ["s", "id"], [F.col("k").desc(), "id"], [F.col("s").desc(), F.col("id")]):
+        cols = [F.col(c) if isinstance(c, str) else c for c in order]
+        want = df.withColumn("n", F.row_number().over(Window.orderBy(*cols)) - 1)
+        got = od.index_rows(df, order, out="n", num_blocks=8)
+        assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in want.collect())
+    blocks = df.select(od._sampled_block(df, F.col("k"), 8).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in blocks) < 120
+
+
 def test_planned_steps(spark):
     ret = spark.createDataFrame([(f"s{i}", 512) for i in range(4)], "source string, limit long")
     r = od.planned_steps(ret, 128, 3).first()
