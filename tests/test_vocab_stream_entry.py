@@ -85,3 +85,15 @@ def test_entry_smoke(spark):
     assert df.count() >= 0 and df.columns == ["source", "doc_id", "chunk_id", "sequence"]
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
+
+
+def test_words_are_cut_alike_for_learning_and_encoding(spark):
+    from pyspark.sql import functions as F
+
+    text = "x\u00b2 हिन्दी ok"
+    df = spark.createDataFrame([(1, text)], "doc_id long, sequence string")
+    freqs = vocab.word_frequencies(df, "sequence")
+    words = sorted(r.word for r in freqs.collect())
+    voc = spark.createDataFrame([(t, i) for i, t in enumerate([*vocab.SPECIAL_TOKENS, *words])], "token string, token_id int")
+    ids = vocab.encode_sequences(df, voc, 16).select("input_ids").first().input_ids
+    assert vocab.UNK_ID not in ids and len([i for i in ids if i >= 5]) == freqs.agg(F.sum("freq")).first()[0]
