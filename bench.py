@@ -59,8 +59,10 @@ def main() -> None:
     q, extra = {}, {}
 
     # 1. corpus chunk job, reference settings (200 words, reference trims)
-    q["chunk_corpus"] = timed(lambda: run(ch.chunk_corpus(docs)))
-    n_chunks = ch.chunk_corpus(docs).count()
+    # (the input is one small file: dealt out by hand, as a user would)
+    parts = 2 * cpus
+    q["chunk_corpus"] = timed(lambda: run(ch.chunk_corpus(docs, partitions=parts)))
+    n_chunks = ch.chunk_corpus(docs, partitions=parts).count()
     extra["chunk_corpus_docs_per_sec"] = n_docs / q["chunk_corpus"]
     extra["chunk_corpus_chunks_per_sec"] = n_chunks / q["chunk_corpus"]
 
@@ -68,7 +70,7 @@ def main() -> None:
     #    written once (S7), then shuffled from the written table into a new one
     chunk_path, seq_path = f"{scratch}/chunks", f"{scratch}/sequences"
     t0 = time.perf_counter()
-    write_chunks(ch.chunk_corpus(docs, small, chunk_words=60), chunk_path)
+    write_chunks(ch.chunk_corpus(docs, small, chunk_words=60, partitions=parts), chunk_path)
     q["chunk_write"] = time.perf_counter() - t0
     t0 = time.perf_counter()
     write_shuffled(ordering.shuffle_sequences(spark.read.parquet(chunk_path), seed=7), seq_path)
@@ -76,14 +78,16 @@ def main() -> None:
     seqs = spark.read.parquet(seq_path)
     n_seqs = seqs.count()
     extra["sequences"] = n_seqs
+    q["count_sequences"] = timed(lambda: run(ordering.source_totals(seqs)))
 
     # 3. epoch windows: first and last epoch before the wrap (cost must not grow with the offset)
     limit = 512
-    retrieval = seqs.select("source").distinct().withColumn("limit", F.lit(limit))
-    smallest = seqs.groupBy("source").count().agg(F.min("count")).first()[0]
-    last_epoch = max(0, (smallest // 2) // limit)
-    q["epoch_window_first"] = timed(lambda: run(ordering.epoch_window(seqs, retrieval, 0)))
-    q["epoch_window_last"] = timed(lambda: run(ordering.epoch_window(seqs, retrieval, last_epoch)))
+    sizes = {r["source"]: r["n_total"] for r in ordering.source_totals(seqs).collect()}
+    totals = spark.createDataFrame(list(sizes.items()), "source string, n_total long")
+    retrieval = spark.createDataFrame([(name, limit) for name in sizes], "source string, limit long")
+    last_epoch = max(0, (min(sizes.values()) // 2) // limit)
+    q["epoch_window_first"] = timed(lambda: run(ordering.epoch_window(seqs, retrieval, 0, totals=totals)))
+    q["epoch_window_last"] = timed(lambda: run(ordering.epoch_window(seqs, retrieval, last_epoch, totals=totals)))
     extra["epoch_window_last_epoch"] = last_epoch
 
     # 4. vocabulary learning
