@@ -10,8 +10,11 @@ common bucket. At J = 0.75 a pair exceeds MAX_ERRORS with probability 1.5e-6.
 Texts with equal shingle sets are one class from the start. Only components are wanted,
 so a bucket of m classes is not expanded into m^2 pairs: every class is confirmed
 against the bucket's smallest one first, and only classes of a bucket that still lie in
-different components are compared with each other, in blocks. Every link is confirmed
-on the full shingle sets.
+different components are compared with each other, in blocks. A word line that very many
+documents share puts them into one bucket without making them alike; a second, wider
+signature (WIDE symbols of 8 bits, at most WIDE_ERRORS of them different, which a pair at
+J = 0.75 exceeds with probability 1e-7) keeps such pairs from reaching the full sets.
+Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from scriptorium.llm.shingles import digests, minhash, runs, shingle_sets
 SHINGLE = 5
 SLOTS, CHUNK = 30, 3
 MAX_ERRORS = 2 * (SLOTS // CHUNK) - 1
-BLOCK = 1024
+WIDE, WIDE_ERRORS = 192, 81
+BLOCK = 8192
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +88,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, shingle_set): the full set of each wanted document as ascending uint64."""
+    """(id, shingle_set, wide): the full set of each wanted document as ascending uint64, and its wide signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = _bytes_of(batch.column(1))
@@ -93,11 +97,28 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle
                 base = ends[lo] - lengths[lo]
                 sets, sizes = shingle_sets(data[base : ends[hi - 1]], ends[lo:hi] - base, shingle)
                 parts = np.split(sets, np.cumsum(sizes)[:-1])
+                some = np.flatnonzero(sizes > 0)
+                wide = (minhash(sets, sizes, WIDE, seed=2) & np.uint32(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "shingle_set"])
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array([parts[i].tobytes() for i in some], pa.binary()),
+                     pa.array([w.tobytes() for w in wide], pa.binary())], names=["id", "shingle_set", "wide"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("t"))
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, shingle_set binary")
+    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, shingle_set binary, wide binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose wide signatures differ in at most WIDE_ERRORS symbols."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("wide").alias("wide_a")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("wide").alias("wide_b")), "b").select("a", "b", "wide_a", "wide_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, WIDE) for i in (2, 3))
+            near = pa.array((x != y).sum(1) <= WIDE_ERRORS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,32 +151,33 @@ def _across(members: DataFrame, sizes: DataFrame) -> DataFrame:
     common buckets only.
     """
     dealt = members.join(sizes, "key").select(
-        "key", "id", "component", "sig", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        "key", "id", "component", "sig", "wide", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     met = dealt.select(
-        "key", "id", "component", "sig", "block",
+        "key", "id", "component", "sig", "wide", "block",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "sig", "block")
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "sig", "wide", "block")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, SLOTS)
+        wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(-1, WIDE)
+        slots = np.ascontiguousarray(sig.T)
         keys = bucket_keys(sig)
-        own = int(np.uint64(np.int64(pdf["key"].iloc[0])))
-        nth = int(np.flatnonzero(keys[0] == np.uint64(own))[0])
+        nth = int(np.flatnonzero(keys[0] == np.uint64(int(pdf["key"].iloc[0]) % (1 << 64)))[0])
         ids, comp, block = (pdf[c].to_numpy() for c in ("id", "component", "block"))
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        first = np.arange(len(ids)) if same else np.flatnonzero(block == pdf["i"].iloc[0])
-        second = np.arange(len(ids)) if same else np.flatnonzero(block == pdf["j"].iloc[0])
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         a_out, b_out = [], []
-        for r in first:
-            other = second[(comp[second] != comp[r])]
-            if same:
+        for r in np.flatnonzero(block == i).tolist():
+            same = np.zeros(len(ids), np.int16)
+            for k in range(SLOTS):
+                same += slots[k] == slots[k, r]
+            other = np.flatnonzero((same >= SLOTS - MAX_ERRORS) & (comp != comp[r]) & (block == j))
+            if i == j:
                 other = other[other > r]
-            if not len(other):
-                continue
-            other = other[(sig[other] != sig[r]).sum(1) <= MAX_ERRORS]
-            other = other[~(keys[other][:, :nth] == keys[r][:nth]).any(1)]
-            a_out.append(np.full(len(other), ids[r]))
-            b_out.append(ids[other])
+            if len(other):
+                other = other[(wide[other] != wide[r]).sum(1) <= WIDE_ERRORS]
+                other = other[~(keys[other][:, :nth] == keys[r][:nth]).any(1)]
+                a_out.append(np.full(len(other), ids[r]))
+                b_out.append(ids[other])
         if not a_out:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         a, b = np.concatenate(a_out), np.concatenate(b_out)
@@ -184,7 +206,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = keep(_sets_of(docs, wanted, doc_id, text, shingle).dropDuplicates(["id"]))
 
     stars = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = keep(_confirm(stars, sets, percent))
+    links = keep(_confirm(_alike(stars, sets), sets, percent))
     found = connected_components(links)
 
     labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -192,10 +214,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     # Classes that a bucket's smallest one did not reach: only buckets of several components are left.
     sizes = open_buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    members = labelled.join(heads.select("id", "sig"), "id")
-    tested = stars.select(F.col("a"), F.col("b"))
-    rest = _across(members, sizes).join(tested, ["a", "b"], "left_anti")
-    links = links.union(keep(_confirm(rest, sets, percent)))
+    members = labelled.join(heads.select("id", "sig"), "id").join(sets.select("id", "wide"), "id")
+    links = links.union(keep(_confirm(_across(members, sizes), sets, percent)))
     found = connected_components(links)
 
     named = heads.select("id", "d1", "d2").join(found.withColumnRenamed("node", "id"), "id", "left").select(
