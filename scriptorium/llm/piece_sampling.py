@@ -9,7 +9,8 @@ seed alone, so a row has the same segmentation wherever and whenever it is compu
 The vocabulary's merge order gives its pieces' probabilities by Zipf's law (1 / (rank + 2.7)). No piece
 holds a space after another character, and none a line break, so a text falls into units (a word with
 the spaces before it) whose lattices are independent: forward filtering is done once for each different
-unit, and all units of a batch are sampled together, one backward step at a time.
+unit of a run of texts, for all units place by place, and all units of the run are sampled together, one
+backward step at a time.
 """
 
 from __future__ import annotations
@@ -20,20 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.common import table, whole_text
 from scriptorium.llm.shingles import mix, runs
+from scriptorium.llm.suffix_array import prefix_sums
 
 ALPHA, SEED = 0.5, 17
 ZIPF_SHIFT = 2.7
 # Log probability of one byte of a character that no piece spells.
 BYTE_LOG = -12.0
 UNIT = re.compile(r" *[^ \n]+|\n| +")
-KNOWN_UNITS = 150_000
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def default_model() -> str:
@@ -43,9 +45,9 @@ def default_model() -> str:
 
 
 class PieceLattice:
-    """The pieces, and the filtered lattices of the units met so far."""
+    """The pieces of a vocabulary, and the filtered lattices of a run of texts."""
 
-    def __init__(self, model: str, alpha: float = ALPHA, known_units: int = KNOWN_UNITS):
+    def __init__(self, model: str, alpha: float = ALPHA):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -64,85 +66,112 @@ class PieceLattice:
                 self.weights[piece] = (i, -alpha * math.log(max(0.0, -p.get_score(i)) + ZIPF_SHIFT))
                 self.texts.append(piece.encode())
         self.byte_weight = alpha * BYTE_LOG
-        self.begins = {piece[:k] for piece in self.weights for k in range(1, len(piece) + 1)}
-        self.known_units = known_units
-        self._forget()
+        self.by_length = self._tables()
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.text_bytes = np.frombuffer(b"".join(self.texts), np.uint8)
         self.text_starts, self.text_lengths = np.cumsum(lengths) - lengths, lengths
 
-    def _forget(self) -> None:
-        self.units: dict[str, int] = {}
-        self.last: list[int] = []  # node at the end of each unit
-        self.keys: list[float] = []  # node + share of the paths into it, ascending
-        self.source: list[int] = []  # node where the edge begins
-        self.first: list[int] = []  # its ids in ``ids``
-        self.count: list[int] = []
-        self.ids: list[int] = []
-        self.bases: list[int] = []
-        self.nodes = 0
-
-    def add(self, unit: str) -> int:
-        """Forward filtering of a new unit; its number."""
-        n, base = len(unit), self.nodes
-        weights, begins = self.weights, self.begins
-        into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = False
-            j = i + 1
-            while j <= n and unit[i:j] in begins:
-                hit = weights.get(unit[i:j])
-                if hit is not None:
-                    into[j].append((i, hit[0], hit[1]))
-                    single = single or j == i + 1
-                j += 1
-            if not single:
-                into[i + 1].append((i, -1, self.byte_weight * len(unit[i].encode("utf-8", "surrogatepass"))))
-        total = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            edges = into[j]
-            logs = [total[i] + w for i, _, w in edges]
-            top = max(logs)
-            shares = [math.exp(x - top) for x in logs]
-            whole = sum(shares)
-            total[j] = top + math.log(whole)
-            run = 0.0
-            for k, (i, piece, _) in enumerate(edges):
-                run += shares[k]
-                self.keys.append(base + j + (run / whole if k < len(edges) - 1 else 1.0))
-                self.source.append(base + i)
-                self.first.append(len(self.ids))
-                if piece >= 0:
-                    self.ids.append(piece)
-                    self.count.append(1)
-                else:
-                    raw = unit[i].encode("utf-8", "surrogatepass")
-                    self.ids += [self.byte_ids[b] for b in raw]
-                    self.count.append(len(raw))
-        self.nodes += n + 1
-        self.bases.append(base)
-        self.last.append(base + n)
-        self.units[unit] = number = len(self.units)
-        return number
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: hashes of all pieces' beginnings, ascending; their ids (-1: no piece) and weights."""
+        by_length: dict[int, dict[str, tuple[int, float]]] = {}
+        for piece in self.weights:
+            for k in range(1, len(piece) + 1):
+                by_length.setdefault(k, {}).setdefault(piece[:k], (-1, 0.0))
+        for piece, hit in self.weights.items():
+            by_length[len(piece)][piece] = hit
+        out = []
+        for k in range(1, max(by_length, default=0) + 1):
+            begins = by_length[k]
+            flat = np.frombuffer("".join(begins).encode("utf-32-le"), np.uint32)
+            sums, back = prefix_sums(flat)
+            at = np.arange(0, len(flat), k)
+            h = (sums[at + k] - sums[at]) * back[at]
+            order = np.argsort(h)
+            hits = list(begins.values())
+            out.append((h[order], np.array([hits[i][0] for i in order], np.int64), np.array([hits[i][1] for i in order])))
+        return out
+
+    def _edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """All pieces in the units: (begin and end node, first place in ids, number of ids, weight), by end node; ids, first and last node."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        sums, back = prefix_sums(codes)
+        ends = np.cumsum(sizes)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        stop = ends[unit]
+        place = np.arange(len(codes))
+        single = np.zeros(len(codes), bool)
+        begin, end, piece, weight = [], [], [], []
+        for k, (hashes, ids, weights) in enumerate(self.by_length, 1):
+            place = place[place + k <= stop[place]]
+            if not len(place):
+                break
+            h = (sums[place + k] - sums[place]) * back[place]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            on = hashes[at] == h
+            place, at = place[on], at[on]
+            whole = ids[at] >= 0
+            begin.append(place[whole])
+            end.append(place[whole] + k)
+            piece.append(ids[at[whole]])
+            weight.append(weights[at[whole]])
+            if k == 1:
+                single[place[whole]] = True
+        begin, end, piece, weight = (np.concatenate(x) for x in (begin, end, piece, weight))
+        other = np.flatnonzero(~single)  # characters that no piece spells
+        spelled, first, count = [], [], []
+        for c in codes[other].tolist():
+            raw = chr(c).encode("utf-8", "surrogatepass")
+            first.append(len(spelled))
+            count.append(len(raw))
+            spelled += [self.byte_ids[b] for b in raw]
+        n = len(begin)
+        ids = np.concatenate([piece, np.array(spelled, np.int64)]).astype(np.int32)
+        begin, end = np.concatenate([begin, other]), np.concatenate([end, other + 1])
+        first = np.concatenate([np.arange(n), n + np.array(first, np.int64)])
+        count = np.concatenate([np.ones(n, np.int64), np.array(count, np.int64)])
+        weight = np.concatenate([weight, self.byte_weight * count[n:]])
+        # a unit has a node before each character and one behind the last
+        node = unit[begin]
+        order = np.argsort(end + node, kind="stable")
+        begin, end = (begin + node)[order], (end + node)[order]
+        last = ends + np.arange(len(units))
+        return begin, end, first[order], count[order], weight[order], ids, last - sizes, last
 
     def sample(self, texts: list[str], row_keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
-        if len(self.units) > self.known_units:
-            self._forget()
-        units, numbers, per_text = self.units, [], []
+        units: dict[str, int] = {}
+        numbers, per_text = [], []
         for t in texts:
             found = UNIT.findall(" " + t) if t else []
             per_text.append(len(found))
-            for u in found:
-                k = units.get(u)
-                numbers.append(self.add(u) if k is None else k)
-        per_text = np.array(per_text, np.int64)
-        unit = np.array(numbers, np.int64)
+            numbers += [units.setdefault(u, len(units)) for u in found]
+        per_text, unit = np.array(per_text, np.int64), np.array(numbers, np.int64)
         if not len(unit):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        keys, source = np.array(self.keys), np.array(self.source, np.int64)
-        first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
-        ids, last, bases = np.array(self.ids, np.int32), np.array(self.last, np.int64), np.array(self.bases, np.int64)
+        source, target, first, count, weight, ids, bases, last = self._edges(list(units))
+        # Forward filtering: nodes at the same distance from their unit's begin at a time.
+        total = np.zeros(int(last[-1]) + 1)
+        offset = target - np.repeat(bases, np.diff(np.searchsorted(target, np.append(bases, len(total)))))
+        share = np.empty(len(target))
+        by_offset = np.argsort(offset, kind="stable")
+        cuts = np.flatnonzero(np.diff(offset[by_offset])) + 1
+        for level in np.split(by_offset, cuts):
+            logs = total[source[level]] + weight[level]
+            head = np.flatnonzero(np.concatenate([[True], np.diff(target[level]) > 0]))
+            n = np.diff(np.append(head, len(level)))
+            top = np.maximum.reduceat(logs, head)
+            part = np.exp(logs - np.repeat(top, n))
+            whole = np.add.reduceat(part, head)
+            total[target[level[head]]] = top + np.log(whole)
+            share[level] = part / np.repeat(whole, n)
+        # node + share of the paths into it up to this edge: ascending, a whole number behind each node's last
+        tail = np.flatnonzero(np.concatenate([np.diff(target) > 0, [True]]))
+        run = np.cumsum(share)
+        run -= np.repeat(np.concatenate([[0.0], run[tail[:-1]]]), np.diff(np.concatenate([[-1], tail])))
+        run[tail] = 1.0
+        keys = target + np.minimum(run, 1.0)
+
         text_of = np.repeat(np.arange(len(texts)), per_text)
         nth = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         salt = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -203,7 +232,7 @@ def encode_sampled(df: DataFrame, key: str, text: str = "text", to: str = "piece
         lattice = PieceLattice(path, alpha)
         for batch in batches:
             texts = batch.column(len(rest))
-            lengths = np.array([len(t) for t in texts.to_pylist()], np.int64)
+            lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
             for lo, hi in runs(lengths, RUN_BYTES):
                 keys = batch.column(len(rest) + 1).slice(lo, hi - lo).to_numpy()
                 ids, made = lattice.sample(texts.slice(lo, hi - lo).to_pylist(), keys, seed)
