@@ -8,7 +8,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 # Inverse of the base modulo 2^64.
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Texts are handled in runs of about so many bytes, which bounds the arrays.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

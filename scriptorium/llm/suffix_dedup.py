@@ -10,9 +10,9 @@ finds the starts of repeated strings from the permuted common prefixes. What it
 to all occurrences of the segment, and the union of the strings is cut out of each document.
 
 Equal texts are one text from the start, and a segment that very many documents share is one
-row per map task before it is shuffled. An anchor with more than MAX_SHARD bytes of different
-segments is dealt anew by the strings themselves (equal strings still meet), so no shard
-outgrows a task.
+row per map task before it is shuffled. An anchor whose segments could exceed MAX_SHARD bytes
+is dealt anew by the strings themselves (equal strings still meet), so no shard outgrows a
+task.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from scriptorium.llm.common import table, whole_text
 from scriptorium.llm.shingles import mix, runs
 from scriptorium.llm.suffix_array import prefix_sums, repeated_starts, suffix_array
 
-LENGTH, GRAM = 400, 128
-SHARD_BYTES = 2 << 20
+LENGTH, GRAM = 400, 64
+SHARD_BYTES = 1 << 20
+# Rows and bytes that a task holds at once beside its input batch.
+SLICE_ROWS, OUT_BYTES = 512, 2 << 20
 MAX_SHARD = 16 << 20
 
 
@@ -93,17 +95,24 @@ def _list_segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def _cut_segments(rows: DataFrame, length: int) -> DataFrame:
     """(shard, anchor, seg, again, bytes) from (t, wanted) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
+                names=["anchor", "seg", "again", "split", "bytes"])
+
         for batch in batches:
-            out = []
+            out, size = [], 0
             for t, wanted in zip(batch.column(0), batch.column(1)):
                 raw = memoryview(t.as_buffer())
                 for w in wanted.as_py():
                     start, count = w["pos"] >> 16, w["pos"] & 0xFFFF
                     out.append((w["anchor"], w["seg"], w["again"], w["split"], bytes(raw[start : start + count + length - 1])))
+                    size += count + length
+                if size >= OUT_BYTES:
+                    yield made()
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
-                    names=["anchor", "seg", "again", "split", "bytes"])
+                yield made()
 
     return rows.select("t", "wanted").mapInArrow(run, "anchor bigint, seg bigint, again boolean, split boolean, bytes binary")
 
@@ -172,7 +181,7 @@ def _split_repeats(segs: DataFrame, length: int) -> DataFrame:
 def _remove(texts: DataFrame, length: int) -> DataFrame:
     """text, n_bytes, n_removed, n_spans, kept (binary), kept_text from (text, t, copies, starts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, len(b), SLICE_ROWS)):
             out = []
             for text, t, copies, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
                 raw = t.as_buffer().to_pybytes()
@@ -215,19 +224,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     texts = docs.select(text_key(text).alias("text"), whole_text(text).cast("binary").alias("t")).groupBy("text").agg(
         F.max("t").alias("t"), F.count(F.lit(1)).alias("copies"))
     listed = _list_segments(texts, length, gram)
-    distinct = listed.groupBy("anchor", "seg").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "pos")).alias("one"))
-    by_anchor = distinct.groupBy("anchor").agg(
-        F.sum("n").alias("n_all"), F.sum(((F.col("one.pos").bitwiseAND(F.lit(0xFFFF))) + length) * F.when(F.col("n") > 1, 2).otherwise(1)).alias("size"))
-    several = by_anchor.where("n_all > 1").select("anchor", (F.col("size") > MAX_SHARD).alias("split"))
-    chosen = distinct.join(several, "anchor").select(
-        F.col("one.text").alias("text"), F.struct("anchor", "seg", F.col("one.pos").alias("pos"), (F.col("n") > 1).alias("again"), "split").alias("w"))
+    # Anchors that occur once leave first, so only the others' segments are dealt again.
+    several = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = listed.join(several.select("anchor"), "anchor", "left_semi")
+    distinct = repeated.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text", "pos")).alias("one"))
+    hot = several.where(F.col("n") * (4 * length) > MAX_SHARD).select("anchor", F.lit(True).alias("split"))
+    chosen = distinct.join(hot, "anchor", "left").select(F.col("one.text").alias("text"), F.struct(
+        "anchor", "seg", F.col("one.pos").alias("pos"), (F.col("n") > 1).alias("again"), F.coalesce("split", F.lit(False)).alias("split")).alias("w"))
     wanted = chosen.groupBy("text").agg(F.collect_list("w").alias("wanted"))  # at most the segments of one text
     cut = _cut_segments(texts.join(wanted, "text"), length)
     ranges = _shard_repeats(cut, length, parts)
     by_seg = ranges.groupBy("anchor", "seg").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # at most those of one segment
     start = F.shiftright("pos", 16)
-    spans = listed.join(by_seg, ["anchor", "seg"]).select("text", F.flatten(F.transform(
+    spans = repeated.join(by_seg, ["anchor", "seg"]).select("text", F.flatten(F.transform(
         "ranges", lambda r: F.array(r["first"] + start, r["last"] + start))).alias("starts"))
     per_text = spans.groupBy("text").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return _remove(texts.join(per_text, "text", "left"), length)
