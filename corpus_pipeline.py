@@ -42,10 +42,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that operator 10 removes (null texts stay null)."""
-    kept = remove_repeats(docs).select(F.col("text").alias("__key"), "n_removed", "kept_text")
-    joined = docs.withColumn("__key", text_key()).join(kept, "__key")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _sized(joined.withColumn("text", text), docs.columns)
+    kept = remove_repeats(docs).select(F.col("text").alias("__key"), "kept_text")
+    # The rows travel without their text: what is kept of it comes back whole.
+    rows = docs.withColumn("__key", text_key()).withColumn("__null", F.col("text").isNull()).drop("text")
+    joined = rows.join(kept, "__key").withColumn("text", F.when(~F.col("__null"), F.col("kept_text")))
+    return _sized(joined, docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
