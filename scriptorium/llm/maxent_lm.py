@@ -37,9 +37,9 @@ from scriptorium.llm.shingles import mix, runs, word_hashes
 SEED_DOCS, SEED_WORDS = 20_000, 256
 SINGLE, GROUPS = 31, 16
 CLASSES = 1 + SINGLE + GROUPS
-FEATURE_BITS, BUCKET_BITS = 15, 20
+FEATURE_BITS, BUCKET_BITS, BUCKETS_A_BLOCK = 15, 22, 1 << 12
 N_FEATURES = 6
-BATCH, RATE = 2048, 0.15
+BATCH, RATE = 16_384, 0.15
 TOP_WORDS = 1 << 18
 END = 0x1F3D5B79A2C4E688
 ROWS_A_BLOCK = 256
@@ -200,9 +200,24 @@ def _learn_classes(counts: DataFrame) -> WordClasses:
     order = np.argsort(single)
     bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS).alias("bucket")
     votes = counts.groupBy(bucket, "k").agg(F.sum("c").alias("c")).groupBy("bucket").agg(F.max_by("k", F.struct("c", "k")).alias("k"))
-    got = votes.toPandas()  # one row for each of 2^BUCKET_BITS buckets at most
+    blocks = votes.withColumn("block", F.floor(F.col("bucket") / BUCKETS_A_BLOCK))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, bucket, k = (batch.column(i).to_numpy() for i in range(3))
+            for b in np.unique(block).tolist():
+                part = held.setdefault(b, np.full(BUCKETS_A_BLOCK, 1 + SINGLE, np.uint8))
+                own = block == b
+                part[bucket[own] - b * BUCKETS_A_BLOCK] = 1 + SINGLE + k[own]
+        for b, part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([part.tobytes()], pa.binary())], names=["block", "groups"])
+
+    # One byte for each of the 2^BUCKET_BITS buckets reaches the driver.
+    packed = blocks.select("block", "bucket", "k").repartition("block").mapInArrow(pack, "block bigint, groups binary").collect()
     group = np.full(1 << BUCKET_BITS, 1 + SINGLE, np.uint8)
-    group[got["bucket"].to_numpy(np.int64)] = 1 + SINGLE + got["k"].to_numpy(np.int64)
+    for r in packed:
+        group[r["block"] * BUCKETS_A_BLOCK : (r["block"] + 1) * BUCKETS_A_BLOCK] = np.frombuffer(r["groups"], np.uint8)
     return WordClasses(single[order], 1 + np.arange(len(single))[order], group)
 
 
@@ -270,7 +285,7 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
             v += np.bincount(cls, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
 
-    arrays = spark.sparkContext.broadcast((classes.single, classes.single_class, classes.group))  # about a megabyte, whatever the input
+    arrays = spark.sparkContext.broadcast((classes.single, classes.single_class, classes.group))  # about four megabytes, whatever the input
     sums = counts.select("h", "c").mapInArrow(mass, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
@@ -279,7 +294,16 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     log_mass = np.log10(class_n + 0.5 * (class_v + 1))
     prior = np.log(class_n + 0.5 * (class_v + 1)).astype(np.float32)
     weights = _train(train, arrays, prior)
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP_WORDS).select("h", "c").toPandas()
+    # Words by ranges of their count, the largest first, as long as they fit: what reaches the driver is a
+    # few hundred ranges and TOP_WORDS words.
+    steps = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 8).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()
+    held, least = 0, total + 1
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > TOP_WORDS:
+            break
+        least = r["low"]
+    top = counts.where(F.col("c") >= least).select("h", "c").toPandas()
     top_h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top_h)
     top_h, top_c = top_h[order], top["c"].to_numpy(np.int64)[order]
@@ -318,8 +342,7 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
         "doc_id", "t", F.xxhash64("doc_id", "t").alias("key"))
     main = keep(rows.mapInArrow(run, "doc_id bigint, key bigint, n_tokens bigint, n_top bigint, log_top double, ordered double, rare array<bigint>"))
     rare = main.select("key", F.explode("rare").alias("h")).groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"))
-    least = int(top_c.min()) if len(top_c) == TOP_WORDS else 0
-    seen = rare.join(counts.where(F.col("c") <= least).select("h", "c") if least else counts.where("false").select("h", "c"), "h", "left")
+    seen = rare.join(counts.where(F.col("c") < least).select("h", "c"), "h", "left")
     c = F.coalesce("c", F.lit(0))
     per_key = seen.groupBy("key").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("log_rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rare"))
     # equal rows share a key, and what was summed over them is divided again
