@@ -34,10 +34,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return score_toxicity(docs, model, score="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
+def _one_row(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """One row per value of ``keys`` (the smallest); every task brings one of its rows, so a hot value stays small."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component that operator 5 finds the document with the smallest id (rows without an id stay)."""
-    others = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component that operator 5 finds the document with the smallest id, once.
+
+    Rows with equal id and text count as one. Rows without an id are linked with nothing: one row of each of
+    their texts stays, unless a document with an id has the same text (a text without words stays in any case).
+    """
+    columns, text = docs.columns, ["__a", "__b"]
+    keyed = docs.withColumn("__a", F.xxhash64("text")).withColumn("__b", F.xxhash64(F.lit(1), "text"))
+    named, unnamed = keyed.where("doc_id is not null"), keyed.where("doc_id is null")
+    others = near_duplicates(docs).where("not kept").select("doc_id", F.lit(True).alias("__gone"))
+    repeated = named.groupBy("doc_id", *text).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("__gone"))
+    # Both lists have the id as key, so the texts are dealt for one join only.
+    marks = others.union(repeated).groupBy("doc_id").agg(F.max("__gone").alias("__gone"))
+    rows = named.join(marks, "doc_id", "left")
+    once = rows.where("__gone is null").select(*columns)
+    again = _one_row(rows.where("not __gone"), columns, "doc_id", *text)
+    worded = named.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).select(*text).distinct()
+    free = _one_row(unnamed.join(worded, text, "left_anti"), columns, *text)
+    return once.unionByName(again).unionByName(free)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,16 @@ def test_run_writes_each_stage_to_the_shared_folder(spark, tmp_path):
     shared = ensure_checkpoint_dir(spark).split(":")[-1].strip("/")
     assert all(shared in f for f in out.inputFiles())
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(8))
+
+
+def test_repeated_rows_and_rows_without_an_id_keep_their_text_once(spark, tmp_path):
+    a, b, c, d, e = (prose(400 + i, 150) for i in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (4, b + " tail"), (4, b + " tail"), (None, c), (None, c), (None, a), (None, b + " tail"),
+            (5, d), (6, e), (6, e), (None, None), (None, None), (7, ""), (7, ""), (8, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = sorted([(1, a), (3, b), (None, c), (5, d), (6, e), (None, None), (7, ""), (8, ""), (None, "")], key=str)
+    for k, stage in ((1, cp.near_dedup_stage), (2, cp.suffix_dedup_stage)):
+        stage(spark, docs, "").write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == want
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
