@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import table
+from scriptorium.llm.common import keep, table
 
+# So many of the most frequent entries travel with the tasks; the others are joined.
 MAX_PLACES = 5_000
 
 _TOKEN = re.compile(
@@ -149,11 +151,18 @@ def place_counts(pages: Iterator[str]) -> Counter:
     return counts
 
 
-def learn_weights(pages: DataFrame, column: str = "html", max_places: int = MAX_PLACES) -> dict[str, float]:
+@dataclass(frozen=True)
+class PlaceWeights:
+    """Weights of all counted entries: the most frequent ones, and (place, weight) of the others if there are any."""
+
+    top: dict[str, float]
+    rest: DataFrame | None = None
+
+
+def learn_weights(pages: DataFrame, column: str = "html", max_places: int = MAX_PLACES) -> PlaceWeights:
     """Weight of each place's words and of each tag in a place: log odds of lying inside a marked article.
 
-    Counted over all pages; the ``max_places`` most frequent places are kept (the rest get the weights
-    of unseen ones).
+    Counted over all pages. The ``max_places`` most frequent entries come to the driver, the others stay a table.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -169,14 +178,19 @@ def learn_weights(pages: DataFrame, column: str = "html", max_places: int = MAX_
             {"place": "object", "inside": "bool", "n": "int64"})
 
     read = pages.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("h"))
-    seen = read.mapInPandas(run, "place string, inside boolean, n bigint").groupBy("place").agg(
+    seen = keep(read.mapInPandas(run, "place string, inside boolean, n bigint").groupBy("place").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("bad"))
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("bad")))
     top = seen.orderBy(F.desc(F.col("good") + F.col("bad")), "place").limit(max_places).collect()
-    return {r["place"]: float(np.log((r["good"] + 0.5) / (r["bad"] + 0.5))) for r in top}
+    weights = {r["place"]: float(np.log((r["good"] + 0.5) / (r["bad"] + 0.5))) for r in top}
+    if seen.count() <= len(weights):
+        return PlaceWeights(weights)
+    known = F.broadcast(seen.sparkSession.createDataFrame([(p,) for p in weights], "place string"))
+    return PlaceWeights(weights, seen.join(known, "place", "left_anti").select(
+        "place", F.log((F.col("good") + 0.5) / (F.col("bad") + 0.5)).alias("weight")))
 
 
-def _score(token: tuple, weights: dict[str, float]) -> float:
+def _score(token: tuple, weights: Mapping[str, float]) -> float:
     if token[4]:  # left out in any case: a small price for going on past it
         return -0.2 if token[0] else -0.25 * len(token[2].split())
     if token[0]:
@@ -192,7 +206,7 @@ def _score(token: tuple, weights: dict[str, float]) -> float:
     return words * (1.0 if known is None else max(min(known, 3.0), -3.0))
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
+def main_text(page: str, weights: Mapping[str, float]) -> str:
     """The text of the best contiguous region: blocks in page order, white space as one space."""
     tokens = page_tokens(page)
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
@@ -212,16 +226,43 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract_text(pages: DataFrame, weights: dict[str, float], column: str = "html", to: str = "main_text") -> DataFrame:
+def _own_weights(keyed: DataFrame, weights: PlaceWeights) -> DataFrame:
+    """(__a, __b, __own): for each different page with entries of ``weights.rest`` these entries' weights."""
+    top = weights.top
+
+    @F.pandas_udf("array<string>")
+    def others(pages_in: pd.Series) -> pd.Series:
+        return pages_in.map(lambda p: sorted({e for t in page_tokens(p) if (e := f"<{t[2]}@{t[1]}" if t[0] else t[1]) not in top}))
+
+    listed = keyed.select("__a", "__b", F.explode(others("__page")).alias("place")).distinct()
+    found = listed.join(weights.rest, "place")
+    return found.groupBy("__a", "__b").agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("__own"))  # at most those of one page
+
+
+def extract_text(pages: DataFrame, weights: PlaceWeights, column: str = "html", to: str = "main_text") -> DataFrame:
     """``pages`` with the main text of every whole page in column ``to`` (replaced if there; empty if none).
 
-    A null page reads as empty; equal pages get equal texts. No shuffle.
+    A null page reads as empty; equal pages get equal texts. No shuffle as long as all weights travel with the
+    tasks; otherwise each page is joined with the weights of its own rarer entries.
     """
+    top = weights.top
+    page = F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+    if weights.rest is None:
+        @F.pandas_udf("string")
+        def run(pages_in: pd.Series) -> pd.Series:
+            return pages_in.map(lambda p: main_text(p, top))
+
+        return pages.withColumn(to, run(page))
+
     @F.pandas_udf("string")
-    def run(pages_in: pd.Series) -> pd.Series:
-        return pages_in.map(lambda p: main_text(p, weights))
+    def run_own(pages_in: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, ChainMap(dict(o), top) if o else top) for p, o in zip(pages_in, own)], dtype="object")
 
-    return pages.withColumn(to, run(F.coalesce(F.col(column).cast("string"), F.lit(""))))
+    keyed = pages.withColumn("__page", page).withColumn("__a", F.xxhash64("__page")).withColumn("__b", F.xxhash64(F.lit(1), "__page"))
+    joined = keyed.drop("__page").join(_own_weights(keyed, weights), ["__a", "__b"], "left")
+    names = pages.columns if to in pages.columns else [*pages.columns, to]
+    return joined.withColumn(to, run_own(page, "__own")).select(*names)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,18 @@ def test_region_is_the_best_of_all_regions():
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert hx.extract_text(pages, hx.learn_weights(pages)).count() == 0
+
+
+def test_weights_of_rare_templates_are_used_too(spark):
+    def page(k, marked):
+        name = "z" + "".join(chr(97 + int(d)) for d in str(k))
+        a, b = ("<article>", "</article>") if marked else ('<div class="c' + name + '">', "</div>")
+        return f'<body><div class="{name}">{"sold here " * 20}</div>{a}<p>{"story words " * 30}</p>{b}</body>'
+
+    rows = [(2 * k + m, page(k, bool(m)), 7) for k in range(40) for m in (0, 1)] + [(100, page(3, True), 7), (101, None, 7)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, main_text bigint")
+    few = hx.extract_text(pages, hx.learn_weights(pages, max_places=10))
+    got = {r.page_id: r.main_text for r in few.collect()}
+    assert got == {r.page_id: r.main_text for r in hx.extract_text(pages, hx.learn_weights(pages)).collect()}
+    assert few.columns == pages.columns and few.count() == len(rows) and got[101] == ""
+    assert all(t == ("story words " * 30).strip() for i, t in got.items() if i != 101)
