@@ -10,8 +10,8 @@ words one by one, and groups of words that occur in the same documents.
 
 Every task makes gradient updates (AdaGrad on batches of BATCH tokens) over its part of the training
 texts; the weights are then averaged, each feature by how often a task met it; without weights the classes have their
-shares of all training tokens. Counts, classes and
-updates cover all training texts; only the seed words of the groups come from a bounded sample.
+shares of all training tokens. Counts, seed words,
+classes and updates cover all training texts.
 
 As classes need no counts, the text's log probability falls into a part that depends on order, summed
 where the text is, and the sum of log(count + 0.5) over its tokens. Counts of the TOP_WORDS most
@@ -34,7 +34,7 @@ from scriptorium.llm.common import crc_fold, keep, table, whole_text
 from scriptorium.llm.near_dedup import _bytes_of
 from scriptorium.llm.shingles import mix, runs, word_hashes
 
-SEED_DOCS, SEED_WORDS = 20_000, 256
+SEED_WORDS = 256
 SINGLE, GROUPS = 31, 16
 CLASSES = 1 + SINGLE + GROUPS
 FEATURE_BITS, BUCKET_BITS, BUCKETS_A_BLOCK = 15, 22, 1 << 12
@@ -130,14 +130,14 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
             yield batch, lo, hi, *token_hashes(data[base : ends[hi - 1]], ends[lo:hi] - base)
 
 
-def _group_seeds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _group_seeds(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the seed words, ascending; their groups): words that share documents share a group."""
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, h, _ in _texts(batches, 0):
             u, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    counted = sample.mapInArrow(top, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(top, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(SEED_WORDS).collect()
     seeds = np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
     if not len(seeds):
@@ -154,7 +154,7 @@ def _group_seeds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
 
-    cells = sample.mapInArrow(pairs, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    cells = train.mapInArrow(pairs, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     together = np.zeros((len(seeds), len(seeds)))
     for c in cells:
         together[c["i"], c["j"]] = c["n"]
@@ -174,24 +174,22 @@ def _group_seeds(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(train: DataFrame, seeds: np.ndarray, group: np.ndarray) -> DataFrame:
-    """(h, c, k): every training token's count, and the group of the documents of one task that hold it most."""
+    """(h, c, k): every training token's count, and the group of the documents that hold it most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lo, hi, h, doc in _texts(batches, 0):
-            u, where, n = np.unique(h, return_inverse=True, return_counts=True)
-            best = np.zeros(len(u), np.int64)
+            votes = np.zeros((hi - lo, GROUPS), np.int32)
             if len(seeds):
                 at = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
                 hit = seeds[at] == h
-                votes = np.zeros((hi - lo, GROUPS), np.int32)
                 np.add.at(votes, (doc[hit], group[at[hit]]), 1)
-                held = np.bincount(where * GROUPS + votes.argmax(1)[doc], minlength=len(u) * GROUPS).reshape(-1, GROUPS)
-                best = held.argmax(1)
+            u, where = np.unique(h, return_inverse=True)
+            cells = np.bincount(where * GROUPS + votes.argmax(1)[doc], minlength=len(u) * GROUPS)
+            held = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), pa.array(n), pa.array(n * GROUPS + best)], names=["h", "c", "best"])
+                [pa.array(u.view(np.int64)[held // GROUPS]), pa.array((held % GROUPS).astype(np.int32)), pa.array(cells[held])], names=["h", "k", "c"])
 
-    counted = train.mapInArrow(run, "h bigint, c bigint, best bigint").groupBy("h").agg(
-        F.sum("c").alias("c"), F.max("best").alias("best"))
-    return counted.select("h", "c", F.pmod("best", F.lit(GROUPS)).cast("int").alias("k"))
+    cells = train.mapInArrow(run, "h bigint, k int, c bigint").groupBy("h", "k").agg(F.sum("c").alias("c"))
+    return cells.groupBy("h").agg(F.sum("c").alias("c"), F.max_by("k", F.struct("c", "k")).alias("k"))
 
 
 def _learn_classes(counts: DataFrame) -> WordClasses:
@@ -268,9 +266,7 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     equal scores. Without training text every class and every word of it is equally likely.
     """
     train = training.select(whole_text(text).alias("t"))
-    some = F.pmod(F.xxhash64("t"), F.lit(1 << 20))
-    n_train = train.count()
-    seeds, group = _group_seeds(train.where(some < min(1.0, SEED_DOCS / max(1, n_train)) * (1 << 20)))
+    seeds, group = _group_seeds(train)
     counts = keep(_count_words(train, seeds, group))
     classes = _learn_classes(counts)
     spark = docs.sparkSession

@@ -198,3 +198,25 @@ def test_weights_of_rare_templates_are_used_too(spark):
     assert got == {r.page_id: r.main_text for r in hx.extract_text(pages, hx.learn_weights(pages)).collect()}
     assert few.columns == pages.columns and few.count() == len(rows) and got[101] == ""
     assert all(t == ("story words " * 30).strip() for i, t in got.items() if i != 101)
+
+
+def test_groups_are_voted_by_all_texts_and_seeds_seen_in_all(spark):
+    a, b, word = "left", "right", "wanted"
+    rows = [(f"{b} {b} " + f"{word} " * 50,)] + [(f"{a} {a} {word}",)] * 80
+    train = spark.createDataFrame(rows, "t string").repartition(40)  # the longest run alone holds the word most
+    seeds = np.sort(np.concatenate([lm.token_hashes(np.frombuffer(w.encode(), np.uint8), np.array([len(w)]))[0][:1] for w in (a, b)]))
+    of = {w: lm.token_hashes(np.frombuffer(w.encode(), np.uint8), np.array([len(w)]))[0][0] for w in (a, b, word)}
+    group = np.array([3 if h == of[a] else 5 for h in seeds])
+    got = {r.h: (r.c, r.k) for r in lm._count_words(train, seeds, group).collect()}
+    assert got[int(of[word].view(np.int64))] == (130, 3)
+    many = spark.range(1000).selectExpr("concat('same ', id % 7) as t").union(spark.createDataFrame(rows, "t string"))
+    assert set(of.values()) <= set(lm._group_seeds(many)[0])
+
+
+def test_classes_do_not_depend_on_the_split(spark):
+    rows = [(f"{prose(i, 40)} w{i % 90}",) for i in range(400)]
+    one, many = (spark.createDataFrame(rows, "t string").repartition(n) for n in (1, 30))
+    seeds = lm._group_seeds(one)
+    assert all((x == y).all() for x, y in zip(seeds, lm._group_seeds(many)))
+    key = lambda df: sorted((r.h, r.c, r.k) for r in lm._count_words(df, *seeds).collect())
+    assert key(one) == key(many)
