@@ -474,7 +474,9 @@ def q_cv_mean(spark, sf):
 
 
 # ---- vocabulary, encoding
-VOCAB_SIZE = 1000
+# The reference's vocabulary, and one that the SQL side can learn step by step.
+VOCAB_SIZE = 50_000
+SMALL_VOCAB = 300
 ENCODE_LEN = 256
 DOC_SEQS = 20
 DOC_SEQ_LEN = 256
@@ -493,30 +495,49 @@ def q_word_frequencies(spark, sf):
     return vocab.word_frequencies(_docs(spark, sf))
 
 
-def _vocab(spark, sf):
-    return vocab.learn_vocabulary(vocab.word_frequencies(_docs(spark, sf)), VOCAB_SIZE, min_frequency=5,
-                                  merges_per_round=64)
+def _vocab(spark, sf, size=VOCAB_SIZE):
+    return vocab.learn_vocabulary(vocab.word_frequencies(_docs(spark, sf)), size, min_frequency=5)
 
 
 def q_learn_vocabulary(spark, sf):
     return _vocab(spark, sf)
 
 
-def q_encode_words(spark, sf):
-    return vocab.encode_words(vocab.word_frequencies(_docs(spark, sf)), _vocab(spark, sf)) \
-        .select("word", "freq", _joined("ids").alias("ids"))
+def q_learn_vocabulary_small(spark, sf):
+    return _vocab(spark, sf, SMALL_VOCAB)
+
+
+def q_encode_words(spark, sf, **how):
+    words = vocab.word_frequencies(_docs(spark, sf))
+    return vocab.encode_words(words, _vocab(spark, sf, SMALL_VOCAB), **how).select("word", "freq", _joined("ids").alias("ids"))
+
+
+def q_encode_words_join(spark, sf):
+    return q_encode_words(spark, sf, broadcast_limit=0)
 
 
 def q_vocab_lookup(spark, sf):
-    return vocab.vocab_lookup(vocab.word_frequencies(_docs(spark, sf)), _vocab(spark, sf))
+    return vocab.vocab_lookup(vocab.word_frequencies(_docs(spark, sf)), _vocab(spark, sf, SMALL_VOCAB))
 
 
-def q_encode_sequences(spark, sf):
-    enc = vocab.encode_sequences(q_chunk_corpus_small(spark, sf), _vocab(spark, sf), ENCODE_LEN)
+def _encoded(spark, sf, size, **how):
+    enc = vocab.encode_sequences(q_chunk_corpus_small(spark, sf), _vocab(spark, sf, size), ENCODE_LEN, **how)
     return enc.select("source", "doc_id", "chunk_id", _joined("input_ids").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("n_tokens"))
 
 
+def q_encode_sequences(spark, sf):
+    return _encoded(spark, sf, SMALL_VOCAB)
+
+
+def q_encode_sequences_join(spark, sf):
+    return _encoded(spark, sf, SMALL_VOCAB, broadcast_limit=0)
+
+
+def q_encode_sequences_full(spark, sf):
+    return _encoded(spark, sf, VOCAB_SIZE)
+
+
 def q_pad_truncate(spark, sf):
     seqs = q_chunk_corpus_small(spark, sf)
     return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), MASK_LEN), ",").alias("ids"))
@@ -730,9 +751,13 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pretokenize": q_pretokenize,
         "word_frequencies": q_word_frequencies,
         "learn_vocabulary": q_learn_vocabulary,
+        "learn_vocabulary_small": q_learn_vocabulary_small,
         "encode_words": q_encode_words,
+        "encode_words_join": q_encode_words_join,
         "vocab_lookup": q_vocab_lookup,
         "encode_sequences": q_encode_sequences,
+        "encode_sequences_join": q_encode_sequences_join,
+        "encode_sequences_full": q_encode_sequences_full,
         "pad_truncate": q_pad_truncate,
         "pad_documents": q_pad_documents,
         "attention_pool": q_attention_pool,
@@ -1225,6 +1250,62 @@ def s_norm(t: str) -> str:
     return f"strip_accents(lower(trim({t}, chr(32) || chr(10))))"
 
 
+def s_word_freq() -> str:
+    return f"""SELECT word, count(*) AS freq FROM (
+  SELECT unnest(regexp_extract_all({s_norm('text')}, '{PRETOKEN_RE2}')) AS word FROM documents) GROUP BY word"""
+
+
+def s_vocab(size: int, min_frequency: int = 5) -> str:
+    """CTE list ending in ``voc(token, token_id)``: greedy merges, one a step; every symbol stands between chr(1) and chr(2)."""
+    both = "chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2)"
+    merged = "{0}.l || CASE WHEN {0}.r LIKE '##%' THEN {0}.r[3:] ELSE {0}.r END"
+    # Some merges give a text that is a token already, so there are a few steps more than tokens.
+    more = f"n + 1 <= {size} + 50 - {len(vocab.SPECIAL_TOKENS)} - (SELECT count(*) FROM al)"
+    specials = ", ".join(f"'{t}'" for t in vocab.SPECIAL_TOKENS)
+    return f"""wf AS MATERIALIZED ({s_word_freq()}),
+ch AS MATERIALIZED (SELECT row_number() OVER () AS k, freq, list_transform(list_filter(string_split(word, ''), lambda c: c <> ''),
+                           lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END) AS cs FROM wf),
+al AS MATERIALIZED (SELECT t, {len(vocab.SPECIAL_TOKENS)} + row_number() OVER (ORDER BY length(t) > 1, t) - 1 AS id
+                    FROM (SELECT DISTINCT unnest(cs) AS t FROM ch)),
+st(k, n, s, freq, l, r) USING KEY (k) AS (
+  SELECT k, 0, chr(1) || array_to_string(cs, chr(2) || chr(1)) || chr(2), freq, '', '' FROM ch
+  UNION
+  (WITH b AS (SELECT l, r FROM (SELECT freq, unnest(x[:-2]) AS l, unnest(x[2:]) AS r FROM
+        (SELECT freq, string_split(s[2:-2], chr(2) || chr(1)) AS x FROM st WHERE k > 0))
+      GROUP BY l, r HAVING sum(freq) >= {min_frequency} ORDER BY sum(freq) DESC, l, r LIMIT 1)
+   SELECT k, n + 1, replace(s, {both}, chr(1) || {merged.format('b')} || chr(2)), freq, b.l, b.r FROM st, b WHERE k > 0 AND {more}
+   UNION ALL SELECT DISTINCT -(n + 1), n + 1, '', 0, b.l, b.r FROM st, b WHERE k > 0 AND {more})),
+made AS (
+  SELECT unnest([{specials}]) AS token, unnest(range({len(vocab.SPECIAL_TOKENS)})) AS id
+  UNION ALL SELECT t, id FROM al
+  UNION ALL SELECT {merged.format('st')}, {len(vocab.SPECIAL_TOKENS) - 1} + (SELECT count(*) FROM al) + n FROM st WHERE k < 0),
+voc AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY min(id)) - 1 AS token_id FROM made GROUP BY token ORDER BY 2 LIMIT {size})"""
+
+
+def s_word_ids() -> str:
+    """CTE list ending in ``wi(word, ids)``: the longest token at every start, walked from the first character."""
+    return f"""{s_vocab(SMALL_VOCAB)},
+fits AS (SELECT word, a.i AS a, max(e.i) AS e FROM (SELECT word FROM wf WHERE length(word) <= {vocab.MAX_WORD_CHARS}), LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i) a,
+         LATERAL (SELECT unnest(range(a.i, length(word) + 1)) AS i) e
+         JOIN voc ON token = CASE WHEN a.i = 1 THEN '' ELSE '##' END || substr(word, a.i, e.i - a.i + 1) GROUP BY word, a.i),
+best AS MATERIALIZED (SELECT word, a, e, token_id FROM fits JOIN voc ON token = CASE WHEN a = 1 THEN '' ELSE '##' END || substr(word, a, e - a + 1)),
+walk(word, a, ids) AS (
+  SELECT word, 1::BIGINT, []::BIGINT[] FROM wf
+  UNION ALL SELECT w.word, b.e + 1, list_append(w.ids, b.token_id) FROM walk w JOIN best b ON b.word = w.word AND b.a = w.a),
+wi AS MATERIALIZED (SELECT wf.word, wf.freq, coalesce(w.ids, [{vocab.UNK_ID}]) AS ids FROM wf LEFT JOIN walk w ON w.word = wf.word AND w.a = length(wf.word) + 1)"""
+
+
+def s_encoded() -> str:
+    return f"""WITH RECURSIVE {s_word_ids()},
+seqs AS ({s_small_corpus()}),
+tk AS (SELECT source, doc_id, chunk_id, regexp_extract_all({s_norm('sequence')}, '{PRETOKEN_RE2}') AS ws FROM seqs),
+tp AS (SELECT source, doc_id, chunk_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM tk),
+ti AS (SELECT source, doc_id, chunk_id, flatten(list(ids ORDER BY p)) AS ids FROM tp JOIN wi USING (word) GROUP BY source, doc_id, chunk_id),
+al2 AS (SELECT source, doc_id, chunk_id, list_concat([1], list_slice(coalesce(ids, []), 1, {ENCODE_LEN - 2}), [2]) AS ids
+        FROM tk LEFT JOIN ti USING (source, doc_id, chunk_id))
+SELECT source, doc_id, chunk_id, array_to_string(list_resize(ids, {ENCODE_LEN}, 0), ',') AS input_ids, len(ids)::INTEGER AS n_tokens FROM al2"""
+
+
 def s_charids(x: str, length: int) -> str:
     chars = f"list_filter(string_split({x}, ''), lambda c: c <> '')"
     ids = f"list_transform({chars}, lambda c: (unicode(c) % 27) + 5)"
@@ -1251,8 +1332,13 @@ kw AS (SELECT doc_id, k, sum(a) AS weight, any_value(x) AS x FROM w2 GROUP BY do
         "normalize_text": f"SELECT doc_id, {s_norm('text')} AS text FROM documents",
         "pretokenize": "WITH d AS (SELECT doc_id, " + s_norm("text") + " AS t FROM documents) "
                        + s_explode(f"regexp_extract_all(t, '{PRETOKEN_RE2}')", "d", val="token"),
-        "word_frequencies": f"""SELECT word, count(*) AS freq FROM (
-  SELECT unnest(regexp_extract_all({s_norm('text')}, '{PRETOKEN_RE2}')) AS word FROM documents) GROUP BY word""",
+        "word_frequencies": s_word_freq(),
+        "learn_vocabulary_small": f"WITH RECURSIVE {s_vocab(SMALL_VOCAB)} SELECT token, token_id::INTEGER AS token_id FROM voc",
+        **dict.fromkeys(("encode_words", "encode_words_join"),
+                        f"WITH RECURSIVE {s_word_ids()} SELECT word, freq, array_to_string(ids, ',') AS ids FROM wi"),
+        "vocab_lookup": f"""WITH RECURSIVE {s_vocab(SMALL_VOCAB)}
+SELECT word, freq, coalesce(token_id, {vocab.UNK_ID})::INTEGER AS token_id FROM wf LEFT JOIN voc ON token = word""",
+        **dict.fromkeys(("encode_sequences", "encode_sequences_join"), s_encoded()),
         "pad_truncate": f"""WITH seqs AS ({s_small_corpus()})
 SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', MASK_LEN)}, ',') AS ids FROM seqs""",
         "pad_documents": f"""WITH {LAB},

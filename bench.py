@@ -91,16 +91,14 @@ def main() -> None:
     extra["epoch_window_last_epoch"] = last_epoch
 
     # 4. vocabulary learning
-    vocab_size = int(os.environ.get("BENCH_VOCAB", "2000"))
+    vocab_size = int(os.environ.get("BENCH_VOCAB", "50000"))
     freqs = vocab.word_frequencies(docs)
     t0 = time.perf_counter()
-    merges_per_round = int(os.environ.get("BENCH_MERGES_PER_ROUND", "256"))
-    voc = vocab.learn_vocabulary(freqs, vocab_size, min_frequency=5, merges_per_round=merges_per_round)
+    voc = vocab.learn_vocabulary(freqs, vocab_size, min_frequency=5)
     voc = voc.cache()
     extra["vocab_tokens"] = voc.count()
     q["learn_vocabulary"] = time.perf_counter() - t0
     extra["vocab_size_requested"] = vocab_size
-    extra["vocab_merges_per_round"] = merges_per_round
 
     # 5. encode sequences (length 256)
     enc = vocab.encode_sequences(seqs, voc, 256)

@@ -138,6 +138,15 @@ def keep_report_sentences(sentences: Column, max_numeric_pct: float = 15.0,
     )
 
 
+# Characters that Python's ``str.strip`` removes beside the white space of Java's (?U)\s.
+_STRIP_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def split_whitespace(c: Column) -> Column:
+    """The stretches of a text between white space, after Python's ``strip`` (empty ones may be among them)."""
+    return F.split(F.regexp_replace(c, _STRIP_EDGES, ""), r"(?U)\s+", -1)
+
+
 def pretokenize(c: Column) -> Column:
     """X11: word runs or punctuation runs, every digit its own token."""
     return F.regexp_extract_all(c, F.lit(PRETOKEN_PATTERN), 0)
@@ -175,3 +184,14 @@ def _normalize_udf(s: pd.Series) -> pd.Series:
 def normalize_text(c: Column) -> Column:
     """NFD, lowercase, strip, strip accents (Arrow-batched pandas UDF)."""
     return _normalize_udf(c)
+
+
+@F.pandas_udf(StringType())
+def _normalize_inner_udf(s: pd.Series) -> pd.Series:
+    table = _mark_table()
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFD", v).lower().translate(table))
+
+
+def normalize_inner(c: Column) -> Column:
+    """X10 without the strip, for parts of a stripped text."""
+    return _normalize_inner_udf(c)
