@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder, for steps that are repeated.
+
+    A checkpoint keeps the size estimate of its plan. Each join multiplies the estimates of its sides, so after some rounds
+    of joins with themselves the planner works on numbers of millions of digits; a table has the size of its files.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, read when a job is built."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import keep, shuffle_parts, table
+from scriptorium.llm.common import keep, keep_table, shuffle_parts, table
 
 ARITY = 8
 
@@ -86,7 +86,7 @@ def _levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
         roots = done if roots is None else roots.union(done)
         if top <= 1:
             return levels, roots
-        level = keep(_with_siblings(nodes.where("n > 1"), arity))
+        level = keep_table(_with_siblings(nodes.where("n > 1"), arity))
         levels.append(level)
         whole = hash_nodes(F.concat("left", "hash", "right"))
         nodes = level.where(F.col("idx") % arity == 0).select(

@@ -14,6 +14,9 @@ different components are compared with each other, in blocks. A word line that v
 documents share puts them into one bucket without making them alike; a second, wider
 signature (WIDE symbols of 8 bits, at most WIDE_ERRORS of them different, which a pair at
 J = 0.75 exceeds with probability 1e-7) keeps such pairs from reaching the full sets.
+Classes with close signatures form candidate groups, and the task that holds two blocks
+of a group compares them with the full sets in hand and gives a spanning forest of
+what it confirms, so the rows that travel grow with the classes, not with their pairs.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -22,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,9 @@ SHINGLE = 5
 SLOTS, CHUNK = 30, 3
 MAX_ERRORS = 2 * (SLOTS // CHUNK) - 1
 WIDE, WIDE_ERRORS = 192, 81
-BLOCK = 8192
+# Classes in a block, bytes of full sets in a block, and rows or bytes of small groups that a task takes together.
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 1 << 15, 32 << 20
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +125,17 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _similar(x, y, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two ascending sets of 64-bit numbers, given as bytes."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
@@ -128,62 +143,155 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            good = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                good[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            good = pa.array([_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of classes of one bucket that lie in different components and have close signatures.
-
-    A bucket is dealt into blocks of about BLOCK classes, and each two blocks meet in one task, so
-    the memory of a task is bounded whatever the bucket's size. A pair is reported by the first of its
-    common buckets only.
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of about CHUNK_ROWS rows or CHUNK_BYTES bytes (a larger group is alone) that end where a group of equal ``keys`` ends."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows, size = rows + len(batch), size + batch.nbytes
+        if rows >= CHUNK_ROWS or size >= CHUNK_BYTES:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = np.ones(len(t), bool)
+            for k in keys:
+                c = t[k].to_numpy()
+                last &= c == c[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield t.slice(0, cut)
+                t = t.slice(cut).combine_chunks()
+            held, rows, size = t.to_batches(), len(t), t.nbytes
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _forest(group: np.ndarray, label: np.ndarray, apart: tuple[np.ndarray, ...], sig: np.ndarray, wide: np.ndarray, test) -> np.ndarray:
+    """(links, 2) row numbers: a spanning forest of the pairs of one group that have close signatures and pass ``test``.
+
+    Rows of a group stand together. Rows of equal ``label`` need no link; a link makes two labels one. Only rows that
+    differ in all of ``apart`` are compared. Shifts of the rows against themselves give all pairs.
+    """
+    root, out = np.unique(label, return_inverse=True)[1], []
+    sizes = np.bincount(np.unique(group, return_inverse=True)[1])
+    number = np.arange(int(root.max()) + 1) if len(root) else root
+
+    def find(x: int) -> int:
+        while number[x] != x:
+            number[x] = number[number[x]]
+            x = number[x]
+        return x
+
+    # One byte of every slot settles most pairs; the slots as rows, so a shift is a stretch of memory.
+    low = np.ascontiguousarray((sig & np.uint32(0xFF)).astype(np.uint8).T)
+    now, least = root, SLOTS - MAX_ERRORS
+    for d in range(1, int(sizes.max())):
+        near = (group[:-d] == group[d:]) & (now[:-d] != now[d:])
+        for c in apart:
+            near &= c[:-d] != c[d:]
+        if not near.any():
+            continue
+        same = np.zeros(len(near), np.uint8)
+        for k in range(SLOTS):
+            same += low[k, :-d] == low[k, d:]
+        a = np.flatnonzero(near & (same >= least))
+        a = a[(sig[a] == sig[a + d]).sum(1) >= least]
+        a = a[(wide[a] != wide[a + d]).sum(1) <= WIDE_ERRORS]
+        merged = False
+        for x in a.tolist():
+            p, q = find(root[x]), find(root[x + d])
+            if p != q and (test is None or test(x, x + d)):
+                number[max(p, q)] = min(p, q)
+                out.append((x, x + d))
+                merged = True
+        if merged:
+            while (number[number] != number).any():
+                number = number[number]
+            now = number[root]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _small_and_large(group: np.ndarray, small: int = 64) -> list[np.ndarray]:
+    """Row numbers of all small groups together, and of each larger one alone."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+    several = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
+    return ([several] if len(several) else []) + [np.arange(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist()) if n > small]
+
+
+def _links(rows: DataFrame, keys: tuple[str, ...], percent: int | None) -> DataFrame:
+    """(a, b) links inside the groups of ``rows`` (keys, block, id, component, sig, wide[, shingle_set]).
+
+    The last two keys are the blocks that meet. With ``percent`` a link is confirmed on the full sets, without it is a
+    candidate by its signatures. A task holds a chunk of small groups or one group of two blocks, and gives no more links
+    than it has classes.
     """
-    dealt = members.join(sizes, "key").select(
-        "key", "id", "component", "sig", "wide", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    met = dealt.select(
-        "key", "id", "component", "sig", "wide", "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "sig", "wide", "block")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, SLOTS)
-        wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(-1, WIDE)
-        slots = np.ascontiguousarray(sig.T)
-        keys = bucket_keys(sig)
-        nth = int(np.flatnonzero(keys[0] == np.uint64(int(pdf["key"].iloc[0]) % (1 << 64)))[0])
-        ids, comp, block = (pdf[c].to_numpy() for c in ("id", "component", "block"))
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a_out, b_out = [], []
-        for r in np.flatnonzero(block == i).tolist():
-            same = np.zeros(len(ids), np.int16)
-            for k in range(SLOTS):
-                same += slots[k] == slots[k, r]
-            other = np.flatnonzero((same >= SLOTS - MAX_ERRORS) & (comp != comp[r]) & (block == j))
-            if i == j:
-                other = other[other > r]
-            if len(other):
-                other = other[(wide[other] != wide[r]).sum(1) <= WIDE_ERRORS]
-                other = other[~(keys[other][:, :nth] == keys[r][:nth]).any(1)]
-                a_out.append(np.full(len(other), ids[r]))
-                b_out.append(ids[other])
-        if not a_out:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = np.concatenate(a_out), np.concatenate(b_out)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return met.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, keys):
+            columns = [t[k].to_numpy() for k in keys]
+            new = np.zeros(len(t), bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            group = np.cumsum(new)
+            ids, comp, block = (t[c].to_numpy() for c in ("id", "component", "block"))
+            # A block that meets itself compares all its rows, two blocks only rows of different ones.
+            side = np.where(columns[-2] == columns[-1], np.arange(len(t)), block)
+            a, b = [], []
+            for at in _small_and_large(group):
+                part = t.take(pa.array(at))
+                sets = part["shingle_set"] if percent is not None else None
+
+                def test(x: int, y: int) -> bool:
+                    return _similar(sets[x].as_buffer(), sets[y].as_buffer(), percent)
+
+                # Candidates of one component may be alike to different classes, so each is a label of its own.
+                label = ids if percent is None else comp
+                found = _forest(group[at], label[at], (side[at], comp[at]), _matrix(part["sig"], np.uint32, SLOTS),
+                                _matrix(part["wide"], np.uint8, WIDE), test if percent is not None else None)
+                a.append(ids[at][found[:, 0]])
+                b.append(ids[at][found[:, 1]])
+            x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], names=["a", "b"])
+
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _met(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """Deal the rows of a key into its ``blocks`` and let each two blocks (i <= j) meet."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col(blocks)))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))).drop(blocks)
+    return met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+
+def _across(labelled: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of one bucket that lie in different components.
+
+    Classes whose signatures are close in some bucket make a candidate group, by a spanning forest of such pairs out
+    of every bucket. Inside a group the pairs are compared again, now with the full sets at hand: these travel once per
+    block of a group, and a pair is never a row. Blocks bound what a task holds, whatever the size of a bucket or group.
+    """
+    buckets = labelled.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    sizes = buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    signed = labelled.join(sizes, "key").join(heads.select("id", "sig"), "id").join(sets.select("id", "wide"), "id")
+    groups = keep(connected_components(_links(_met(signed, "key", "blocks"), ("key", "i", "j"), None)).select(
+        F.col("node").alias("id"), F.col("component").alias("grp")))
+    now = labelled.select("id", "component").distinct()
+    members = groups.join(now, "id").join(heads.select("id", "sig"), "id").join(sets, "id")
+    weights = groups.join(sets.select("id", F.octet_length("shingle_set").alias("size")), "id").groupBy("grp").agg(
+        F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("long").alias("blocks"))
+    return _links(_met(members.join(weights, "grp"), "grp", "blocks"), ("grp", "i", "j"), percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = 75) -> DataFrame:
@@ -210,12 +318,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = connected_components(links)
 
     labelled = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_buckets = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    # Classes that a bucket's smallest one did not reach: only buckets of several components are left.
-    sizes = open_buckets.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    members = labelled.join(heads.select("id", "sig"), "id").join(sets.select("id", "wide"), "id")
-    links = links.union(keep(_confirm(_across(members, sizes), sets, percent)))
+    # Classes that a bucket's smallest one did not reach.
+    links = links.union(keep(_across(keep(labelled), heads, sets, percent)))
     found = connected_components(links)
 
     named = heads.select("id", "d1", "d2").join(found.withColumnRenamed("node", "id"), "id", "left").select(

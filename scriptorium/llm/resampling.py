@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import keep, table, whole_text
+from scriptorium.llm.common import keep, keep_table, table, whole_text
 from scriptorium.llm.words import word_lists
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
-DIGIT_BITS, BLOCK_BITS = 11, 17
+DIGIT_BITS, BLOCK_BITS = 11, 14
 # Features are turned into counts whenever so many have come together.
 RUN_FEATURES = 1 << 19
 
@@ -154,7 +154,7 @@ def radix_ranks(rows: DataFrame, keys: list[tuple[str, bool]], out: str = "rank"
         digits += [F.col(f"{k}_null").cast("long")] if ends[f"null_{k}"] else []
     # Without a digit to sort by, one pass over a constant gives dense places.
     for digit in digits or [F.lit(0).cast("long")]:
-        turned = keep(_counting_pass(turned, digit, block_bits))
+        turned = keep_table(_counting_pass(turned, digit, block_bits))
     return turned.select(*names, (F.col("__pos") + 1).alias(out))
 
 

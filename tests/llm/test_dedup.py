@@ -77,6 +77,24 @@ def test_links_between_classes_that_the_leader_misses(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in nd.near_duplicates(docs).collect()} == want
 
 
+def test_families_around_the_threshold(spark, monkeypatch):
+    """Many candidates of one bucket, some of them alike: links must not be lost to pairs that fail."""
+    for seed, block in ((1, 8192), (2, 8192), (3, 5)):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        r, texts = random.Random(seed), {}
+        for g in range(4):
+            base = prose(seed * 10 + g, 70).split()
+            for _ in range(70):
+                words = list(base)
+                for _ in range(r.randrange(0, 4)):
+                    words[r.randrange(len(words))] = f"new{r.randrange(30)}"
+                texts[len(texts)] = " ".join(words)
+        want = brute_components({i: shingle_set(t) for i, t in texts.items()})
+        docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+        assert {x.doc_id: x.component_id for x in nd.near_duplicates(docs).collect()} == want
+        assert len(set(want.values())) > 20
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     rows = nd.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
