@@ -154,21 +154,24 @@ def scan_secrets(df: DataFrame, text: str = "text", window: int = 20, hex_bits:
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[secret]", **settings) -> DataFrame:
     """``df`` with every found span of ``text`` replaced by ``mark`` (overlapping spans by one mark).
 
-    Rows without a span are returned unchanged, null texts too.
+    Rows without a span are returned unchanged, null texts too; so are all other columns, whatever their names (the
+    scan sees the text alone, under a name of its own, beside the row as a struct).
     """
-    spans = scan_secrets(df, text, **settings)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("scanned"))
+    spans = scan_secrets(packed, "scanned", **settings)
+    t = F.col("scanned")
 
     def step(acc, s):
         fresh = s["start"] >= acc["pos"]
         return F.struct(
             F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit(mark)))
+            F.when(fresh, F.concat(acc["out"], F.substring(t, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int")), F.lit(mark)))
             .otherwise(acc["out"]).alias("out"))
 
     walked = F.aggregate("secret_spans", F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step)
     done = F.when(F.size("secret_spans") > 0, F.concat(
-        walked["out"], F.substring(F.col(text), (walked["pos"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(F.col(text))
-    return spans.withColumn(text, done).select(*df.columns)
+        walked["out"], F.substring(t, (walked["pos"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(t)
+    return spans.withColumn("done", done).select(*[F.col("done").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:

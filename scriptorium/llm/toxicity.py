@@ -39,6 +39,7 @@ STEM_CHARS = 5
 LEAST_RATIO = 8.0
 TOXIC_BYTES, ORDINARY_BYTES = 32_768, 65_536
 THRESHOLDS = (1, 2, 3, 4)
+NO_EVIDENCE = 0.49
 FEATURES = 2 * len(THRESHOLDS) + 1
 HEAD = b"|0123456789-compression-distance-9876543210|"
 TAIL = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f"
@@ -136,7 +137,7 @@ def train_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic"
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
-        share = min(max((n1 + 0.5) / (n0 + n1 + 1), 1e-6), 1 - 1e-6)
+        share = min(max((n1 + 0.5) / (n0 + n1 + 1), 1e-6), NO_EVIDENCE)
         return ToxicityModel(HEAD, HEAD, window_words, (float(np.log(share / (1 - share))), *[0.0] * FEATURES))
     folds = F.pmod(F.xxhash64("t"), F.lit(1 << 20))
     part = F.when(F.col("y") == 1, min(1.0, sample_rows / n1)).otherwise(min(1.0, sample_rows / n0))

@@ -93,7 +93,7 @@ def test_toxicity_separates_held_out_documents(spark, labelled_tables):
 def test_toxicity_without_labels(spark, odd_docs, no_docs):
     model = tx.train_toxicity(spark.createDataFrame([("x", None)], "text string, toxic int"))
     rows = tx.score_toxicity(odd_docs, model, score="score").collect()
-    assert len(rows) == odd_docs.count() and {round(r.score, 6) for r in rows} == {0.5}
+    assert len(rows) == odd_docs.count() and {round(r.score, 6) for r in rows} == {tx.NO_EVIDENCE}
     assert tx.score_toxicity(no_docs, model).count() == 0
 
 
@@ -220,3 +220,11 @@ def test_classes_do_not_depend_on_the_split(spark):
     assert all((x == y).all() for x, y in zip(seeds, lm._group_seeds(many)))
     key = lambda df: sorted((r.h, r.c, r.k) for r in lm._count_words(df, *seeds).collect())
     assert key(one) == key(many)
+
+
+def test_toxicity_without_both_classes_predicts_nothing(spark):
+    texts = spark.createDataFrame([("you moron",), ("a fine day",), (None,)], "text string")
+    for y in ([], [0, 0], [1, 1, 1]):
+        rows = spark.createDataFrame([("word salad", v) for v in y], "text string, toxic int")
+        scores = {r.toxicity for r in tx.score_toxicity(texts, tx.train_toxicity(rows)).collect()}
+        assert len(scores) == 1 and 0 <= scores.pop() < 0.5

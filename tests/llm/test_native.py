@@ -48,13 +48,23 @@ def test_entropy_spans_find_keys_and_spare_ordinary_strings(spark):
 
 def test_window_entropy_equals_a_recount(spark):
     import math
-
-    key = "k9Xv2LpQ7rTz8WmN4sYb1Hd6aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaQx7"
-    w = 20
-    bits = [-sum(c / w * math.log2(c / w) for c in collections.Counter(key[i : i + w]).values()) for i in range(len(key) - w + 1)]
-    hot = [i for i, b in enumerate(bits) if b >= 3.6 and sum(x.isdigit() for x in key[i : i + w]) >= 2]
-    got = sec.scan_secrets(spark.createDataFrame([(key,)], "text string")).collect()[0].secret_spans
-    assert [(s.start, s.end) for s in got] == [(min(hot), max(hot) + w)]
+    import random
+
+    r, w = random.Random(4), 20
+    # No hexadecimal run of 24 symbols, which would be a base span of its own.
+    keys = ["k9Xv2LpQ7rTz8WmN4sYb1Hd6" + "z" * 38 + "Qx7", "z" * 30 + "k9Xv2LpQ7rTz8WmN4sYb1H" + "z" * 30]
+    keys += ["".join(r.choice("zzzzzzK7pQ2") for _ in range(90)) for _ in range(12)]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, text string")
+    got = {x.i: [(s.start, s.end) for s in x.secret_spans] for x in sec.scan_secrets(rows).collect()}
+    for n, key in enumerate(keys):
+        bits = [-sum(c / w * math.log2(c / w) for c in collections.Counter(key[i : i + w]).values()) for i in range(len(key) - w + 1)]
+        hot = [i for i, b in enumerate(bits) if b >= 3.6 and sum(x.isdigit() for x in key[i : i + w]) >= 2 and sum(x.isalpha() for x in key[i : i + w]) >= 2]
+        assert got[n] == ([(min(hot), max(hot) + w)] if hot else []), key
+
+
+def test_redaction_keeps_columns_of_the_scan_names(spark):
+    df = spark.createDataFrame([(1, "password=hunter22", "mine", 7, "x")], "doc_id int, text string, base_spans string, secret_spans int, done string")
+    assert [tuple(r) for r in sec.redact_secrets(df).collect()] == [(1, "[secret]", "mine", 7, "x")]
 
 
 def test_redaction_marks_spans_and_keeps_the_rest(spark, odd_docs, no_docs):
