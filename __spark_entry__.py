@@ -251,12 +251,12 @@ def q_shuffle_labelled(spark, sf):
 
 def q_train_test_split(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    return od.train_test_split(sh, 0.8, ["row_no"]).select("doc_id", "split")
+    return od.train_test_split(sh, 0.8, ["row_no"], index="row_no").select("doc_id", "split")
 
 
 def q_kfold(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    return od.kfold(sh, 5, ["row_no"]).select("doc_id", "row_no", "fold")
+    return od.kfold(sh, 5, ["row_no"], index="row_no").select("doc_id", "row_no", "fold")
 
 
 def q_sample_with_replacement(spark, sf):
@@ -265,7 +265,7 @@ def q_sample_with_replacement(spark, sf):
 
 def q_select_rows(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    folds = od.kfold(sh, 5, ["row_no"])
+    folds = od.kfold(sh, 5, ["row_no"], index="row_no")
     return od.select_rows(sh, folds.where(F.col("fold") == 2)).select("doc_id", "row_no")
 
 
@@ -277,12 +277,12 @@ def q_labelled_union(spark, sf):
 
 def q_label_counts(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    return labelled.label_counts(od.train_test_split(sh, 0.8, ["row_no"]), by=["split"])
+    return labelled.label_counts(od.train_test_split(sh, 0.8, ["row_no"], index="row_no"), by=["split"])
 
 
 def q_label_counts_folds(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    return labelled.label_counts(od.kfold(sh, 5, ["row_no"]), by=["fold"])
+    return labelled.label_counts(od.kfold(sh, 5, ["row_no"], index="row_no"), by=["fold"])
 
 
 def q_next_run_id(spark, sf):
@@ -385,7 +385,7 @@ def q_replace_sampled_multinomial(spark, sf):
 # ---- classification / regression scores (stand-in predictions flip labels by a seeded hash)
 def _predicted(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    sp = od.train_test_split(sh, 0.8, ["row_no"])
+    sp = od.train_test_split(sh, 0.8, ["row_no"], index="row_no")
     flip = hash_uniform(17, F.col("doc_id")) < 0.2
     return sp.withColumn("prediction", F.when(flip, 1 - F.col("label")).otherwise(F.col("label")))
 
@@ -592,7 +592,7 @@ def q_svm_separability(spark, sf):
 
 def _cv_parts(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
-    sp = od.train_test_split(sh, 0.8, ["row_no"])
+    sp = od.train_test_split(sh, 0.8, ["row_no"], index="row_no")
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 

@@ -6,19 +6,21 @@ Row numbering at scale
 ``row_number()`` over a window partitioned by ``source`` sends each source to a
 single task; with one source holding a third of 74 M chunks that task sorts
 tens of GB alone. ``index_rows`` numbers rows in two levels computed from data
-values only: a *block* key that is monotone in the leading order column
-(``floor(u * B)`` for hash-uniform orders, min/max scaling otherwise) splits
-every group into ~B balanced blocks; ``row_number()`` runs per (group, block);
+values only: a *block* number that does not fall along the order splits every
+group into about B balanced blocks; ``row_number()`` runs per (group, block);
 each block's offset comes from a count table of #groups x B rows (AQE
-broadcasts it by measured size). Nothing depends on physical partition ids, so
-recomputation after an executor loss -- or two plan branches that read the
-input separately -- give identical numbers. The order must be a total order
-(callers append unique ids).
+broadcasts it by measured size). For hash-uniform orders the block is
+``floor(u * B)``; for others it is the row's place among B bounds sampled over the
+whole order tuple, so a constant or hot leading column is split by the columns after
+it. The bounds are a scalar subquery: nothing runs while a plan is built.
+Nothing depends on physical partition ids, so recomputation after an
+executor loss -- or two plan branches that read the input separately -- give
+identical numbers. The order must be a total order (callers append unique ids).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import hash_uniform
@@ -38,46 +40,80 @@ def uniform_block(u: Column, num_blocks: int) -> Column:
 def index_rows(df: DataFrame, order: list, by: list[str] | tuple = (), out: str = "row_no",
                start: int = 0, block: Column | None = None, num_blocks: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based (or ``start``-based) position of each row in ``order``
-    within its ``by`` group. ``order`` must make rows unique within a group;
-    ``block`` (optional) must be non-decreasing along ``order``; without it the blocks
-    are cut at values of a bounded sample of the leading column, which may be of any
-    orderable type, hold nulls (first when ascending) and outliers, and be descending."""
+    within its ``by`` group. ``order`` (names or Columns, ``.desc()`` and null placement
+    included) must make rows unique within a group; ``block`` (optional) must be
+    non-decreasing along ``order``; without it the blocks are cut at bounds sampled over the whole order."""
     by = list(by)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     if block is None:
-        block = _sampled_block(df, order_cols[0], _num_blocks(df, num_blocks))
-    b = df.withColumn("_blk", block)
+        b = with_sampled_block(df, order_cols, _num_blocks(df, num_blocks))
+    else:
+        b = df.withColumn("_blk", block)
     ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_blk").orderBy(*order_cols)) - 1)
-    counts = b.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_blk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (ranked.join(offsets, [*by, "_blk"])
+    return (ranked.join(_block_offsets(b, by), [*by, "_blk"])
             .withColumn(out, (F.col("_off") + F.col("_r") + F.lit(start)).cast("long"))
             .drop("_blk", "_r", "_off"))
 
 
-def _sampled_block(df: DataFrame, key: Column, num_blocks: int) -> Column:
-    """Block number of a row: how many of the sampled bounds lie at or before its key.
-
-    One pass counts, one brings about 20 keys per block (fewer than 32 * num_blocks) to the driver."""
-    text = str(key)
-    descending = " DESC" in text
-    plain = F.col(text.split("'")[1].split(" ")[0].strip("`")) if descending else key
-    keys = df.select(plain.alias("k"))
-    n = keys.count()
-    share = min(1.0, 20.0 * num_blocks / max(1, n))
-    picked = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = [r["k"] for r in keys.where(F.col("k").isNotNull() & picked).distinct().limit(32 * num_blocks).collect()]
-    sample = sorted(x for x in sample if x == x)
-    bounds = sample[:: max(1, len(sample) // num_blocks)]
-    if not bounds:
-        return F.lit(0)
-    kind = keys.schema["k"].dataType
-    cuts = F.array(*[F.lit(x).cast(kind) for x in bounds])
-    at = F.coalesce(F.size(F.filter(cuts, lambda c: c <= plain)), F.lit(0))
-    number = F.when(plain.isNull(), F.lit(-1)).otherwise(at)
-    return -number if descending else number
+def _block_offsets(blocked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ``_blk``, ``_off``): rows of the group before each block."""
+    counts = blocked.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_blk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+
+
+def _sort_part(c: Column) -> tuple[Column, bool, bool]:
+    """(key, descending, nulls first) of an order column."""
+    node = c._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return c, False, True
+    key = type(c)(SparkSession.active()._jvm.org.apache.spark.sql.Column(node.child()))
+    return key, node.sortDirection().toString().startswith("org.apache.spark.sql.internal.SortOrder$Descending"), \
+        "NullsFirst" in node.nullOrdering().toString()
+
+
+def _at_or_before(b: Column, r: Column, parts: list) -> Column:
+    """Whether the key struct ``b`` does not come after ``r``, field by field."""
+    res = F.lit(True)
+    for i, (_, descending, nulls_first) in reversed(list(enumerate(parts))):
+        x, y = b[f"k{i}"], r[f"k{i}"]
+        res = F.when(x.eqNullSafe(y), res).when(x.isNull(), F.lit(nulls_first)).when(y.isNull(), F.lit(not nulls_first)) \
+            .otherwise(x > y if descending else x < y)
+    return res
+
+
+def _count_before(bounds: Column, r: Column, most: int, at_or_before) -> Column:
+    """How many of the ordered ``bounds`` (at most ``most``) do not come after ``r``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most).bit_length()))])
+
+    def step(n, width):
+        fits = (n + width <= F.size(bounds)) & at_or_before(F.get(bounds, n + width - 1), r)
+        return n + F.when(fits, width).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_sampled_block(df: DataFrame, order: list[Column], num_blocks: int, out: str = "_blk") -> DataFrame:
+    """Add the block number of a row: how many of the sampled bounds lie at or before it in ``order``.
+
+    About 20 rows' keys per block, picked by their hash, are sorted in a scalar subquery, and every
+    twentieth is a bound. Equal keys are one key."""
+    parts = [_sort_part(c) for c in order]
+    row = F.struct(*[c.alias(f"k{i}") for i, (c, _, _) in enumerate(parts)])
+    keys = df.select(row.alias("k"))
+    share = F.least(F.lit(1.0), F.lit(20.0 * num_blocks) / F.greatest(keys.agg(F.count(F.lit(1))).scalar(), F.lit(1)))
+    picked = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share * (1 << 30))
+
+    def compare(a, b):
+        return F.when(_at_or_before(a, b, parts), F.when(_at_or_before(b, a, parts), 0).otherwise(-1)).otherwise(1)
+
+    sample = picked.agg(F.array_sort(F.collect_set("k"), compare).alias("s"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(num_blocks)), lambda i: F.floor(i * F.size("s") / num_blocks).cast("int"))
+    bounds = sample.select(F.transform(places, lambda i: F.get("s", i)).alias("b")).select(F.filter("b", lambda x: x.isNotNull()))
+    staged = df.withColumn("_bounds", bounds.scalar()).withColumn("_key", row)
+    at = _count_before(F.col("_bounds"), F.col("_key"), num_blocks, lambda b, r: _at_or_before(b, r, parts))
+    return staged.withColumn(out, at).drop("_bounds", "_key")
 
 
 def shuffle_sequences(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "chunk_id"),
@@ -158,19 +194,25 @@ def batch_plan(window: DataFrame, batch_size: int, seed: int, epoch: int,
     return out.withColumn("global_step", step).withColumnRenamed("_pos", "position")
 
 
-def train_test_split(df: DataFrame, fraction: float, order: list) -> DataFrame:
+def _positions(df: DataFrame, order: list, index: str | None) -> DataFrame:
+    """``_i``: the dense 0-based column ``index`` where the rows have one, else their place in ``order``."""
+    return index_rows(df, order, out="_i") if index is None else df.withColumn("_i", F.col(index))
+
+
+def train_test_split(df: DataFrame, fraction: float, order: list, index: str | None = None) -> DataFrame:
     """Contiguous split -- the first ``int(n * fraction)`` rows (in ``order``)
-    are train, the rest test. ``n`` is a scalar subquery (one value, no join)."""
-    idx = index_rows(df, order, out="_i")
+    are train, the rest test. ``n`` is a scalar subquery (one value, no join). A stored dense row
+    number (from 0, in ``order``) can be named as ``index``; then nothing is numbered or shuffled."""
+    idx = _positions(df, order, index)
     n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery: one value, no join
     cut = F.floor(n * F.lit(fraction))
     return idx.withColumn("split", F.when(F.col("_i") < cut, "train").otherwise("test")).drop("_i")
 
 
-def kfold(df: DataFrame, k: int, order: list) -> DataFrame:
+def kfold(df: DataFrame, k: int, order: list, index: str | None = None) -> DataFrame:
     """Contiguous, unshuffled k-fold; the first ``n mod k`` folds get one extra
-    row (the ``ntile`` rule). ``fold`` = 0-based validation fold of the row."""
-    idx = index_rows(df, order, out="_i")
+    row (the ``ntile`` rule). ``fold`` = 0-based validation fold of the row; ``index`` as in the split."""
+    idx = _positions(df, order, index)
     n = df.agg(F.count(F.lit(1))).scalar()
     q = (n / k).cast("long")
     r = n % k
@@ -180,16 +222,30 @@ def kfold(df: DataFrame, k: int, order: list) -> DataFrame:
     return idx.withColumn("fold", fold.cast("int")).drop("_i")
 
 
-def sample_with_replacement(df: DataFrame, n: int, seed: int, order: list) -> DataFrame:
+def sample_with_replacement(df: DataFrame, n: int, seed: int, order: list, index: str | None = None,
+                            num_blocks: int | None = None) -> DataFrame:
     """``n`` draws with replacement; draw i takes row ``floor(u_i * N)`` in
     ``order`` (exclusive upper bound -- quirk Q7 fixed). Draws are generated by
-    ``spark.range`` and joined to the row index, so nothing passes the driver."""
-    spark = df.sparkSession
-    idx = index_rows(df, order, out="_i")
+    ``spark.range``, so nothing passes the driver.
+
+    Two stages: the draws are allotted to blocks of the order by the blocks' counts, then picked inside the blocks
+    that got some; rows of other blocks are counted, never numbered. With a dense ``index`` it is one join."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    draws = (spark.range(n).withColumnRenamed("id", "draw")
+    draws = (df.sparkSession.range(n).withColumnRenamed("id", "draw")
              .withColumn("_i", F.floor(hash_uniform(seed, F.col("draw")) * total).cast("long")))
-    return draws.join(idx, "_i").drop("_i")
+    if index is not None:
+        return draws.join(df.withColumn("_i", F.col(index)), "_i").drop("_i")
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    blocks = _num_blocks(df, num_blocks)
+    b = with_sampled_block(df, order_cols, blocks)
+    # The blocks' offsets: one sorted array of at most as many entries as there are blocks.
+    offsets = _block_offsets(b, []).agg(F.sort_array(F.collect_list(F.struct(F.col("_off").alias("o"), F.col("_blk").alias("b"))))).scalar()
+    at = _count_before(F.col("_o"), F.col("_i"), blocks + 1, lambda x, i: x["o"] <= i)
+    allotted = draws.withColumn("_o", offsets).withColumn("_n", at).withColumn("_at", F.get("_o", F.col("_n") - 1)).select(
+        "draw", F.col("_at.b").alias("_blk"), (F.col("_i") - F.col("_at.o")).alias("_r"))
+    hit = b.join(allotted.select("_blk").distinct(), "_blk", "left_semi")
+    ranked = hit.withColumn("_r", (F.row_number().over(Window.partitionBy("_blk").orderBy(*order_cols)) - 1).cast("long"))
+    return allotted.join(ranked, ["_blk", "_r"]).drop("_blk", "_r")
 
 
 def select_rows(df: DataFrame, indices: DataFrame, index_col: str = "row_no") -> DataFrame:

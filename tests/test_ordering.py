@@ -59,7 +59,7 @@ def test_index_rows_with_nulls_strings_outliers_and_descending_keys(spark):
         want = df.withColumn("n", F.row_number().over(Window.orderBy(*cols)) - 1)
         got = od.index_rows(df, order, out="n", num_blocks=8)
         assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in want.collect())
-    blocks = df.select(od._sampled_block(df, F.col("k"), 8).alias("b")).groupBy("b").count().collect()
+    blocks = od.with_sampled_block(df, [F.col("k")], 8, "b").groupBy("b").count().collect()
     assert max(r["count"] for r in blocks) < 120
 
 
@@ -93,3 +93,51 @@ def test_batches_and_sampling(spark):
     assert s.count() == 50 and s.select("draw").distinct().count() == 50
     sel = od.select_rows(df.withColumnRenamed("k", "row_no"), spark.createDataFrame([(1,), (1,), (5,)], "row_no long"))
     assert sorted(r.row_no for r in sel.collect()) == [1, 5]
+
+
+def test_blocks_are_balanced_when_the_leading_column_is_constant_or_hot(spark):
+    df = spark.range(4000).select(F.lit("same").alias("a"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("b"),
+                                  F.xxhash64("id").alias("c"), "id").repartition(3)
+    for order in (["a", "id"], ["a", F.col("b").desc(), "c"], [F.col("b").asc_nulls_last(), F.col("c").desc_nulls_first()], [F.col("b").desc_nulls_first(), "id"]):
+        cols = [F.col(c) if isinstance(c, str) else c for c in order]
+        sizes = [r["count"] for r in od.with_sampled_block(df, cols, 16, "b").groupBy("b").count().collect()]
+        assert len(sizes) >= 14 and max(sizes) < 2 * 4000 / 16
+        want = df.withColumn("n", F.row_number().over(Window.orderBy(*cols)) - 1)
+        got = od.index_rows(df, order, out="n", num_blocks=16)
+        assert sorted((r.id, r.n) for r in got.collect()) == sorted((r.id, r.n) for r in want.collect())
+
+
+def _jobs_while(spark, build):
+    """Jobs that run while ``build`` makes its plan."""
+    sc = spark.sparkContext
+    sc.setJobGroup("plan", "plan")
+    out = build()
+    n = len(sc.statusTracker().getJobIdsForGroup("plan"))
+    sc.setJobGroup("other", "other")
+    return n, out
+
+
+def test_nothing_runs_while_a_split_is_planned(spark):
+    df = spark.range(1000).withColumn("row_no", F.col("id"))
+    for build in (lambda: od.train_test_split(df, 0.8, ["id"]), lambda: od.kfold(df, 3, ["id"]), lambda: od.sample_with_replacement(df, 9, 1, ["id"]),
+                  lambda: od.train_test_split(df, 0.8, ["id"], index="row_no")):
+        jobs, out = _jobs_while(spark, build)
+        assert jobs == 0 and out.count() in (1000, 9)
+    dense = [od.train_test_split(df, 0.33, ["id"], index="row_no"), od.kfold(df, 7, ["id"], index="row_no")]
+    sorted_ = [od.train_test_split(df, 0.33, ["id"]), od.kfold(df, 7, ["id"])]
+    for a, b in zip(dense, sorted_):
+        assert sorted(a.collect()) == sorted(b.collect())
+        assert "Window" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_number_only_the_blocks_that_they_hit(spark):
+    df = spark.range(5000).select(F.lit(1).alias("k"), F.col("id"), hash_uniform(3, F.col("id")).alias("x")).repartition(3)
+    want = {(r.draw, r.id) for r in df.sparkSession.range(40).withColumnRenamed("id", "draw").withColumn(
+        "id", F.floor(hash_uniform(5, F.col("draw")) * 5000).cast("long")).collect()}
+    for blocks in (1, 4, 600):
+        assert {(r.draw, r.id) for r in od.sample_with_replacement(df, 40, 5, ["k", "id"], num_blocks=blocks).collect()} == want
+    assert {(r.draw, r.id) for r in od.sample_with_replacement(df, 40, 5, ["id"], index="id").collect()} == want
+    plan = od.sample_with_replacement(df, 40, 5, ["k", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[plan.index("Window [row_number"):]
+    assert "LeftSemi" in above.split("Aggregate")[0]
+    assert od.sample_with_replacement(df.limit(0), 5, 1, ["id"]).count() == 0
