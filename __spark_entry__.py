@@ -185,12 +185,37 @@ def q_pack_chunks(spark, sf):
     return ch.pack_chunks(_docs(spark, sf), SMALL_WORDS, 2, 3)
 
 
-def q_chunk_report(spark, sf):
-    r = ch.chunk_report(_docs(spark, sf), SMALL_PROFILES, SMALL_WORDS)
+# A page of every source's table.
+PAGE_LIMIT, PAGE_OFFSET = 40, 7
+
+
+def _rounded_report(r):
     return r.withColumn("excluded_fraction", _r6(F.col("excluded_fraction"))) \
         .withColumn("mean_share", _r6(F.col("mean_share")))
 
 
+def q_chunk_report(spark, sf):
+    return _rounded_report(ch.chunk_report(_docs(spark, sf), SMALL_PROFILES, SMALL_WORDS))
+
+
+def q_chunk_report_page(spark, sf):
+    return _rounded_report(ch.chunk_report(_docs(spark, sf), SMALL_PROFILES, SMALL_WORDS, limit=PAGE_LIMIT, offset=PAGE_OFFSET))
+
+
+def q_chunk_report_written(spark, sf):
+    return _rounded_report(ch.write_corpus(_docs(spark, sf), _scratch(spark, "chunks"), SMALL_PROFILES, SMALL_WORDS))
+
+
+def q_write_corpus_page(spark, sf):
+    path = _scratch(spark, "chunks")
+    ch.write_corpus(_docs(spark, sf), path, SMALL_PROFILES, SMALL_WORDS, limit=PAGE_LIMIT, offset=PAGE_OFFSET)
+    return spark.read.parquet(path).select("source", "doc_id", "chunk_id", "sequence")
+
+
+def q_scan_page_deep(spark, sf):
+    return srcdocs.scan_page(_docs(spark, sf), None, 250).select("doc_id", "source", "doc_type")
+
+
 def q_document_sequences(spark, sf):
     return ch.document_sequences(si.labelled_in(spark, sf))
 
@@ -664,19 +689,21 @@ def q_write_chunks(spark, sf):
 # ---- composed plans (corpus build, one epoch of the pretraining feed)
 def q_build_corpus(spark, sf):
     from scriptorium.plans.corpus import build_corpus
+    from scriptorium.sources.sinks import open_shuffled
 
     paths = build_corpus(spark, _docs(spark, sf), _scratch(spark, "corpus"), SMALL_PROFILES, SMALL_WORDS, seed=SHUFFLE_SEED)
-    return spark.read.parquet(paths.shuffled).select("source", "doc_id", "chunk_id", "row_no")
+    return open_shuffled(spark, paths.shuffled)[0].select("source", "doc_id", "chunk_id", "row_no")
 
 
 def q_epoch_feed(spark, sf):
     from scriptorium.plans.corpus import build_corpus
     from scriptorium.plans.pretraining import epoch_feed
+    from scriptorium.sources.sinks import open_shuffled
 
     paths = build_corpus(spark, _docs(spark, sf), _scratch(spark, "corpus"), SMALL_PROFILES, SMALL_WORDS, seed=SHUFFLE_SEED)
-    seqs = spark.read.parquet(paths.shuffled)
-    feed = epoch_feed(seqs, _retrieval(seqs), _vocab(spark, sf), epoch=1, batch_size=BATCH_SIZE,
-                      max_length=ENCODE_LEN, seed=5, n_epochs=3)
+    seqs, totals = open_shuffled(spark, paths.shuffled)
+    feed = epoch_feed(seqs, _retrieval(totals), _vocab(spark, sf), epoch=1, batch_size=BATCH_SIZE,
+                      max_length=ENCODE_LEN, seed=5, n_epochs=3, totals=totals)
     return feed.select("source", "doc_id", "chunk_id", "epoch", "batch_id", "global_step",
                        _joined("masked_ids").alias("masked_ids"), _joined("labels").alias("labels"))
 
@@ -709,6 +736,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flatten_newlines": q_flatten_newlines,
         "pack_chunks": q_pack_chunks,
         "chunk_report": q_chunk_report,
+        "chunk_report_page": q_chunk_report_page,
+        "chunk_report_written": q_chunk_report_written,
+        "write_corpus_page": q_write_corpus_page,
+        "scan_page_deep": q_scan_page_deep,
         "document_sequences": q_document_sequences,
         "shuffle_sequences": q_shuffle_sequences,
         "epoch_window": q_epoch_window,
@@ -937,6 +968,18 @@ def s_simple_split(t: str) -> str:
     return f"string_split(regexp_replace({t}, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))"
 
 
+def s_paged(sql: str) -> str:
+    """The same SQL over a page of every source's scan (transcripts: of their distinct texts)."""
+    page = f"QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 BETWEEN {PAGE_OFFSET} AND {PAGE_OFFSET + PAGE_LIMIT - 1}"
+    parts = {"FROM docs_in\n  WHERE source = 'current'": f"FROM (SELECT * FROM docs_in {page})\n  WHERE source = 'current'",
+             "FROM docs_in WHERE source IN (": f"FROM (SELECT * FROM docs_in {page}) WHERE source IN (",
+             "WHERE source = 'calls' GROUP BY source, text)": f"WHERE source = 'calls' GROUP BY source, text {page.replace('ORDER BY doc_id', 'ORDER BY min(docs_in.doc_id)')})"}
+    for a, b in parts.items():
+        assert a in sql or a.replace("\n  ", " ") in sql, a
+        sql = sql.replace(a, b).replace(a.replace("\n  ", " "), b)
+    return sql
+
+
 def s_report() -> str:
     return f"""WITH RECURSIVE {s_cleaned(SMALL_PROFILES)},
 {s_packed('cleaned', SMALL_WORDS, SMALL_PROFILES)},
@@ -1005,6 +1048,10 @@ SELECT doc_id, {s_calls_clean('text')} AS text FROM t WHERE len(string_split(tex
         "flatten_newlines": d + "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM docs_in",
         "pack_chunks": packed_23 + " SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, sequence FROM chunks",
         "chunk_report": s_report(),
+        "chunk_report_written": s_report(),
+        "chunk_report_page": s_paged(s_report()),
+        "write_corpus_page": s_paged(s_small_corpus()),
+        "scan_page_deep": d + "SELECT doc_id, source, doc_type FROM docs_in ORDER BY doc_id OFFSET 250",
         "document_sequences": f"WITH {LAB} " + s_explode(s_simple_split("text"), "lab", idx="seq_idx"),
         "shuffle_sequences": f"WITH {s_shuffled()} SELECT source, doc_id, chunk_id, row_no FROM sh",
         "epoch_window": f"WITH {s_window(2)} SELECT source, doc_id, chunk_id, row_no FROM win",

@@ -31,7 +31,7 @@ def main() -> None:
     from scriptorium.operators import masking, ordering, vocab
     from scriptorium.session import build_session, ensure_checkpoint_dir
     from scriptorium.sources import standins as si
-    from scriptorium.sources.sinks import write_chunks, write_shuffled
+    from scriptorium.sources.sinks import open_shuffled, publish_shuffled, write_chunks
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     scratch = ensure_checkpoint_dir(spark).rstrip("/") + f"/bench-{uuid.uuid4().hex}"
@@ -73,17 +73,16 @@ def main() -> None:
     write_chunks(ch.chunk_corpus(docs, small, chunk_words=60, partitions=parts), chunk_path)
     q["chunk_write"] = time.perf_counter() - t0
     t0 = time.perf_counter()
-    write_shuffled(ordering.shuffle_sequences(spark.read.parquet(chunk_path), seed=7), seq_path)
+    publish_shuffled(ordering.shuffle_into_stripes(spark.read.parquet(chunk_path), seed=7), seq_path)
     q["shuffle_write"] = time.perf_counter() - t0
-    seqs = spark.read.parquet(seq_path)
+    seqs, totals = open_shuffled(spark, seq_path)
     n_seqs = seqs.count()
     extra["sequences"] = n_seqs
     q["count_sequences"] = timed(lambda: run(ordering.source_totals(seqs)))
 
     # 3. epoch windows: first and last epoch before the wrap (cost must not grow with the offset)
     limit = 512
-    sizes = {r["source"]: r["n_total"] for r in ordering.source_totals(seqs).collect()}
-    totals = spark.createDataFrame(list(sizes.items()), "source string, n_total long")
+    sizes = {r["source"]: r["n_total"] for r in totals.collect()}
     retrieval = spark.createDataFrame([(name, limit) for name in sizes], "source string, limit long")
     last_epoch = max(0, (min(sizes.values()) // 2) // limit)
     q["epoch_window_first"] = timed(lambda: run(ordering.epoch_window(seqs, retrieval, 0, totals=totals)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import (
@@ -30,7 +30,8 @@ from ..functions.text import (
 )
 from ..functions.arrays import posexplode_rows
 from .filters import clean_reports_text, strip_speaker_prefixes, trim_sentences
-from ..sources.documents import count_documents, scan_distinct
+from ..sources.documents import count_documents, page_by_source, scan_distinct
+from ..sources.sinks import write_chunks
 
 
 @dataclass(frozen=True)
@@ -125,9 +126,11 @@ OTHER_SOURCE = ChunkProfile(None, None, None)
 def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                     max_doc_share: float = DEFAULT_MAX_DOC_SHARE,
                     exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool = True,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Per-source fetch + clean (S1-S2, F1-F4, X7-X9) -> ``source, doc_id, text``.
 
+    ``limit`` and ``offset`` page every source's scan by ``doc_id`` before its filters (transcripts: after
+    the distinct scan, as ``SELECT DISTINCT .. LIMIT`` does).
     Documents of a source without a profile are kept as they are (``OTHER_SOURCE``).
 
     Rows removed by a source filter (F1, F2, F3, distinct) are not documents of the
@@ -138,7 +141,7 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
     # Every source but transcripts: one projection (transcripts are redistributed by
     # their distinct aggregation).
-    rest = spread(docs.where(~src.eqNullSafe("calls")), partitions).where(
+    rest = spread(page_by_source(docs.where(~src.eqNullSafe("calls")), limit, offset), partitions).where(
         ~src.eqNullSafe("current")
         | (F.col("doc_type").isin(list(exhibits))
            & (text.isNull() | (digit_punct_fraction(text, empty=0.0) <= max_doc_share)))
@@ -148,7 +151,7 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
                .otherwise(text))
     rest = rest.select("source", "doc_id", cleaned.alias("text"))
     calls = docs.where(src == "calls")
-    calls = scan_distinct(calls) if distinct_calls else calls
+    calls = page_by_source(scan_distinct(calls) if distinct_calls else calls, limit, offset)
     lines = F.split(text, "\n", -1)
     calls = calls.where(text.isNull() | (F.size(lines) >= 5)).select(
         "source", "doc_id", F.array_join(strip_speaker_prefixes(lines), " ").alias("text"))
@@ -156,15 +159,15 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
 
 def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
-                    chunk_words: int = DEFAULT_CHUNK_WORDS, clean: bool = True,
-                    distinct_calls: bool = True, partitions: int | None = None) -> DataFrame:
+                    chunk_words: int = DEFAULT_CHUNK_WORDS, clean: bool = True, distinct_calls: bool = True,
+                    partitions: int | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Document-level chunk result: ``source, doc_id, chunks, shares, excluded``.
 
     ``chunks`` is NULL when the document failed (NULL text, too few sentences);
     ``excluded`` is also true when an empty chunk has no score (Q2)."""
     profiles = profiles or DEFAULT_PROFILES
-    base = clean_documents(docs, profiles, distinct_calls=distinct_calls, partitions=partitions) if clean \
-        else spread(docs, partitions).select("source", "doc_id", "text")
+    base = clean_documents(docs, profiles, distinct_calls=distinct_calls, partitions=partitions, limit=limit, offset=offset) if clean \
+        else spread(page_by_source(docs, limit, offset), partitions).select("source", "doc_id", "text")
     first = _profile_col(profiles, "trim_first", "int")
     last = _profile_col(profiles, "trim_last", "int")
     empty_share = _profile_col(profiles, "empty_share", "double")
@@ -190,12 +193,16 @@ def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first:
 
 def chunk_corpus(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                  chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE,
-                 clean: bool = True, distinct_calls: bool = True, partitions: int | None = None) -> DataFrame:
+                 clean: bool = True, distinct_calls: bool = True, partitions: int | None = None,
+                 limit: int | None = None, offset: int | None = None) -> DataFrame:
     """T2 (flagship): ``source, doc_id, chunk_id, sequence`` for every kept chunk.
 
     ``chunk_id`` is the chunk's position in its document before the quality
     filter, so the keys are stable lineage (deviation D1)."""
-    doc = chunk_documents(docs, profiles, chunk_words, clean, distinct_calls, partitions)
+    return _kept_chunks(chunk_documents(docs, profiles, chunk_words, clean, distinct_calls, partitions, limit, offset), max_share)
+
+
+def _kept_chunks(doc: DataFrame, max_share: float) -> DataFrame:
     # Exclusion is folded into the generator input instead of a Filter: a Filter on
     # a derived column would be pushed below the projections and re-run the whole
     # text pipeline inside its predicate.
@@ -206,31 +213,20 @@ def chunk_corpus(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = Non
                     F.col("c.chunks").alias("sequence")))
 
 
-def chunk_report(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
-                 chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE) -> DataFrame:
-    """A1: per source -- documents in the table, excluded documents and fraction,
-    raw chunks (including those of documents later excluded), mean share over raw
-    chunks (sum without excluded documents, as the reference does), kept chunks.
-
-    Two partial aggregations on ``source`` (a handful of keys): map-side combine
-    keeps the shuffle at one row per source per task."""
-    profiles = profiles or DEFAULT_PROFILES
-    doc = chunk_documents(docs, profiles, chunk_words)
+def _document_counts(doc: DataFrame, max_share: float) -> dict[str, Column]:
+    """Per document: what the report adds up."""
     ok = ~F.col("excluded")
-    per_doc = doc.select(
-        "source", "excluded",
-        F.coalesce(F.size("chunks"), F.lit(0)).alias("n_raw"),
-        F.when(ok, F.aggregate("shares", F.lit(0.0), lambda a, s: a + s)).otherwise(F.lit(0.0)).alias("share_sum"),
-        F.when(ok, F.size(F.filter("shares", lambda s: s <= max_share))).otherwise(F.lit(0)).alias("n_kept"),
-    )
-    agg = per_doc.groupBy("source").agg(
-        F.sum(F.col("excluded").cast("int")).alias("n_excluded"),
-        F.sum("n_raw").alias("n_raw_chunks"),
-        F.sum("share_sum").alias("share_sum"),
-        F.sum("n_kept").alias("n_kept_chunks"),
-    )
-    totals = count_documents(docs)
-    return (totals.join(agg, "source", "left")
+    return {
+        "n_excluded": F.col("excluded").cast("long"),
+        "n_raw_chunks": F.coalesce(F.size("chunks"), F.lit(0)).cast("long"),
+        "share_sum": F.when(ok, F.aggregate("shares", F.lit(0.0), lambda a, s: a + s)).otherwise(F.lit(0.0)),
+        "n_kept_chunks": F.when(ok, F.size(F.filter("shares", lambda s: s <= max_share))).otherwise(F.lit(0)).cast("long"),
+    }
+
+
+def _report(totals: DataFrame, sums: DataFrame) -> DataFrame:
+    named = sums.withColumnRenamed("source", "_source")
+    return (totals.join(named, F.col("source").eqNullSafe(F.col("_source")), "left")
             .select("source", "n_documents",
                     F.coalesce("n_excluded", F.lit(0)).alias("n_excluded"),
                     (F.coalesce("n_excluded", F.lit(0)) / F.col("n_documents")).alias("excluded_fraction"),
@@ -239,6 +235,45 @@ def chunk_report(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = Non
                     F.coalesce("n_kept_chunks", F.lit(0)).alias("n_kept_chunks")))
 
 
+def chunk_report(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
+                 chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE,
+                 limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """A1: per source -- documents in the table, excluded documents and fraction,
+    raw chunks (including those of documents later excluded), mean share over raw
+    chunks (sum without excluded documents, as the reference does), kept chunks. With
+    ``limit``/``offset`` the document count, and so the fraction's denominator, is still the whole table's.
+
+    Two partial aggregations on ``source`` (a handful of keys): map-side combine
+    keeps the shuffle at one row per source per task. ``write_corpus`` gives the same report from the
+    pass that writes the chunks."""
+    doc = chunk_documents(docs, profiles or DEFAULT_PROFILES, chunk_words, limit=limit, offset=offset)
+    counts = _document_counts(doc, max_share)
+    sums = doc.select("source", *[c.alias(n) for n, c in counts.items()]).groupBy("source").agg(*[F.sum(n).alias(n) for n in counts])
+    return _report(count_documents(docs), sums)
+
+
+def write_corpus(docs: DataFrame, path: str, profiles: dict[str, ChunkProfile] | None = None,
+                 chunk_words: int = DEFAULT_CHUNK_WORDS, max_share: float = DEFAULT_MAX_CHUNK_SHARE,
+                 limit: int | None = None, offset: int | None = None, partitions: int | None = None) -> DataFrame:
+    """T2 + S7 + A1 in one pass: write the chunk table (partitioned by source) and return its report.
+
+    The report's sums are observed on the documents as they stream into the write; only a count of the ``source``
+    column (for the whole table's totals) is read beside it. One row per source reaches the driver."""
+    spark = docs.sparkSession
+    totals = [(r["source"], r["n_documents"]) for r in count_documents(docs).collect()]
+    doc = chunk_documents(docs, profiles or DEFAULT_PROFILES, chunk_words, partitions=partitions, limit=limit, offset=offset)
+    counts, seen = _document_counts(doc, max_share), Observation()
+    sums = [F.coalesce(F.sum(F.when(F.col("source").eqNullSafe(F.lit(source)), c)), F.lit(0)).alias(f"{n}_{i}")
+            for i, (source, _) in enumerate(totals) for n, c in counts.items()]
+    if not sums:
+        sums = [F.count(F.lit(1)).alias("n")]
+    write_chunks(_kept_chunks(doc.observe(seen, *sums), max_share), path)
+    got = seen.get
+    rows = [(source, *[got[f"{n}_{i}"] for n in counts]) for i, (source, _) in enumerate(totals)]
+    observed = spark.createDataFrame(rows, "source string, n_excluded long, n_raw_chunks long, share_sum double, n_kept_chunks long")
+    return _report(spark.createDataFrame(totals, "source string, n_documents long"), observed)
+
+
 # ---------------------------------------------------------------------------
 # Document -> ordered sentences (document-level tasks)
 # ---------------------------------------------------------------------------

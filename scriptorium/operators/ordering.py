@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hash_uniform
 
+# Offset rows (sources x blocks) that are sent to all tasks.
+MAX_OFFSETS = 1_000_000
+
 
 def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
     if num_blocks:
@@ -49,17 +52,22 @@ def index_rows(df: DataFrame, order: list, by: list[str] | tuple = (), out: str
         b = with_sampled_block(df, order_cols, _num_blocks(df, num_blocks))
     else:
         b = df.withColumn("_blk", block)
-    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_blk").orderBy(*order_cols)) - 1)
-    return (ranked.join(_block_offsets(b, by), [*by, "_blk"])
+    b = b.withColumn("_grp", _group_key(by))
+    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy("_grp", "_blk").orderBy(*order_cols)) - 1)
+    return (ranked.join(_block_offsets(b), ["_grp", "_blk"])
             .withColumn(out, (F.col("_off") + F.col("_r") + F.lit(start)).cast("long"))
-            .drop("_blk", "_r", "_off"))
+            .drop("_grp", "_blk", "_r", "_off"))
+
+
+def _group_key(by: list[str]) -> Column:
+    """The group columns as one struct, in which nulls are equal (a join on the bare columns would lose them)."""
+    return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))
 
 
-def _block_offsets(blocked: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ``_blk``, ``_off``): rows of the group before each block."""
-    counts = blocked.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_blk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _block_offsets(blocked: DataFrame) -> DataFrame:
+    """(``_grp``, ``_blk``, ``_off``): rows of the group before each block."""
+    counts = blocked.groupBy("_grp", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_grp").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
 
 
@@ -128,6 +136,31 @@ def shuffle_sequences(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "c
                       block=uniform_block(F.col("_u"), nb), num_blocks=nb).drop("_u")
 
 
+def shuffle_into_stripes(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id", "chunk_id"), by: str = "source",
+                         stripes: int | None = None) -> DataFrame:
+    """R1 for writing: ``shuffle_sequences`` with the same ``row_no``, dealt once and sorted.
+
+    A stripe is a run of blocks, so it holds consecutive row numbers. Texts are exchanged once, by (source, stripe); the
+    numbering window and the write find the rows where they lie, in order. The blocks' offsets come from a pass
+    over the keys alone."""
+    nb = _num_blocks(seqs, None)
+    n = min(nb, stripes or max(1, nb // 4))
+    u = hash_uniform(seed, *[F.col(k) for k in key])
+
+    def blocked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_u", u).withColumn("_blk", uniform_block(F.col("_u"), nb)).withColumn("_grp", _group_key([by]))
+
+    offsets = _block_offsets(blocked(seqs.select(by, *key)))
+    dealt = blocked(seqs).withColumn("stripe", F.floor(F.col("_blk") * n / nb).cast("int")).repartition("_grp", "stripe")
+    place = F.row_number().over(Window.partitionBy("_grp", "stripe", "_blk").orderBy("_u", *key)) - 1
+    ranked = dealt.withColumn("_r", place)
+    # One row per source and block: at most MAX_OFFSETS of them are broadcast, so the texts stay where they are.
+    small = offsets.limit(MAX_OFFSETS + 1).count() <= MAX_OFFSETS
+    return (ranked.join(F.broadcast(offsets) if small else offsets, ["_grp", "_blk"])
+            .withColumn("row_no", (F.col("_off") + F.col("_r")).cast("long"))
+            .drop("_u", "_grp", "_blk", "_r", "_off"))
+
+
 def shuffle_labelled(df: DataFrame, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """Seeded shuffle of a labelled set; ``row_no`` = new position."""
     nb = _num_blocks(df, None)
@@ -239,7 +272,7 @@ def sample_with_replacement(df: DataFrame, n: int, seed: int, order: list, index
     blocks = _num_blocks(df, num_blocks)
     b = with_sampled_block(df, order_cols, blocks)
     # The blocks' offsets: one sorted array of at most as many entries as there are blocks.
-    offsets = _block_offsets(b, []).agg(F.sort_array(F.collect_list(F.struct(F.col("_off").alias("o"), F.col("_blk").alias("b"))))).scalar()
+    offsets = _block_offsets(b.withColumn("_grp", _group_key([]))).agg(F.sort_array(F.collect_list(F.struct(F.col("_off").alias("o"), F.col("_blk").alias("b"))))).scalar()
     at = _count_before(F.col("_o"), F.col("_i"), blocks + 1, lambda x, i: x["o"] <= i)
     allotted = draws.withColumn("_o", offsets).withColumn("_n", at).withColumn("_at", F.get("_o", F.col("_n") - 1)).select(
         "draw", F.col("_at.b").alias("_blk"), (F.col("_i") - F.col("_at.o")).alias("_r"))

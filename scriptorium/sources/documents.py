@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_newlines
+from ..operators.ordering import index_rows
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -35,19 +36,43 @@ def scan_distinct(docs: DataFrame) -> DataFrame:
             .select("_row.doc_id", "source", "_row.doc_type", "_row.text"))
 
 
+# Pages that end within so many rows are a top-k; later ones are found by numbering the order's keys.
+TOP_PAGE_ROWS = 10_000
+
+
 def scan_page(docs: DataFrame, limit: int | None = None, offset: int | None = None,
               order_by: str | list[str] = "doc_id") -> DataFrame:
-    """S3: LIMIT/OFFSET paging over an explicit order (0/None = unset).
+    """S3: LIMIT/OFFSET paging over an explicit order that tells all rows apart (0/None = unset).
 
-    Spark plans ``orderBy + offset + limit`` as a distributed top-k
-    (TakeOrderedAndProject) when a limit is given, so no task sorts the table."""
+    A page near the start is ``orderBy + offset + limit``, a distributed top-k. A deep page, or an offset alone,
+    would sort its whole prefix in one task; there the keys are numbered in blocks and the page's keys
+    fetch their rows. The rows themselves come in no order."""
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    out = docs.orderBy(*order)
-    if offset:
-        out = out.offset(int(offset))
-    if limit:
-        out = out.limit(int(limit))
-    return out
+    lo, size = int(offset or 0), int(limit or 0)
+    if not lo and not size:
+        return docs
+    if size and lo + size <= TOP_PAGE_ROWS:
+        return docs.orderBy(*order).offset(lo).limit(size)
+    return _rows_between(docs, order, [], lo, size)
+
+
+def page_by_source(docs: DataFrame, limit: int | None = None, offset: int | None = None,
+                   order_by: str | list[str] = "doc_id") -> DataFrame:
+    """S3 for every source on its own: rows [offset, offset + limit) of each, in the order of unique keys."""
+    if not limit and not offset:
+        return docs
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    return _rows_between(docs, order, ["source"], int(offset or 0), int(limit or 0))
+
+
+def _rows_between(docs: DataFrame, order: list[str], by: list[str], lo: int, size: int) -> DataFrame:
+    """Only keys are numbered; texts meet the page's keys by a semi-join (a broadcast one where the page is small)."""
+    numbered = index_rows(docs.select(*by, *order), order, by=by, out="_at")
+    page = numbered.where(F.col("_at") >= lo)
+    page = page.where(F.col("_at") < lo + size) if size else page
+    keys = [*by, *order]
+    named = page.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)])
+    return docs.join(named, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)], "left_semi")
 
 
 def corpus_union(sources: dict[str, DataFrame]) -> DataFrame:
