@@ -382,11 +382,12 @@ def q_replaced_token_scores(spark, sf):
 
 
 def _generator_scores(masked):
-    """Stand-in generator output: a logit per masked position and vocabulary id."""
+    """Stand-in generator output: a vector of logits per masked position."""
     at = F.filter(F.transform("masked_ids", lambda x, i: F.struct(x.alias("x"), i.alias("pos"))), lambda e: e["x"] == 4)
     pos = masked.select("row_key", F.explode(at).alias("e")).select("row_key", "e.pos")
-    cand = pos.select("row_key", "pos", F.explode(F.sequence(F.lit(0), F.lit(si.CHAR_VOCAB - 1))).alias("token_id"))
-    return cand.withColumn("logit", hash_uniform(41, F.col("row_key"), F.col("pos"), F.col("token_id")) * 4.0 - 2.0)
+    logits = F.transform(F.sequence(F.lit(0), F.lit(si.CHAR_VOCAB - 1)),
+                         lambda t: hash_uniform(41, F.col("row_key"), F.col("pos"), t) * 4.0 - 2.0)
+    return pos.withColumn("logits", logits)
 
 
 def _sampled(spark, sf, mode):

@@ -15,10 +15,15 @@ with ``slice`` + ``array_join`` afterwards, so no string is copied per step.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import (
     CURRENT_FILING_EXHIBITS,
@@ -56,6 +61,8 @@ DEFAULT_PROFILES: dict[str, ChunkProfile] = {
 DEFAULT_CHUNK_WORDS = 200
 DEFAULT_MAX_CHUNK_SHARE = 0.15
 DEFAULT_MAX_DOC_SHARE = 0.30
+# Characters from which a document is packed sentence by sentence instead of in arrays.
+LONG_TEXT = 8_000_000
 
 
 # ---------------------------------------------------------------------------
@@ -182,13 +189,89 @@ def chunk_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
 
 
 def pack_chunks(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first: int | None = None,
-                last: int | None = None, text: str = "text", partitions: int | None = None) -> DataFrame:
+                last: int | None = None, text: str = "text", partitions: int | None = None,
+                long_text: int = LONG_TEXT) -> DataFrame:
     """T1 as a table function: ``doc_id, chunk_id, sequence`` for every raw chunk
-    (split -> trim -> pack); documents failing the trim check give no rows."""
-    staged = spread(docs, partitions).select("doc_id", trim_sentences(split_sentences(F.col(text)), first, last).alias("_s"))
+    (split -> trim -> pack); documents failing the trim check give no rows.
+
+    Texts of more than ``long_text`` characters, whose arrays of sentences and chunks would have to fit one row
+    several times, go through ``pack_long_documents``."""
+    long = F.length(F.col(text)) > long_text
+    staged = spread(docs.where(~F.coalesce(long, F.lit(False))), partitions).select("doc_id", trim_sentences(split_sentences(F.col(text)), first, last).alias("_s"))
     staged = with_packed_chunks(staged, "_s", chunk_words, "chunks")
-    return staged.select("doc_id", posexplode_rows("chunks").alias("chunk_id", "sequence")) \
+    short = staged.select("doc_id", posexplode_rows("chunks").alias("chunk_id", "sequence")) \
         .withColumn("chunk_id", F.col("chunk_id").cast("int"))
+    return short.unionByName(pack_long_documents(docs.where(long), chunk_words, first, last, text))
+
+
+# White space as Java's (?U)\s has it, and the two patterns of functions.text over it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BOUNDARY = re.compile(rf"(?<=[.?])(?<![A-Z][a-z]\.)(?<!\d\.)[{_SPACE}]")
+_WORD = re.compile(rf"[^{_SPACE}]+")
+OUT_CHARS = 4 << 20
+
+
+def _sentences(text: str) -> Iterator[str]:
+    """X1, one sentence at a time."""
+    start = 0
+    for m in _BOUNDARY.finditer(text):
+        yield text[start : m.start()]
+        start = m.end()
+    yield text[start:]
+
+
+def _trimmed(text: str, first: int | None, last: int | None) -> Iterator[str] | None:
+    """F7 on the stream of sentences; None where the document is excluded."""
+    a, b = first or 0, last or 0
+    if not a and not b:
+        return _sentences(text)
+    n = 1 + sum(1 for _ in _BOUNDARY.finditer(text))
+    if not (2 * b < n if a and b else a + b < n):
+        return None
+    return islice(_sentences(text), a, max(a, n - b))
+
+
+def _packed(sentences: Iterator[str], max_words: int) -> Iterator[str]:
+    """T1 with one open chunk as its state."""
+    held: list[str] = []
+    words, any_chunk = 0, False
+    for s in sentences:
+        any_chunk, n = True, sum(1 for _ in _WORD.finditer(s))
+        if words + n > max_words:
+            yield " ".join(held)
+            held, words = [], 0
+        held.append(s)
+        words += n
+    if any_chunk:
+        yield " ".join(held)
+
+
+def pack_long_documents(docs: DataFrame, chunk_words: int = DEFAULT_CHUNK_WORDS, first: int | None = None,
+                        last: int | None = None, text: str = "text") -> DataFrame:
+    """T1 for documents of any size: the text is walked sentence by sentence and chunks leave
+    the task in batches of about ``OUT_CHARS`` characters, so beside the text a task holds one open chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("doc_id", id_type), ("chunk_id", pa.int32()), ("sequence", pa.string())])
+        for batch in batches:
+            for doc_id, value in zip(batch.column(0), batch.column(1)):
+                sentences = _trimmed(value.as_py(), first, last) if value.is_valid else None
+                rows, size = [], 0
+                for i, chunk in enumerate(_packed(sentences, chunk_words) if sentences is not None else ()):
+                    rows.append((i, chunk))
+                    size += len(chunk)
+                    if size >= OUT_CHARS:
+                        yield made(doc_id, rows, kind)
+                        rows, size = [], 0
+                if rows:
+                    yield made(doc_id, rows, kind)
+
+    def made(doc_id: pa.Scalar, rows: list, kind: pa.Schema) -> pa.RecordBatch:
+        ids = pa.array([doc_id.as_py()] * len(rows), id_type)
+        return pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], schema=kind)
+
+    id_kind = docs.schema["doc_id"].dataType
+    id_type = to_arrow_type(id_kind)
+    return docs.select("doc_id", F.col(text).alias("t")).mapInArrow(run, f"doc_id {id_kind.simpleString()}, chunk_id int, sequence string")
 
 
 def chunk_corpus(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,

@@ -100,3 +100,26 @@ def test_results_independent_of_partitioning(spark):
     a = sorted(ch.chunk_corpus(docs, prof, 50).collect())
     b = sorted(ch.chunk_corpus(docs.repartition(7), prof, 50).collect())
     assert a == b and len(a) > 0
+
+
+def test_streaming_packer_equals_the_native_one(spark):
+    import random
+
+    r = random.Random(2)
+    pieces = ["Mr. Smith went.", "1. 5 is it?", "U.S. economy rose.", "a  b\tc", "Is it?", "x" * 30, "é b.", "\x1cq\x1d.", "no end", "9.", "Yes. No.", "　w."]
+    texts = [None, "", " ", ".", "? ", "A. ", "\n"] + ["".join(r.choice(pieces) + r.choice([" ", "\n", "  ", " ", "\x85"]) for _ in range(r.randint(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for first, last in ((None, None), (2, None), (None, 2), (2, 3), (0, 0), (50, 1)):
+        native = ch.pack_chunks(df, 7, first, last).collect()
+        assert sorted(native) == sorted(ch.pack_long_documents(df, 7, first, last).collect())
+        assert sorted(native) == sorted(ch.pack_chunks(df, 7, first, last, long_text=40).collect())
+
+
+def test_a_document_of_100_megabytes(spark):
+    sentence = "The quick brown fox jumps over the lazy dog again today."
+    n = 100 * 1024 * 1024 // (len(sentence) + 1) + 1
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit(sentence), n), " ").alias("text"))
+    got = ch.pack_chunks(df, 200, 50, 25).agg(F.count("*").alias("n"), F.max("chunk_id").alias("last"), F.sum(F.length("sequence")).alias("c")).first()
+    kept, per = n - 75, 200 // 11
+    chunks = -(-kept // per)
+    assert (got.n, got.last) == (chunks, chunks - 1) and got.c == kept * len(sentence) + kept - chunks
