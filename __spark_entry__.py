@@ -643,40 +643,61 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def q_stream_chunk(spark, sf):
-    from scriptorium.streaming.chunk_stream import start_chunk_stream
-
-    raw = si.table(spark, sf, "documents")
-    inbox, out, ck = _scratch(spark, "inbox"), _scratch(spark, "stream-chunks"), _scratch(spark, "stream-chunks-ckpt")
-    # Documents arrive as successive files (doc-id ranges covering the whole table).
+def _document_files(spark, sf, columns="*"):
+    """Documents as successive files (doc-id ranges covering the whole table): (folder, schema)."""
+    raw = si.table(spark, sf, "documents").selectExpr(columns, "timestamp_seconds(doc_id) AS seen_at")
+    inbox = _scratch(spark, "inbox")
     last = raw.agg(F.max("doc_id")).first()[0] or 0
     width = max(1, -(-(last + 1) // 4))
     for lo in range(0, last + 1, width):
         raw.where((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + width)).write.mode("append").parquet(inbox)
-    q = start_chunk_stream(spark, inbox, raw.schema, out, ck, prepare=si.documents_in_from,
-                           profiles=SMALL_PROFILES, chunk_words=SMALL_WORDS, max_files_per_trigger=1)
+    return inbox, raw.schema
+
+
+def _prepared(raw):
+    return si.documents_in_from(raw)
+
+
+def _prepared_with_time(raw):
+    src = si.source_of()
+    return raw.select("doc_id", src.alias("source"), F.when(src == "current", si.exhibit_of()).alias("doc_type"), "text", "seen_at")
+
+
+def _streamed_chunks(spark, sf, prepare, distinct=None):
+    from scriptorium.streaming.chunk_stream import start_chunk_stream
+
+    inbox, schema = _document_files(spark, sf)
+    out, ck = _scratch(spark, "stream-chunks"), _scratch(spark, "stream-chunks-ckpt")
+    q = start_chunk_stream(spark, inbox, schema, out, ck, prepare=prepare, profiles=SMALL_PROFILES,
+                           chunk_words=SMALL_WORDS, max_files_per_trigger=1, distinct=distinct)
     q.awaitTermination()
     return spark.read.parquet(out).select("source", "doc_id", "chunk_id", "sequence")
 
 
+def q_stream_chunk(spark, sf):
+    return _streamed_chunks(spark, sf, _prepared)
+
+
+def q_stream_chunk_distinct(spark, sf):
+    from scriptorium.streaming.chunk_stream import Distinct
+
+    # Copies lie anywhere in the table, so texts are remembered over all of it.
+    return _streamed_chunks(spark, sf, _prepared_with_time, Distinct("seen_at", "1 second", 10**9))
+
+
 def q_stream_early_stopping(spark, sf):
-    from scriptorium.streaming.early_stop_stream import stream_early_stopping
+    from scriptorium.streaming.early_stop_stream import latest_status, start_early_stopping
 
     src, out, ck = _scratch(spark, "metrics"), _scratch(spark, "stops"), _scratch(spark, "stops-ckpt")
-    m = _metrics(spark, sf).select("run_id", "step", "loss")
-    # Metrics arrive over time in step order: write successive step ranges as
-    # successive files, so each micro-batch continues every run's history.
-    last = m.agg(F.max("step")).first()[0] or 0
-    width = max(1, -(-last // 4))
-    for lo in range(1, last + 1, width):
-        m.where((F.col("step") >= lo) & (F.col("step") < lo + width)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_early_stopping(stream, "loss", patience=3, delta=0.0, mode="min").writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    m = _metrics(spark, sf).select("run_id", "step", "loss", "ts")
+    # Metrics arrive in no order: every run's steps are dealt to four writes by a hash.
+    for k in range(4):
+        m.where(F.pmod(F.xxhash64("run_id", "step"), F.lit(4)) == k).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    q = start_early_stopping(stream, out, ck, metric="loss", patience=3, delta=0.0, mode="min", delay="3650 days")
     q.awaitTermination()
-    res = spark.read.parquet(out)
-    return res.groupBy("run_id").agg(F.max_by(F.struct("best_step", "best_value", "stop_step"), "last_step").alias("r")) \
-        .select("run_id", "r.best_step", F.round("r.best_value", 6).alias("best_value"), "r.stop_step")
+    return latest_status(spark.read.parquet(out)).select(
+        "run_id", "best_step", F.round("best_value", 6).alias("best_value"), "stop_step")
 
 
 def q_write_chunks(spark, sf):
@@ -799,6 +820,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cv_search": q_cv_search,
         "final_evaluation": q_final_evaluation,
         "stream_chunk": q_stream_chunk,
+        "stream_chunk_distinct": q_stream_chunk_distinct,
         "stream_early_stopping": q_stream_early_stopping,
         "write_chunks": q_write_chunks,
         "build_corpus": q_build_corpus,
@@ -1452,6 +1474,7 @@ def _own_oracle_sql() -> dict[str, str]:
         **_oracle_batch4(),
         # The streams and the sink give the batch answers, so they share the batch oracles.
         "stream_chunk": s_chunk_corpus_stream(),
+        "stream_chunk_distinct": s_small_corpus(),
         "stream_early_stopping": f"""WITH RECURSIVE {METRICS}, {s_early('loss', 3, 0.0, 'min')}
 SELECT run_id, best_step, round(best_value, 6) AS best_value, stop_step FROM stops""",
         "write_chunks": s_small_corpus(),

@@ -16,7 +16,7 @@ with ``slice`` + ``array_join`` afterwards, so no string is copied per step.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -132,23 +132,24 @@ OTHER_SOURCE = ChunkProfile(None, None, None)
 
 def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None = None,
                     max_doc_share: float = DEFAULT_MAX_DOC_SHARE,
-                    exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool = True,
+                    exhibits=CURRENT_FILING_EXHIBITS, distinct_calls: bool | Callable[[DataFrame], DataFrame] = True,
                     partitions: int | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """Per-source fetch + clean (S1-S2, F1-F4, X7-X9) -> ``source, doc_id, text``.
 
     ``limit`` and ``offset`` page every source's scan by ``doc_id`` before its filters (transcripts: after
     the distinct scan, as ``SELECT DISTINCT .. LIMIT`` does).
+    ``distinct_calls`` may be a function: the distinct scan to use (a stream's has state).
     Documents of a source without a profile are kept as they are (``OTHER_SOURCE``).
 
     Rows removed by a source filter (F1, F2, F3, distinct) are not documents of the
     job; NULL texts stay and are counted as excluded later (F8)."""
     profiles = profiles or DEFAULT_PROFILES
-    docs = docs.select("doc_id", "source", "doc_type", "text")
+    wanted = ["doc_id", "source", "doc_type", "text"]
     src, text = F.col("source"), F.col("text")
 
     # Every source but transcripts: one projection (transcripts are redistributed by
     # their distinct aggregation).
-    rest = spread(page_by_source(docs.where(~src.eqNullSafe("calls")), limit, offset), partitions).where(
+    rest = spread(page_by_source(docs.select(*wanted).where(~src.eqNullSafe("calls")), limit, offset), partitions).where(
         ~src.eqNullSafe("current")
         | (F.col("doc_type").isin(list(exhibits))
            & (text.isNull() | (digit_punct_fraction(text, empty=0.0) <= max_doc_share)))
@@ -158,7 +159,11 @@ def clean_documents(docs: DataFrame, profiles: dict[str, ChunkProfile] | None =
                .otherwise(text))
     rest = rest.select("source", "doc_id", cleaned.alias("text"))
     calls = docs.where(src == "calls")
-    calls = page_by_source(scan_distinct(calls) if distinct_calls else calls, limit, offset)
+    if callable(distinct_calls):
+        calls = distinct_calls(calls)
+    elif distinct_calls:
+        calls = scan_distinct(calls.select(*wanted))
+    calls = page_by_source(calls.select(*wanted), limit, offset)
     lines = F.split(text, "\n", -1)
     calls = calls.where(text.isNull() | (F.size(lines) >= 5)).select(
         "source", "doc_id", F.array_join(strip_speaker_prefixes(lines), " ").alias("text"))

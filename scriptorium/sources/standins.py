@@ -26,6 +26,12 @@ def source_of(raw_source: str = "source") -> F.Column:
     return F.element_at(F.array(*[F.lit(s) for s in SOURCE_NAMES]), idx + 1)
 
 
+def exhibit_of() -> F.Column:
+    """Exhibit types cycled by ``doc_id``."""
+    types = F.array(*[F.lit(e) for e in STANDIN_EXHIBITS])
+    return F.element_at(types, (F.col("doc_id") % len(STANDIN_EXHIBITS)).cast("int") + 1)
+
+
 def documents_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> ``doc_id, source, doc_type, text``."""
     return documents_in_from(table(spark, sf_dir, "documents"))
@@ -33,13 +39,11 @@ def documents_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_in_from(docs: DataFrame) -> DataFrame:
     """The same mapping on any (batch or streaming) frame of the ``documents`` schema."""
-    exhibit = F.element_at(F.array(*[F.lit(e) for e in STANDIN_EXHIBITS]),
-                           (F.col("doc_id") % len(STANDIN_EXHIBITS)).cast("int") + 1)
     src = source_of()
     return docs.select(
         "doc_id",
         src.alias("source"),
-        F.when(src == "current", exhibit).alias("doc_type"),
+        F.when(src == "current", exhibit_of()).alias("doc_type"),
         "text",
     )
 
@@ -78,6 +82,7 @@ def run_metrics_in(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("loss"),
         (F.lit(1.0) / (F.lit(1.0) + F.col("value"))).alias("accuracy"),
         F.col("event_type").alias("tag"),
+        F.col("ts"),
     )
 
 

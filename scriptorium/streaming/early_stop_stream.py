@@ -1,11 +1,15 @@
 """ST2: early stopping over a live metrics stream, keyed by run.
 
-``applyInPandasWithState`` keeps a constant-size state per run (best score,
-best step/value, counter, stop step, last step seen), so memory grows with the
-number of runs, not with the length of their histories. Rows of a micro-batch
-are folded in step order; a row whose step is not after the last step seen is
-ignored (late duplicates). Each trigger appends one status row per updated run;
-the latest row per run (largest ``last_step``) equals the batch operator W7.
+``start_early_stopping`` takes rows in any order. Its state per run (``transformWithState``) is the fold over
+all steps that the watermark has passed, a few numbers, and a map of the steps that may still get a
+predecessor. An event-time timer per row folds it once the watermark is past it, so the map holds no more than the
+watermark's delay. Every trigger gives one status row per run with new rows: the fold carried on over the map in step order, so
+the last status of a run (largest ``n_rows``) equals the batch operator W7 over the rows that arrived. Rows behind the
+watermark are dropped and counted by Spark (``numRowsDroppedByWatermark`` of the query's progress); a step
+that comes when a later one has been folded is counted in ``n_dropped``.
+
+``stream_early_stopping`` is the form for streams without event time whose steps arrive in order:
+``applyInPandasWithState`` with the fold alone; a row whose step is not after the last step seen is ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT_SCHEMA = ("run_id string, best_step long, best_value double, stop_step long, last_step long")
@@ -63,3 +69,93 @@ def stream_early_stopping(stream: DataFrame, metric: str = "loss", patience: int
 
     return (stream.select(run, "step", metric).groupBy(run)
             .applyInPandasWithState(update, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+
+
+# ---------------------------------------------------------------------------
+# Rows in any order
+# ---------------------------------------------------------------------------
+STATUS_SCHEMA = "run_id string, best_step long, best_value double, stop_step long, last_step long, n_rows long, n_dropped long"
+FOLD_SCHEMA = STATE_SCHEMA + ", n_rows long, n_dropped long"
+FOLD_FIELDS = ("best", "best_step", "best_value", "counter", "stop_step", "last_step", "n_rows", "n_dropped")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StopProcessor(StatefulProcessor):
+    """A run's fold over its final steps, and a map step -> (value, event time in ms) of the others."""
+
+    def __init__(self, patience: int, delta: float, mode: str):
+        self.rule = (patience, delta, mode)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", FOLD_SCHEMA)
+        self.pending = handle.getMapState("pending", "step long", "value double, at long")
+
+    def _fold_of(self) -> dict:
+        if self.folded.exists():
+            return dict(zip(FOLD_FIELDS, self.folded.get()))
+        return dict.fromkeys(FOLD_FIELDS) | {"counter": 0, "n_rows": 0, "n_dropped": 0}
+
+    def _over(self, st: dict, rows: list[tuple[int, float]]) -> dict:
+        frame = pd.DataFrame(sorted(rows), columns=["step", "value"])
+        return _fold(frame, dict(st), "value", *self.rule)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        st = self._fold_of()
+        for part in rows:
+            for step, value, at in zip(part["step"].tolist(), part["value"].tolist(), part["at"].tolist()):
+                if st["last_step"] is not None and step <= st["last_step"]:
+                    st["n_dropped"] += 1
+                    continue
+                st["n_rows"] += 1
+                self.pending.updateValue((int(step),), (float(value), int(at)))
+                self.handle.registerTimer(int(at))
+        self.folded.update(tuple(st[f] for f in FOLD_FIELDS))
+        now = self._over(st, [(k[0], v[0]) for k, v in self.pending.iterator()])
+        yield pd.DataFrame({"run_id": pd.array([key[0]], dtype="string"), "best_value": pd.array([now["best_value"]], dtype="Float64"),
+                            **{c: pd.array([now[c]], dtype="Int64") for c in ("best_step", "stop_step", "last_step", "n_rows", "n_dropped")}})[
+            ["run_id", "best_step", "best_value", "stop_step", "last_step", "n_rows", "n_dropped"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed a row: it and all rows before it are final."""
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        final = [(k[0], v[0]) for k, v in self.pending.iterator() if v[1] <= until]
+        if final:
+            st = self._over(self._fold_of(), final)
+            self.folded.update(tuple(st[f] for f in FOLD_FIELDS))
+            for step, _ in final:
+                self.pending.removeKey((step,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def early_stopping_statuses(stream: DataFrame, metric: str = "loss", patience: int = 5, delta: float = 0.0, mode: str = "min",
+                            run: str = "run_id", event_time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """ST2 for rows in any order (``run_id, step, <metric>, <event time>``; time must not fall while steps
+    rise); output mode append. The session needs the RocksDB state store (``start_early_stopping`` sets it)."""
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+    rows = timed.select(
+        F.col(run).cast("string").alias("run_id"), F.col("step").cast("long").alias("step"), F.col(metric).cast("double").alias("value"),
+        (F.unix_micros(F.col(event_time)) / 1000).cast("long").alias("at"), F.col(event_time).alias("_time"))
+    return rows.groupBy("run_id").transformWithStateInPandas(
+        StopProcessor(patience, delta, mode), outputStructType=STATUS_SCHEMA, outputMode="append", timeMode="eventTime")
+
+
+def start_early_stopping(stream: DataFrame, output_dir: str, checkpoint_dir: str, **rule) -> StreamingQuery:
+    """Start ``early_stopping_statuses`` into Parquet files, with the state store that it needs (set for this query only)."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        return (early_stopping_statuses(stream, **rule).writeStream.format("parquet").outputMode("append").option("path", output_dir)
+                .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(name, before)
+
+
+def latest_status(statuses: DataFrame) -> DataFrame:
+    """The last status of every run."""
+    newest = F.struct("n_rows", "n_dropped", "last_step")
+    return statuses.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in statuses.columns if c != "run_id"]), newest).alias("s")).select("run_id", "s.*")
