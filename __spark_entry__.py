@@ -318,14 +318,15 @@ def q_next_run_id(spark, sf):
 
 
 # ---- masking and token-level metrics (character-level stand-in ids, see standins.char_ids)
-MASK_LEN = 256
+# pad_truncate cuts and pads to this length; masking and its scores work on whole sequences.
+PAD_LEN = 256
 MASK_SEED = 13
 
 
 def _char_encoded(spark, sf):
     seqs = q_chunk_corpus_small(spark, sf)
     return seqs.select("source", "doc_id", "chunk_id", si.row_key("source", "doc_id", "chunk_id").alias("row_key"),
-                       si.char_ids(F.col("sequence"), MASK_LEN).alias("input_ids"))
+                       si.char_ids(F.col("sequence")).alias("input_ids"))
 
 
 def _joined(c):
@@ -504,7 +505,8 @@ def q_cv_mean(spark, sf):
 VOCAB_SIZE = 50_000
 SMALL_VOCAB = 300
 ENCODE_LEN = 256
-DOC_SEQS = 20
+# The reference's number of sequences per document.
+DOC_SEQS = 32
 DOC_SEQ_LEN = 256
 
 
@@ -566,7 +568,7 @@ def q_encode_sequences_full(spark, sf):
 
 def q_pad_truncate(spark, sf):
     seqs = q_chunk_corpus_small(spark, sf)
-    return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), MASK_LEN), ",").alias("ids"))
+    return seqs.select("source", "doc_id", "chunk_id", F.array_join(si.char_ids(F.col("sequence"), PAD_LEN), ",").alias("ids"))
 
 
 def q_pad_documents(spark, sf):
@@ -580,7 +582,7 @@ def q_pad_documents(spark, sf):
 
 
 # ---- Spark ML probes and attention
-POOL_SEQS = 8
+POOL_SEQS = 32
 EMB_DIM = 64
 
 
@@ -1135,7 +1137,7 @@ def s_enc() -> str:
     return f"""seqs AS ({s_small_corpus()}),
 enc AS (
   SELECT source, doc_id, chunk_id, concat_ws(':', source, doc_id, chunk_id) AS k,
-         list_resize(list_concat([1], list_slice({ids}, 1, {MASK_LEN - 2}), [2]), {MASK_LEN}, 0) AS ids
+         list_concat([1], {ids}, [2]) AS ids
   FROM seqs),
 pos AS (SELECT source, doc_id, chunk_id, k, unnest(ids) AS x, unnest(range(0, len(ids))) AS i FROM enc),
 hp AS (SELECT *, CASE WHEN x NOT IN (0, 1, 2, 3) THEN md5(concat_ws(':', '{MASK_SEED}', k, i)) END AS h FROM pos)"""
@@ -1410,7 +1412,7 @@ kw AS (SELECT doc_id, k, sum(a) AS weight, any_value(x) AS x FROM w2 GROUP BY do
 SELECT word, freq, coalesce(token_id, {vocab.UNK_ID})::INTEGER AS token_id FROM wf LEFT JOIN voc ON token = word""",
         **dict.fromkeys(("encode_sequences", "encode_sequences_join"), s_encoded()),
         "pad_truncate": f"""WITH seqs AS ({s_small_corpus()})
-SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', MASK_LEN)}, ',') AS ids FROM seqs""",
+SELECT source, doc_id, chunk_id, array_to_string({s_charids('sequence', PAD_LEN)}, ',') AS ids FROM seqs""",
         "pad_documents": f"""WITH {LAB},
 s AS ({s_explode(s_simple_split('text'), 'lab', idx='seq_idx')}),
 e AS (SELECT doc_id, seq_idx, {s_charids('sentence', DOC_SEQ_LEN)} AS ids FROM s WHERE seq_idx < {DOC_SEQS}),

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -194,42 +196,38 @@ def attention_pool(seq_vectors: DataFrame, max_sequences: int, dim: int, doc: st
     slots are zero vectors) attends over the *real* keys with softmax of
     ``q.k / sqrt(dim)``; the document vector is the mean over *all* slots.
 
-    Per document the group holds at most ``max_sequences`` vectors, so the
-    attention runs as array math inside one row (no pair rows). Returns
+    Per document the group holds at most ``max_sequences`` vectors, so the attention is one small
+    matrix product per row, made in numpy a batch of documents at a time (no pair rows; nested array
+    functions would evaluate the softmax sums anew for every element). Returns
     ``doc_id, n_sequences, key_weights`` (column sums of the attention matrix,
     used by W6) and ``doc_vector``."""
     kept = seq_vectors.where(F.col(idx) < max_sequences) \
         .select(doc, idx, F.transform(vec, lambda x: x.cast("double")).alias("_x"))
     g = kept.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col("_x").alias("x"))))
                               .alias("_s"))
-    g = g.select(doc, F.transform("_s", lambda e: e["x"]).alias("_v"))
-    scale = 1.0 / math.sqrt(dim)
-    zero = F.array_repeat(F.lit(0.0), dim)
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-
-    def attn_row(q):
-        s = F.transform(F.col("_v"), lambda k: dot(q, k) * scale)
-        m = F.array_max(s)
-        e = F.transform(s, lambda t: F.exp(t - m))
-        z = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(e, lambda t: t / z)
-
-    # Heavy arrays are only ever passed as the *argument* of a higher-order
-    # function (evaluated once per row); a column referenced inside a lambda body
-    # could be inlined by the optimizer and re-evaluated per element.
-    slots = F.transform(F.sequence(F.lit(0), F.lit(max_sequences - 1)),
-                        lambda qi: F.when(qi < F.size(F.col("_v")), F.col("_v")[qi]).otherwise(zero))
-    attn = F.transform(slots, attn_row)
-    n = F.size(F.col("_v"))
-    zeros_n = F.array_repeat(F.lit(0.0), n)
-    colsum = F.aggregate(attn, zeros_n, lambda acc, row: F.zip_with(acc, row, lambda a, b: a + b))
-    staged = g.withColumn("key_weights", colsum)
-    weighted = F.zip_with(F.col("key_weights"), F.col("_v"), lambda w, x: F.transform(x, lambda t: t * w))
-    docvec = F.transform(F.aggregate(weighted, zero, lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b)),
-                         lambda t: t / max_sequences)
-    return staged.select(doc, n.alias("n_sequences"), "key_weights", docvec.alias("doc_vector"))
+    g = g.select(doc, F.size("_s").alias("n_sequences"), F.flatten(F.transform("_s", lambda e: e["x"])).alias("_v"))
+    pooled = g.withColumn("_p", _attention(max_sequences, dim)(F.col("_v")))
+    return pooled.select(doc, "n_sequences", F.col("_p.key_weights").alias("key_weights"), F.col("_p.doc_vector").alias("doc_vector"))
+
+
+def _attention(max_sequences: int, dim: int):
+    """UDF: the joined key vectors of a document -> struct(key_weights, doc_vector)."""
+
+    @F.arrow_udf("struct<key_weights: array<double>, doc_vector: array<double>>")
+    def attend(vectors: pa.Array) -> pa.Array:
+        out = []
+        for v in vectors:
+            keys = v.values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+            queries = np.zeros((max_sequences, dim))
+            queries[: len(keys)] = keys  # padded slots are zero vectors
+            scores = queries @ keys.T / math.sqrt(dim)
+            e = np.exp(scores - scores.max(axis=1, keepdims=True))
+            weights = (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+            out.append({"key_weights": weights, "doc_vector": weights @ keys / max_sequences})
+        kind = pa.list_(pa.float64())
+        return pa.array(out, pa.struct([("key_weights", kind), ("doc_vector", kind)]))
+
+    return attend
 
 
 def rank_sentences(pooled: DataFrame, sentences: DataFrame, doc: str = "doc_id", idx: str = "seq_idx") -> DataFrame:

@@ -101,14 +101,14 @@ CHAR_BUCKETS = 27
 CHAR_VOCAB = CHAR_BUCKETS + 5
 
 
-def char_ids(text, max_length: int):
-    """Stand-in encoder: code point of each character -> ``code % 27 + 5``,
-    wrapped as ``[seq] ids [/seq]``, truncated and padded to ``max_length``."""
-    from ..functions.arrays import pad_truncate
+def char_ids(text, max_length: int | None = None):
+    """Stand-in encoder: code point of each character -> ``code % 27 + 5``, wrapped as
+    ``[seq] ids [/seq]``; whole, or truncated and padded to ``max_length``."""
+    from ..functions.arrays import pad_truncate, with_template
 
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     ids = F.transform(chars, lambda c: (F.ascii(c) % CHAR_BUCKETS) + 5)
-    return pad_truncate(ids, max_length)
+    return with_template(ids) if max_length is None else pad_truncate(ids, max_length)
 
 
 def row_key(*cols):
