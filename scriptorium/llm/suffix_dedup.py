@@ -89,7 +89,7 @@ def _list_segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     [pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[lo:hi][d]), pa.array(start << 16 | count)],
                     names=["anchor", "seg", "text", "pos"])
 
-    return texts.select("text", "t").mapInArrow(run, "anchor bigint, seg bigint, text bigint, pos bigint")
+    return texts.select("text", "t", "copies").mapInArrow(run, "anchor bigint, seg bigint, text bigint, pos bigint")
 
 
 def _cut_segments(rows: DataFrame, length: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _cut_segments(rows: DataFrame, length: int) -> DataFrame:
             if out:
                 yield made()
 
-    return rows.select("t", "wanted").mapInArrow(run, "anchor bigint, seg bigint, again boolean, split boolean, bytes binary")
+    return rows.select("t", "wanted", "copies").mapInArrow(run, "anchor bigint, seg bigint, again boolean, split boolean, bytes binary")
 
 
 def _shard_repeats(segs: DataFrame, length: int, parts: int) -> DataFrame:
@@ -220,10 +220,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     input. A text that two rows hold is removed whole when it has ``length`` bytes; shorter texts stay.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    # The only shuffle of whole texts; the three uses below share it.
+    # The only shuffle of whole texts. The three uses below share it because all of them take all its columns: one
+    # without ``copies`` would be another aggregate with a shuffle of its own.
     texts = docs.select(text_key(text).alias("text"), whole_text(text).cast("binary").alias("t")).groupBy("text").agg(
         F.max("t").alias("t"), F.count(F.lit(1)).alias("copies"))
-    listed = _list_segments(texts, length, gram)
+    # (The filter, true of all rows, is the one that the last join would add to its side alone: with it both uses are one.)
+    listed = _list_segments(texts, length, gram).where("anchor is not null and seg is not null and text is not null")
     # Anchors that occur once leave first, so only the others' segments are dealt again.
     several = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = listed.join(several.select("anchor"), "anchor", "left_semi")
