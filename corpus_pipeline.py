@@ -23,7 +23,7 @@ from scriptorium.session import ensure_checkpoint_dir
 
 # Passages of over 50 words that documents share go, short words included: 51 words and their spaces have 238 bytes or
 # more in 99 of 100 places of the test texts. Operator 10's own length, 400 bytes, is that of its contract.
-PASSAGE_BYTES = 200
+PASSAGE_BYTES, GRAM_BYTES = 200, 32
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,7 +67,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the bytes that operator 10 removes for strings of PASSAGE_BYTES (null texts stay null)."""
-    kept = remove_repeats(docs, length=PASSAGE_BYTES).select(F.col("text").alias("__key"), "kept_text")
+    kept = remove_repeats(docs, length=PASSAGE_BYTES, gram=GRAM_BYTES).select(F.col("text").alias("__key"), "kept_text")
     # The rows travel without their text: what is kept of it comes back whole.
     rows = docs.withColumn("__key", text_key()).withColumn("__null", F.col("text").isNull()).drop("text")
     joined = rows.join(kept, "__key").withColumn("text", F.when(~F.col("__null"), F.col("kept_text")))
