@@ -629,6 +629,15 @@ def q_cv_search(spark, sf):
     return models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
 
 
+def q_cv_epochs(spark, sf):
+    """Cross-validated training epoch by epoch with early stopping, over a stored metric table."""
+    sh = od.shuffle_labelled(_labelled(spark, sf), 42)
+    trials = spark.createDataFrame([(0, 0.03)], "trial_id long, step_size double")
+    path = _scratch(spark, "cv-metrics")
+    models.cv_epochs(sh, trials, k=3, n_epochs=4, patience=2, steps_per_epoch=3).write.parquet(path)
+    return models.selected_cv_scores(spark.read.parquet(path), patience=2)
+
+
 def q_final_evaluation(spark, sf):
     train, test = _cv_parts(spark, sf)
     res = models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
@@ -820,6 +829,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "linear_separability": q_linear_separability,
         "svm_separability": q_svm_separability,
         "cv_search": q_cv_search,
+        "cv_epochs": q_cv_epochs,
         "final_evaluation": q_final_evaluation,
         "stream_chunk": q_stream_chunk,
         "stream_chunk_distinct": q_stream_chunk_distinct,

@@ -10,14 +10,15 @@ search, and how separable are these embeddings" -- is answered with
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,6 +161,76 @@ def final_evaluation(train: DataFrame, test: DataFrame, best: dict, num_classes:
     return train.sparkSession.createDataFrame(rows, scores.schema)
 
 
+# ---------------------------------------------------------------------------
+# M1 with a score per epoch and early stopping
+# ---------------------------------------------------------------------------
+METRIC_SCHEMA = "trial_id long, fold int, run_id string, step long, loss double, score double"
+
+
+def _epochs_of_fold(folded: DataFrame, fold: int, trial: int, n_classes: int, num_features: int, n_epochs: int, patience: int,
+                    steps_per_epoch: int, step_size: float, seed: int) -> list[tuple]:
+    """Train on the other folds epoch by epoch, each from the weights of the one before; (.., epoch, validation loss, score) rows.
+
+    A layer from the features to the classes with a softmax on top is multinomial logistic regression. Training ends
+    where the early-stopping rule does (W7, no delta), so the rows are those of the epochs that were trained."""
+    train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+    weights, rows, best, waited = None, [], None, 0
+    for epoch in range(1, n_epochs + 1):
+        net = MultilayerPerceptronClassifier(layers=[num_features, n_classes], featuresCol="features", labelCol="label_d",
+                                             solver="gd", maxIter=steps_per_epoch, stepSize=step_size, tol=0.0, seed=seed)
+        if weights is not None:
+            net = net.setInitialWeights(weights)
+        model = net.fit(train)
+        weights = model.weights
+        pred = model.transform(valid).withColumn("p", vector_to_array("probability")[F.col("label_d").cast("int")])
+        pred = pred.select("p", F.col("label_d").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        one = (binary_scores(pred) if n_classes == 2 else multiclass_scores(pred)).select(
+            F.col("f1" if n_classes == 2 else "macro_f1").alias("score"))
+        loss = pred.agg(F.avg(-F.log(F.greatest("p", F.lit(1e-15))))).first()[0]
+        rows.append((trial, fold, f"{trial}:{fold}", epoch, float(loss), float(one.first()["score"])))
+        if best is None or -loss >= best:
+            best, waited = -loss, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return rows
+
+
+def cv_epochs(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int = 2, n_epochs: int = 10, patience: int = 3,
+              order: str = "row_no", num_features: int = 1 << 12, steps_per_epoch: int = 5, parallelism: int = 4, seed: int = 0) -> DataFrame:
+    """M1 as the reference trains: for every trial (``trial_id, step_size``) and contiguous fold a warm-started run of at most
+    ``n_epochs`` epochs -> the metric table ``trial_id, fold, run_id, step, loss, score`` with a row per epoch.
+
+    ``loss`` is the mean negative log probability of the validation fold, ``score`` its F1 (macro F1 for more classes).
+    Feed it to ``early_stopping`` and ``selected_epoch_score`` (``selected_cv_scores`` does). Only the rows of the
+    table, at most trials x folds x epochs, reach the driver; the fits run on Spark, folds side by side. A fold without
+    rows has no run."""
+    from .ordering import kfold
+
+    folded = kfold(train, k, [order], index=order).withColumn("label_d", F.col("label").cast("double"))
+    folded = term_frequencies(folded, num_features).select("fold", "label_d", F.col("_tf").alias("features")).persist()
+    try:
+        folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+        jobs = [(t["trial_id"], f, float(t["step_size"])) for t in trials.orderBy("trial_id").collect() for f in folds]
+        with ThreadPool(parallelism) as pool:
+            done = pool.map(lambda j: _epochs_of_fold(folded, j[1], j[0], num_classes, num_features, n_epochs, patience, steps_per_epoch, j[2], seed), jobs)
+    finally:
+        folded.unpersist()
+    return train.sparkSession.createDataFrame([row for rows in done for row in rows], METRIC_SCHEMA)
+
+
+def selected_cv_scores(metrics: DataFrame, patience: int = 3) -> DataFrame:
+    """W7 + W8 over a metric table of ``cv_epochs``: ``trial_id, fold, stop_step, selected_step, score`` of every run."""
+    from .runs import early_stopping, selected_epoch_score
+
+    stops = early_stopping(metrics, "loss", patience, 0.0, "min")
+    chosen = selected_epoch_score(metrics, stops)
+    runs = metrics.select("run_id", "trial_id", "fold").distinct()
+    return runs.join(chosen, "run_id").join(stops.select("run_id", "stop_step"), "run_id").select(
+        "trial_id", "fold", "stop_step", "selected_step", "score")
+
+
 # ---------------------------------------------------------------------------
 # M3 / M4: separability probes on frozen embeddings
 # ---------------------------------------------------------------------------
