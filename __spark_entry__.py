@@ -626,7 +626,7 @@ def _cv_parts(spark, sf):
 
 def q_cv_search(spark, sf):
     train, _ = _cv_parts(spark, sf)
-    return models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
+    return models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3, index="row_no")
 
 
 def q_cv_epochs(spark, sf):
@@ -634,13 +634,13 @@ def q_cv_epochs(spark, sf):
     sh = od.shuffle_labelled(_labelled(spark, sf), 42)
     trials = spark.createDataFrame([(0, 0.03)], "trial_id long, step_size double")
     path = _scratch(spark, "cv-metrics")
-    models.cv_epochs(sh, trials, k=3, n_epochs=4, patience=2, steps_per_epoch=3).write.parquet(path)
+    models.cv_epochs(sh, trials, k=3, n_epochs=4, patience=2, steps_per_epoch=3, index="row_no").write.parquet(path)
     return models.selected_cv_scores(spark.read.parquet(path), patience=2)
 
 
 def q_final_evaluation(spark, sf):
     train, test = _cv_parts(spark, sf)
-    res = models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3)
+    res = models.cv_search(train, models.trial_table(spark, n_trials=3, seed=3), k=3, index="row_no")
     best = runs_ops.best_trial(res, value="cv_score", direction="maximize").first().asDict()
     return models.final_evaluation(train.drop("split"), test.drop("split"), best)
 

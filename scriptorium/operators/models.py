@@ -70,6 +70,11 @@ def term_frequencies(df: DataFrame, num_features: int = 1 << 18) -> DataFrame:
     return HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(tok).drop("_tok")
 
 
+def _few_partitions(df: DataFrame) -> DataFrame:
+    """At most two partitions per core: every step of a fit sends a gradient per partition."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class MacroF1(Evaluator):
     """Unweighted mean of the classes' F1 (A6), for Spark ML's model selection."""
 
@@ -95,20 +100,22 @@ def _evaluator(num_classes: int):
 
 
 def cv_search(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int = 2, order: str = "row_no",
-              parallelism: int = 4, seed: int = 0, estimator=None, num_features: int = 1 << 18) -> DataFrame:
+              parallelism: int = 4, seed: int = 0, estimator=None, num_features: int = 1 << 18,
+              index: str | None = None) -> DataFrame:
     """M1: every trial's parameters are scored by k-fold cross-validation with
     contiguous folds in ``order`` (W4) -> ``trial_id, cv_score`` plus the
     parameters. Folds and trials train in parallel (``parallelism``). The trial
     list (bounded by ``n_trials``) is the only thing collected. ``num_classes`` picks
     the score (2: F1 of class 1, more: macro F1, 0: R^2 of a regressor); ``estimator``
-    is any Spark ML one on ``features`` and ``label_d`` whose parameters the trials name."""
+    is any Spark ML one on ``features`` and ``label_d`` whose parameters the trials name; ``index``
+    a dense row number from 0, where the rows have one (see ``kfold``)."""
     from .ordering import kfold
 
-    folded = kfold(train, k, [order]).withColumn("label_d", F.col("label").cast("double"))
+    folded = kfold(train, k, [order], index=index).withColumn("label_d", F.col("label").cast("double"))
     # The k x trials fits all read this frame: persist it (spills to disk) so the
     # folds, shuffles and tokenisation run once; IDF stays inside the fitted
     # pipeline so every fold learns it from its own training rows only.
-    folded = term_frequencies(folded, num_features).select("fold", "label_d", "_tf").persist()
+    folded = _few_partitions(term_frequencies(folded, num_features).select("fold", "label_d", "_tf")).persist()
     rows = trials.orderBy("trial_id").collect()
     names = [c for c in trials.columns if c != "trial_id"]
     lr = estimator if estimator is not None else LogisticRegression(featuresCol="features", labelCol="label_d")
@@ -198,18 +205,19 @@ def _epochs_of_fold(folded: DataFrame, fold: int, trial: int, n_classes: int, nu
 
 
 def cv_epochs(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int = 2, n_epochs: int = 10, patience: int = 3,
-              order: str = "row_no", num_features: int = 1 << 12, steps_per_epoch: int = 5, parallelism: int = 4, seed: int = 0) -> DataFrame:
+              order: str = "row_no", num_features: int = 1 << 12, steps_per_epoch: int = 5, parallelism: int = 4, seed: int = 0,
+              index: str | None = None) -> DataFrame:
     """M1 as the reference trains: for every trial (``trial_id, step_size``) and contiguous fold a warm-started run of at most
     ``n_epochs`` epochs -> the metric table ``trial_id, fold, run_id, step, loss, score`` with a row per epoch.
 
     ``loss`` is the mean negative log probability of the validation fold, ``score`` its F1 (macro F1 for more classes).
     Feed it to ``early_stopping`` and ``selected_epoch_score`` (``selected_cv_scores`` does). Only the rows of the
     table, at most trials x folds x epochs, reach the driver; the fits run on Spark, folds side by side. A fold without
-    rows has no run."""
+    rows has no run. ``index``: a dense row number from 0, where the rows have one (see ``kfold``)."""
     from .ordering import kfold
 
-    folded = kfold(train, k, [order], index=order).withColumn("label_d", F.col("label").cast("double"))
-    folded = term_frequencies(folded, num_features).select("fold", "label_d", F.col("_tf").alias("features")).persist()
+    folded = kfold(train, k, [order], index=index).withColumn("label_d", F.col("label").cast("double"))
+    folded = _few_partitions(term_frequencies(folded, num_features).select("fold", "label_d", F.col("_tf").alias("features"))).persist()
     try:
         folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
         jobs = [(t["trial_id"], f, float(t["step_size"])) for t in trials.orderBy("trial_id").collect() for f in folds]
