@@ -171,6 +171,8 @@ class PieceLattice:
         run -= np.repeat(np.concatenate([[0.0], run[tail[:-1]]]), np.diff(np.concatenate([[-1], tail])))
         run[tail] = 1.0
         keys = target + np.minimum(run, 1.0)
+        into = np.bincount(target, minlength=len(total))
+        opens = np.cumsum(into) - into
 
         text_of = np.repeat(np.arange(len(texts)), per_text)
         nth = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -181,8 +183,12 @@ class PieceLattice:
         while len(active):
             noise = mix(noise, 5)
             u = (noise >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            # the share of an edge ends at its key: the first key above node + u
-            edge = np.searchsorted(keys, node + u, side="right")
+            # the share of an edge ends at its key: the first key of the node's own above node + u
+            edge, aim = opens[node], node + u
+            below = np.flatnonzero(keys[edge] <= aim)
+            while len(below):
+                edge[below] += 1
+                below = below[keys[edge[below]] <= aim[below]]
             steps.append((active, edge))
             node = source[edge]
             on = node != stop
