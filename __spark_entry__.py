@@ -212,6 +212,11 @@ def q_write_corpus_page(spark, sf):
     return spark.read.parquet(path).select("source", "doc_id", "chunk_id", "sequence")
 
 
+def q_corpus_union_sources(spark, sf):
+    docs = _docs(spark, sf)
+    return srcdocs.corpus_union({name: docs.where(F.col("source") == name) for name in si.SOURCE_NAMES})
+
+
 def q_scan_page_deep(spark, sf):
     return srcdocs.scan_page(_docs(spark, sf), None, 250).select("doc_id", "source", "doc_type")
 
@@ -749,6 +754,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "count_documents": q_count_documents,
         "scan_page": q_scan_page,
         "corpus_union": q_corpus_union,
+        "corpus_union_sources": q_corpus_union_sources,
         "preview_sources": q_preview_sources,
         "count_sequences": q_count_sequences,
         "filter_doc_type": q_filter_doc_type,
@@ -1049,6 +1055,8 @@ def _oracle_batch2() -> dict[str, str]:
     packed_23 = f"""WITH RECURSIVE {DOCS_IN}, {s_packed('docs_in', SMALL_WORDS, a='2', b='3')}"""
     return {
         "scan_page": d + "SELECT doc_id, source, doc_type, text FROM docs_in ORDER BY doc_id LIMIT 300 OFFSET 100",
+        "corpus_union_sources": d + "SELECT doc_id, source, CASE WHEN source IN ('news', 'reports') "
+                                    "THEN replace(text, chr(10), ' ') ELSE text END AS text FROM docs_in WHERE text IS NOT NULL",
         "corpus_union": d + "SELECT doc_id, source, CASE WHEN source IN ('news', 'reports') "
                             "THEN replace(text, chr(10), ' ') ELSE text END AS text FROM docs_in WHERE text IS NOT NULL",
         "preview_sources": d + "SELECT source, doc_id, row_no FROM (SELECT source, doc_id, row_number() OVER "
