@@ -27,6 +27,7 @@ from ..functions.random import hash_uniform
 
 # Offset rows (sources x blocks) that are sent to all tasks.
 MAX_OFFSETS = 1_000_000
+STRIPE_ROWS = 250_000
 
 
 def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
@@ -144,7 +145,8 @@ def shuffle_into_stripes(seqs: DataFrame, seed: int = 0, key: tuple = ("doc_id",
     numbering window and the write find the rows where they lie, in order. The blocks' offsets come from a pass
     over the keys alone."""
     nb = _num_blocks(seqs, None)
-    n = min(nb, stripes or max(1, nb // 4))
+    # Files of some STRIPE_ROWS rows, and work for half of the cores at least.
+    n = min(nb, stripes or max(seqs.sparkSession.sparkContext.defaultParallelism // 2, -(-seqs.count() // STRIPE_ROWS), 1))
     u = hash_uniform(seed, *[F.col(k) for k in key])
 
     def blocked(df: DataFrame) -> DataFrame:
