@@ -50,6 +50,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op5_near_dedup": oracles.OP5,
         "op11_resampling": oracles.OP11,
         "op12_merkle": oracles.OP12,
         "op13_decontamination": oracles.OP13,
