@@ -35,7 +35,7 @@ ZIPF_SHIFT = 2.7
 # Log probability of one byte of a character that no piece spells.
 BYTE_LOG = -12.0
 UNIT = re.compile(r" *[^ \n]+|\n| +")
-RUN_BYTES = 2 << 20
+RUN_BYTES = 3 << 19
 
 
 def default_model() -> str:
@@ -171,8 +171,9 @@ class PieceLattice:
         run -= np.repeat(np.concatenate([[0.0], run[tail[:-1]]]), np.diff(np.concatenate([[-1], tail])))
         run[tail] = 1.0
         keys = target + np.minimum(run, 1.0)
-        into = np.bincount(target, minlength=len(total))
-        opens = np.cumsum(into) - into
+        opens = np.bincount(target, minlength=len(total))
+        opens = np.cumsum(opens) - opens
+        del run, share, offset, by_offset, total
 
         text_of = np.repeat(np.arange(len(texts)), per_text)
         nth = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -223,14 +224,16 @@ class PieceLattice:
 
 
 def encode_sampled(df: DataFrame, key: str, text: str = "text", to: str = "piece_ids", model: str | None = None,
-                   alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+                   alpha: float = ALPHA, seed: int = SEED, keep_text: bool = True) -> DataFrame:
     """``df`` with the array<int> column ``to`` (replaced if there): ids of one sampled segmentation of the text.
 
+    Without ``keep_text`` the text column is left out, so that it goes to the Python workers once and does not come back.
+
     ``key`` seeds the draws: equal keys and texts get equal ids. A null or empty text has no ids. Characters
     that no piece spells, and the vocabulary's own space mark, become bytes. No shuffle.
     """
     path = model or default_model()
-    rest = [c for c in df.columns if c.lower() != to.lower()]
+    rest = [c for c in df.columns if c.lower() != to.lower() and (keep_text or c.lower() != text.lower())]
     rows = df.select(*rest, whole_text(text).alias("__text"), F.xxhash64(F.col(key)).alias("__key"))
     schema = rows.drop("__text", "__key").schema.add(to, T.ArrayType(T.IntegerType()))
 
@@ -276,7 +279,10 @@ def decode_pieces(df: DataFrame, ids: str = "piece_ids", to: str = "decoded", mo
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every whole text of ``documents``, and whether decoding gives the text back."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", whole_text())
-    back = decode_pieces(encode_sampled(docs, "doc_id"))
+    # What the decoded text is held against travels as a digest instead of the text.
+    docs = docs.withColumns({"n_chars": F.char_length("text").cast("long"), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)})
+    back = decode_pieces(encode_sampled(docs, "doc_id", keep_text=False))
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return back.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.size("piece_ids").cast("long").alias("n_pieces"),
-        "piece_ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
+        "doc_id", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("lossless"))
