@@ -154,7 +154,8 @@ class PieceLattice:
         total = np.zeros(int(last[-1]) + 1)
         offset = target - np.repeat(bases, np.diff(np.searchsorted(target, np.append(bases, len(total)))))
         share = np.empty(len(target))
-        by_offset = np.argsort(offset, kind="stable")
+        # Small numbers of 16 bits are sorted by counting.
+        by_offset = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 1 << 16 else offset, kind="stable")
         cuts = np.flatnonzero(np.diff(offset[by_offset])) + 1
         for level in np.split(by_offset, cuts):
             logs = total[source[level]] + weight[level]
