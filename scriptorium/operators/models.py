@@ -10,6 +10,7 @@ search, and how separable are these embeddings" -- is answered with
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,23 +176,98 @@ def final_evaluation(train: DataFrame, test: DataFrame, best: dict, num_classes:
 METRIC_SCHEMA = "trial_id long, fold int, run_id string, step long, loss double, score double"
 
 
+# Rows whose gradients are averaged before the blocks are, as Spark ML's perceptron does (its ``blockSize``).
+BLOCK_ROWS = 128
+
+
+class _Terms:
+    """Rows of an Arrow batch (``indices``, ``values``, ``label``) as flat arrays; the features stay sparse."""
+
+    def __init__(self, batch: pa.Table):
+        indices, values = (batch.column(c).combine_chunks() for c in ("indices", "values"))
+        self.n = batch.num_rows
+        self.rows = np.repeat(np.arange(self.n), np.diff(indices.offsets.to_numpy()))
+        self.at = indices.flatten().to_numpy(zero_copy_only=False)
+        self.x = values.flatten().to_numpy(zero_copy_only=False)
+        if batch.column("label").null_count:
+            raise ValueError("a label is null")
+        self.label = batch.column("label").to_numpy().astype(np.int64)
+
+    def probabilities(self, weights: np.ndarray, num_features: int, n_classes: int) -> np.ndarray:
+        w, bias = weights[: num_features * n_classes].reshape(num_features, n_classes), weights[num_features * n_classes :]
+        z = np.stack([np.bincount(self.rows, self.x * w[self.at, c], self.n) for c in range(n_classes)], axis=1) + bias
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def gradient(self, weights: np.ndarray, num_features: int, n_classes: int, share: float) -> np.ndarray:
+        """Of the cross entropy, ``share`` of it for every row."""
+        delta = self.probabilities(weights, num_features, n_classes)
+        delta[np.arange(self.n), self.label] -= 1.0
+        delta *= share
+        slope = np.stack([np.bincount(self.at, self.x * delta[self.rows, c], num_features) for c in range(n_classes)], axis=1)
+        return np.concatenate([slope.ravel(), delta.sum(axis=0)])
+
+
+def _gradients(weights: np.ndarray, num_features: int, n_classes: int):
+    """Rows of a partition -> one row: the sum of its blocks' mean gradients, and the number of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, blocks, held = np.zeros(len(weights)), 0, None
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            full = rows.num_rows - rows.num_rows % BLOCK_ROWS
+            for a in range(0, full, 8 * BLOCK_ROWS):
+                part = rows.slice(a, min(8 * BLOCK_ROWS, full - a))
+                total += _Terms(part).gradient(weights, num_features, n_classes, 1.0 / BLOCK_ROWS)
+            blocks, held = blocks + full // BLOCK_ROWS, rows.slice(full)
+        if held is not None and held.num_rows:
+            total += _Terms(held).gradient(weights, num_features, n_classes, 1.0 / held.num_rows)
+            blocks += 1
+        if blocks:
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([total], kind), pa.array([blocks], pa.int64())], ["total", "blocks"])
+
+    return run
+
+
+def _scored(weights: np.ndarray, num_features: int, n_classes: int):
+    """Rows -> probability of the label, label, prediction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = _Terms(pa.Table.from_batches([b]))
+            p = rows.probabilities(weights, num_features, n_classes)
+            columns = [p[np.arange(rows.n), rows.label], rows.label.astype(np.int32), p.argmax(axis=1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["p", "label", "prediction"])
+
+    return run
+
+
+def _first_weights(spark: SparkSession, num_features: int, n_classes: int, seed: int) -> np.ndarray:
+    """The weights that Spark ML's perceptron of one layer starts from: a fit of no steps."""
+    one = spark.createDataFrame([(Vectors.sparse(num_features, []), float(c)) for c in range(n_classes)], ["features", "label_d"])
+    net = MultilayerPerceptronClassifier(layers=[num_features, n_classes], featuresCol="features", labelCol="label_d",
+                                         solver="gd", maxIter=0, seed=seed)
+    return net.fit(one).weights.toArray()
+
+
 def _epochs_of_fold(folded: DataFrame, fold: int, trial: int, n_classes: int, num_features: int, n_epochs: int, patience: int,
-                    steps_per_epoch: int, step_size: float, seed: int) -> list[tuple]:
+                    steps_per_epoch: int, step_size: float, first: np.ndarray) -> list[tuple]:
     """Train on the other folds epoch by epoch, each from the weights of the one before; (.., epoch, validation loss, score) rows.
 
-    A layer from the features to the classes with a softmax on top is multinomial logistic regression. Training ends
-    where the early-stopping rule does (W7, no delta), so the rows are those of the epochs that were trained."""
-    train, valid = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-    weights, rows, best, waited = None, [], None, 0
+    A layer from the features to the classes with a softmax on top is multinomial logistic regression, by gradient
+    descent as Spark ML's perceptron does it, which however holds every row as a dense vector. Here the features stay
+    sparse; a step brings one gradient per partition to the driver. Training ends where the early-stopping rule does
+    (W7, no delta), so the rows are those of the epochs that were trained."""
+    columns = ["indices", "values", F.col("label_d").cast("int").alias("label")]
+    train, valid = (folded.where(c).select(*columns) for c in (F.col("fold") != fold, F.col("fold") == fold))
+    weights, rows, best, waited = first, [], None, 0
     for epoch in range(1, n_epochs + 1):
-        net = MultilayerPerceptronClassifier(layers=[num_features, n_classes], featuresCol="features", labelCol="label_d",
-                                             solver="gd", maxIter=steps_per_epoch, stepSize=step_size, tol=0.0, seed=seed)
-        if weights is not None:
-            net = net.setInitialWeights(weights)
-        model = net.fit(train)
-        weights = model.weights
-        pred = model.transform(valid).withColumn("p", vector_to_array("probability")[F.col("label_d").cast("int")])
-        pred = pred.select("p", F.col("label_d").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        for _ in range(steps_per_epoch):
+            parts = train.mapInArrow(_gradients(weights, num_features, n_classes), "total array<double>, blocks long").collect()
+            if parts:
+                weights = weights - step_size * np.sum([p["total"] for p in parts], axis=0) / sum(p["blocks"] for p in parts)
+        pred = valid.mapInArrow(_scored(weights, num_features, n_classes), "p double, label int, prediction int")
         one = (binary_scores(pred) if n_classes == 2 else multiclass_scores(pred)).select(
             F.col("f1" if n_classes == 2 else "macro_f1").alias("score"))
         loss = pred.agg(F.avg(-F.log(F.greatest("p", F.lit(1e-15))))).first()[0]
@@ -217,12 +294,15 @@ def cv_epochs(train: DataFrame, trials: DataFrame, k: int = 5, num_classes: int
     from .ordering import kfold
 
     folded = kfold(train, k, [order], index=index).withColumn("label_d", F.col("label").cast("double"))
-    folded = _few_partitions(term_frequencies(folded, num_features).select("fold", "label_d", F.col("_tf").alias("features"))).persist()
+    terms = F.unwrap_udt("_tf")
+    folded = _few_partitions(term_frequencies(folded, num_features).select("fold", "label_d", terms["indices"].alias("indices"),
+                                                                           terms["values"].alias("values"))).persist()
+    first = _first_weights(train.sparkSession, num_features, num_classes, seed)
     try:
         folds = [r["fold"] for r in folded.select("fold").distinct().orderBy("fold").collect()]
         jobs = [(t["trial_id"], f, float(t["step_size"])) for t in trials.orderBy("trial_id").collect() for f in folds]
         with ThreadPool(parallelism) as pool:
-            done = pool.map(lambda j: _epochs_of_fold(folded, j[1], j[0], num_classes, num_features, n_epochs, patience, steps_per_epoch, j[2], seed), jobs)
+            done = pool.map(lambda j: _epochs_of_fold(folded, j[1], j[0], num_classes, num_features, n_epochs, patience, steps_per_epoch, j[2], first), jobs)
     finally:
         folded.unpersist()
     return train.sparkSession.createDataFrame([row for rows in done for row in rows], METRIC_SCHEMA)
