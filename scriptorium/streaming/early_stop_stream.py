@@ -1,9 +1,10 @@
 """ST2: early stopping over a live metrics stream, keyed by run.
 
 ``start_early_stopping`` takes rows in any order. Its state per run (``transformWithState``) is the fold over
-all steps that the watermark has passed, a few numbers, and a map of the steps that may still get a
-predecessor. An event-time timer per row folds it once the watermark is past it, so the map holds no more than the
-watermark's delay. Every trigger gives one status row per run with new rows: the fold carried on over the map in step order, so
+all steps that the watermark has passed, a few numbers, and a list of the steps that may still get a
+predecessor. An event-time timer per run and trigger folds the trigger's rows once the watermark is past them, so the
+list holds no more than the watermark's delay and a trigger's span; state and timers are written once per run and
+trigger, not once per row. Every trigger gives one status row per run with new rows: the fold carried on over the map in step order, so
 the last status of a run (largest ``n_rows``) equals the batch operator W7 over the rows that arrived. Rows behind the
 watermark are dropped and counted by Spark (``numRowsDroppedByWatermark`` of the query's progress); a step
 that comes when a later one has been folded is counted in ``n_dropped``.
@@ -81,7 +82,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class StopProcessor(StatefulProcessor):
-    """A run's fold over its final steps, and a map step -> (value, event time in ms) of the others."""
+    """A run's fold over its final steps, and a list of (step, value, event time in ms) of the others; of a step's rows the last one counts."""
 
     def __init__(self, patience: int, delta: float, mode: str):
         self.rule = (patience, delta, mode)
@@ -89,7 +90,7 @@ class StopProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.folded = handle.getValueState("folded", FOLD_SCHEMA)
-        self.pending = handle.getMapState("pending", "step long", "value double, at long")
+        self.pending = handle.getListState("pending", "step long, value double, at long")
 
     def _fold_of(self) -> dict:
         if self.folded.exists():
@@ -100,18 +101,25 @@ class StopProcessor(StatefulProcessor):
         frame = pd.DataFrame(sorted(rows), columns=["step", "value"])
         return _fold(frame, dict(st), "value", *self.rule)
 
+    def _pending(self) -> dict[int, tuple[float, int]]:
+        return {step: (value, at) for step, value, at in self.pending.get()} if self.pending.exists() else {}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        st = self._fold_of()
+        st, new = self._fold_of(), []
         for part in rows:
             for step, value, at in zip(part["step"].tolist(), part["value"].tolist(), part["at"].tolist()):
                 if st["last_step"] is not None and step <= st["last_step"]:
                     st["n_dropped"] += 1
                     continue
                 st["n_rows"] += 1
-                self.pending.updateValue((int(step),), (float(value), int(at)))
-                self.handle.registerTimer(int(at))
+                new.append((int(step), float(value), int(at)))
+        held = self._pending()
+        if new:
+            held.update((step, (value, at)) for step, value, at in new)
+            self.pending.appendList(new)
+            self.handle.registerTimer(max(at for _, _, at in new))
         self.folded.update(tuple(st[f] for f in FOLD_FIELDS))
-        now = self._over(st, [(k[0], v[0]) for k, v in self.pending.iterator()])
+        now = self._over(st, [(step, value) for step, (value, _) in held.items()])
         yield pd.DataFrame({"run_id": pd.array([key[0]], dtype="string"), "best_value": pd.array([now["best_value"]], dtype="Float64"),
                             **{c: pd.array([now[c]], dtype="Int64") for c in ("best_step", "stop_step", "last_step", "n_rows", "n_dropped")}})[
             ["run_id", "best_step", "best_value", "stop_step", "last_step", "n_rows", "n_dropped"]]
@@ -119,12 +127,16 @@ class StopProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark has passed a row: it and all rows before it are final."""
         until = expiredTimerInfo.getExpiryTimeInMs()
-        final = [(k[0], v[0]) for k, v in self.pending.iterator() if v[1] <= until]
+        held = self._pending()
+        final = [(step, value) for step, (value, at) in held.items() if at <= until]
         if final:
             st = self._over(self._fold_of(), final)
             self.folded.update(tuple(st[f] for f in FOLD_FIELDS))
-            for step, _ in final:
-                self.pending.removeKey((step,))
+            rest = [(step, value, at) for step, (value, at) in held.items() if at > until]
+            if rest:
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
         return iter(())
 
     def close(self) -> None:
