@@ -176,13 +176,16 @@ def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _forest(group: np.ndarray, label: np.ndarray, apart: tuple[np.ndarray, ...], sig: np.ndarray, wide: np.ndarray, test) -> np.ndarray:
-    """(links, 2) row numbers: a spanning forest of the pairs of one group that have close signatures and pass ``test``.
+def _forest(group: np.ndarray, label: np.ndarray, apart: tuple[np.ndarray, ...], sig: np.ndarray, wide: np.ndarray,
+            test) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of one group that have close signatures and pass ``test``: (links, 2) row numbers,
+    and the smallest label of every row's tree.
 
     Rows of a group stand together. Rows of equal ``label`` need no link; a link makes two labels one. Only rows that
     differ in all of ``apart`` are compared. Shifts of the rows against themselves give all pairs.
     """
-    root, out = np.unique(label, return_inverse=True)[1], []
+    labels, root = np.unique(label, return_inverse=True)
+    out = []
     sizes = np.bincount(np.unique(group, return_inverse=True)[1])
     number = np.arange(int(root.max()) + 1) if len(root) else root
 
@@ -218,7 +221,7 @@ def _forest(group: np.ndarray, label: np.ndarray, apart: tuple[np.ndarray, ...],
             while (number[number] != number).any():
                 number = number[number]
             now = number[root]
-    return np.array(out, np.int64).reshape(-1, 2)
+    return np.array(out, np.int64).reshape(-1, 2), labels[now]
 
 
 def _small_and_large(group: np.ndarray, small: int = 64) -> list[np.ndarray]:
@@ -234,7 +237,8 @@ def _links(rows: DataFrame, keys: tuple[str, ...], percent: int | None) -> DataF
 
     The last two keys are the blocks that meet. With ``percent`` a link is confirmed on the full sets, without it is a
     candidate by its signatures. A task holds a chunk of small groups or one group of two blocks, and gives no more links
-    than it has classes.
+    than it has classes. Of candidates only what hangs together counts: their links go to the smallest class of a tree,
+    so the buckets that a family shares give mostly the same ones, and few rounds find its component.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, keys):
@@ -256,10 +260,15 @@ def _links(rows: DataFrame, keys: tuple[str, ...], percent: int | None) -> DataF
 
                 # Candidates of one component may be alike to different classes, so each is a label of its own.
                 label = ids if percent is None else comp
-                found = _forest(group[at], label[at], (side[at], comp[at]), _matrix(part["sig"], np.uint32, SLOTS),
-                                _matrix(part["wide"], np.uint8, WIDE), test if percent is not None else None)
-                a.append(ids[at][found[:, 0]])
-                b.append(ids[at][found[:, 1]])
+                found, tree = _forest(group[at], label[at], (side[at], comp[at]), _matrix(part["sig"], np.uint32, SLOTS),
+                                      _matrix(part["wide"], np.uint8, WIDE), test if percent is not None else None)
+                if percent is None:
+                    linked = ids[at] != tree
+                    a.append(ids[at][linked])
+                    b.append(tree[linked])
+                else:
+                    a.append(ids[at][found[:, 0]])
+                    b.append(ids[at][found[:, 1]])
             x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], names=["a", "b"])
 

@@ -200,3 +200,12 @@ def test_removal_from_odd_rows(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.selectExpr("coalesce(text, '') t").distinct().count()
     assert max(r.n_removed for r in rows.values()) == len(prose(1, 3000))
     assert sd.remove_repeats(no_docs).count() == 0
+
+
+def test_candidates_of_a_family_are_stars(spark):
+    """Buckets that hold different members of one family link them to its smallest class, each once."""
+    rows = [(k, 0, 0, 0, i, i, b"\1" * 4 * nd.SLOTS, b"\1" * nd.WIDE) for k in range(10) for i in range(40) if i == 0 or i % 10 != k]
+    rows += [(99, 0, 0, 0, i, i, bytes([i]) * 4 * nd.SLOTS, bytes([i]) * nd.WIDE) for i in (50, 51)]  # far apart
+    df = spark.createDataFrame(rows, "key bigint, i bigint, j bigint, block bigint, id bigint, component bigint, sig binary, wide binary").repartition(1)
+    got = sorted(tuple(r) for r in nd._links(df, ("key", "i", "j"), None).collect())
+    assert got == [(i, 0) for i in range(1, 40)]
