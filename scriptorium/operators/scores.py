@@ -89,11 +89,12 @@ def replaced_token_scores(df: DataFrame, labels: str = "replaced", logits: str =
     """Over positions with attention mask 1, prediction = (sign(logit) + 1) / 2.
     Accuracy compares that value with the 0/1 label (a logit of 0 gives 0.5, never
     equal); precision/recall use the prediction truncated to an integer."""
-    z = F.arrays_zip(F.col(labels).alias("y"), F.col(logits).alias("g"), F.col(mask).alias("m"))
-    pos = df.select(*by, F.explode(F.filter(z, lambda e: e["m"] == 1)).alias("e"))
-    pr = (F.signum(F.col("e.g")) + 1.0) * 0.5
+    known = F.when(F.col(labels).isNotNull() & F.col(logits).isNotNull(), F.col(mask))
+    pos = df.select(*by, F.col(labels).alias("_y"), F.col(logits).alias("_g"), F.posexplode(known).alias("_i", "_m")).where("_m = 1")
+    pos = pos.select(*by, F.get("_y", "_i").alias("_y"), F.get("_g", "_i").alias("_g"))
+    pr = (F.signum(F.col("_g")) + 1.0) * 0.5
     pl = pr.cast("int")
-    y = F.col("e.y")
+    y = F.col("_y")
     agg = pos.groupBy(*by).agg(
         F.avg((pr == y.cast("double")).cast("double")).alias("accuracy"),
         F.sum(((pl == 1) & (y == 1)).cast("long")).alias("_tp"),
